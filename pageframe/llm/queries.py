@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, packing, secrets
 
-QUERIES = {"op9_decontaminate": decontaminate.op9_decontaminate}
+QUERIES = {
+    "op8_packing": packing.op8_packing,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_secrets": secrets.op10_secrets,
+}
 ORACLES = {"op9_decontaminate": decontaminate.ORACLE_SQL}
