@@ -23,7 +23,10 @@ than id and text are ignored, whatever their names.
 
 from __future__ import annotations
 
+import gc
+import json
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -50,17 +53,16 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class _Encoder:
-    """Ids of whole texts by ``tokenizers``, with the ids of recent words kept.
+    """Ids of whole texts as ``tokenizers`` gives them, with the ids of recent words kept.
 
     The tokeniser collapses white space and never joins what it separates, so a text's
-    ids are those of its space-separated chunks in order. A chunk that is a Latin word,
-    perhaps with a full stop or comma, is looked up by its lower-case letters; new ones are
-    encoded together and told apart by their word numbers.
+    ids are those of its space-separated chunks in order. A chunk of ASCII and Latin
+    letters is cut by the tokeniser's own pattern; the merges of all new words of a batch are
+    then made together in numpy, from the tokeniser's tables. Anything else, and long
+    words, go through ``tokenizers`` itself.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
-        import re
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -68,42 +70,130 @@ class _Encoder:
         self.limit = limit
         self.cores: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {"": b""}
-        self.simple = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
-        self.ends = {p: self._one(p) for p in (".", ",", "")}
+        self.plain = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+        self.cut = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+        self.letters = re.compile("[a-zß-öø-ÿ]{1,40}").fullmatch
+        model = json.loads(self.tok.to_str())["model"]
+        vocab = model["vocab"]
+        end = model["end_of_word_suffix"]
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level vocabularies write other bytes from 256 on
+        others = [b for b in range(256) if b not in printable]
+        shown = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+        self.first = np.array([vocab[shown[b]] for b in range(256)], np.int64)
+        self.last = np.array([vocab[shown[b] + end] for b in range(256)], np.int64)
+        pairs = [(x if isinstance(x, list | tuple) else x.split(" ")) for x in model["merges"]]
+        keys = np.array([vocab[x] << 20 | vocab[y] for x, y in pairs], np.int64)
+        made = np.array([vocab[x + y] for x, y in pairs], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.rank, self.made = keys[order], order, made[order]
+
+    def _pair(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair (large if it doesn't merge) and what it makes."""
+        key = x << 20 | y
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank[at], 1 << 40), self.made[at]
+
+    def merged(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters: byte pairs merged for all words at once, lowest rank first."""
+        raw = [w.encode() for w in words]
+        size = np.array([len(w) for w in raw])
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        end = np.cumsum(size)
+        sym = self.first[data]
+        sym[end - 1] = self.last[data[end - 1]]
+        word = np.repeat(np.arange(len(raw)), size)
+        done_sym, done_word = [], []
+        rank, made = np.full(len(sym), 1 << 40), np.zeros(len(sym), np.int64)
+        inner = np.flatnonzero(word[1:] == word[:-1])
+        rank[inner], made[inner] = self._pair(sym[inner], sym[inner + 1])
+        while len(sym):
+            start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            sizes = np.diff(np.append(start, len(sym)))
+            low = np.repeat(np.minimum.reduceat(rank, start), sizes)
+            over = low >= 1 << 40
+            if over.any():
+                done_sym.append(sym[over])
+                done_word.append(word[over])
+                live = ~over
+                sym, word, rank, made, low = sym[live], word[live], rank[live], made[live], low[live]
+                if not len(sym):
+                    break
+            at = np.flatnonzero(rank == low)
+            at = at[np.concatenate(([True], word[at[1:]] != word[at[:-1]]))]  # the leftmost of each word
+            sym[at] = made[at]
+            keep = np.ones(len(sym), bool)
+            keep[at + 1] = False
+            rank[at] = 1 << 40
+            # pairs that changed: the merged symbol with its neighbours
+            after = at + 2
+            ok = after < len(sym)
+            ok[ok] = word[after[ok]] == word[at[ok]]
+            rank[at[ok]], made[at[ok]] = self._pair(sym[at[ok]], sym[after[ok]])
+            before = at - 1
+            ok = before >= 0
+            ok[ok] = word[before[ok]] == word[at[ok]]
+            rank[before[ok]], made[before[ok]] = self._pair(sym[before[ok]], sym[at[ok]])
+            sym, word, rank, made = sym[keep], word[keep], rank[keep], made[keep]
+        sym, word = np.concatenate(done_sym), np.concatenate(done_word)
+        order = np.argsort(word, kind="stable")
+        out = sym[order].astype("<u4").tobytes()
+        cuts = (4 * np.searchsorted(word[order], np.arange(len(raw) + 1))).tolist()
+        return [out[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def _one(self, chunk: str) -> bytes:
-        return np.array(self.tok.encode(chunk, add_special_tokens=False).ids, np.uint32).tobytes()
+        return np.array(self.tok.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, chunks: set[str]) -> None:
         if len(self.known) > self.limit:
             self.known = {"": b""}
         if len(self.cores) > self.limit:
             self.cores = {}
-        split = [(c, m.group(1).lower(), m.group(2)) if (m := self.simple(c)) else (c, None, "") for c in chunks if c not in self.known]
-        new = [w for w in dict.fromkeys(w for _, w, _ in split if w) if w not in self.cores]
-        if new:
-            found = self.tok.encode(" ".join(new), add_special_tokens=False)
-            ids = np.array(found.ids, np.uint32)
-            of = np.array(found.word_ids)
-            cuts = np.searchsorted(of, np.arange(len(new) + 1))
-            if len(of) and of[-1] == len(new) - 1:
-                raw = ids.tobytes()
-                for w, x, y in zip(new, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    self.cores[w] = raw[4 * x : 4 * y]
-            else:
-                for w in new:
-                    self.cores[w] = self._one(w)
-        for c, w, end in split:
-            self.known[c] = self._one(c) if w is None else self.cores[w] + self.ends[end]
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        chunks = (text or "").replace("\n", " ").split(" ")
-        try:
-            return b"".join([self.known[c] for c in chunks])
-        except KeyError:
-            self._learn(list(dict.fromkeys(chunks)))
-            return b"".join([self.known[c] if c in self.known else self._one(c) for c in chunks])
+        known, cores = self.known, self.cores
+        simple, hard, new = [], [], set()
+        for c in chunks:
+            if c not in known:
+                w = c.lower()
+                if not self.letters(w):
+                    end = w[-1]
+                    if (end == "." or end == ",") and self.letters(w[:-1]):
+                        w = w[:-1]
+                    else:
+                        hard.append(c)
+                        continue
+                if not self.plain(c):
+                    hard.append(c)
+                    continue
+                simple.append((c, w))
+                if w not in cores:
+                    new.add(w)
+        cuts = {}
+        for c in hard:
+            if self.plain(c) and "<|" not in c:
+                cuts[c] = own = self.cut(c.lower())
+                for w in own:
+                    if w not in cores:
+                        if self.letters(w):
+                            new.add(w)
+                        else:
+                            cores[w] = self._one(w)
+        words = list(new)
+        if words:
+            cores.update(zip(words, self.merged(words), strict=True))
+        ends = {".": self._one("."), ",": self._one(",")}
+        for c, w in simple:
+            known[c] = cores[w] if len(c) == len(w) else cores[w] + ends[c[-1]]
+        for c in hard:
+            known[c] = b"".join([cores[w] for w in cuts[c]]) if c in cuts else self._one(c)
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        chunks: set[str] = set()
+        for own in split:
+            chunks.update(own)
+        self._learn(chunks)
+        known = self.known
+        return [b"".join([known[c] for c in own]) for own in split]
 
 
 def encoder(path: str) -> _Encoder:
@@ -118,13 +208,14 @@ def pieces_of(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
     schema = T.StructType([source.schema["doc_id"]] + [T.StructField(n, t) for n, t in (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("task", T.IntegerType()), ("nth", T.LongType()))])
 
     def run(batches):
+        gc.disable()  # millions of small objects and no cycles among them
         enc = encoder(path or tokenizer_path())
         end = np.array([end_id], np.uint32).tobytes()
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in _text.pieces(batches, 1):
             rows, out = [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                raw = enc.encode(t) + end
+            for i, raw in enumerate(enc.encode_all(b.column(1).to_pylist())):
+                raw += end
                 for p, x in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[x : x + 4 * capacity]
                     n = len(part) // 4
