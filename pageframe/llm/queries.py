@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, secrets
+from . import decontaminate, packing, secrets, warc
 
 QUERIES = {
+    "op2_warc": warc.op2_warc,
     "op8_packing": packing.op8_packing,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_secrets": secrets.op10_secrets,
 }
-ORACLES = {"op9_decontaminate": decontaminate.ORACLE_SQL}
+ORACLES = {"op2_warc": warc.ORACLE_SQL, "op9_decontaminate": decontaminate.ORACLE_SQL}
