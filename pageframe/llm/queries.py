@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, secrets, warc
+from . import decontaminate, packing, quality, secrets, toxicity, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op6_quality": quality.op6_quality,
     "op8_packing": packing.op8_packing,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_secrets": secrets.op10_secrets,
