@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, quality, secrets, toxicity, warc
+from . import decontaminate, minhash, packing, quality, secrets, toxicity, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_minhash": minhash.op4_minhash,
     "op6_quality": quality.op6_quality,
     "op8_packing": packing.op8_packing,
     "op9_decontaminate": decontaminate.op9_decontaminate,

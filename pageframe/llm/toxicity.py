@@ -32,10 +32,10 @@ BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
 PER_CLASS = 12_000
 THRESHOLD = 0.3
-L1 = 1e-4
+L1 = 2e-5
 SCREEN = 4.0
 COUNTERFACTUAL = 1.0
-STEPS = 300
+STEPS = 500
 
 #: Sets of identity terms that are swapped for each other; any list can be given.
 IDENTITY = (
