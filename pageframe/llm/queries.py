@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash, packing, quality, secrets, toxicity, warc
+from . import ann, decontaminate, minhash, packing, quality, secrets, toxicity, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_minhash": minhash.op4_minhash,
+    "op5_ann": ann.op5_ann,
     "op6_quality": quality.op6_quality,
     "op8_packing": packing.op8_packing,
     "op9_decontaminate": decontaminate.op9_decontaminate,
