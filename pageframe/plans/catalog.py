@@ -1,4 +1,503 @@
-"""The registered queries and their SQL."""
+"""The registered queries over the derived layout tables, each with its SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import geometry as G, text as X
+from ..operators import grid, image, lines as L, normalize, routing, spatial as S
+from ..sources import backends, fixtures as fx
+from ..streaming import drop
+from . import modes
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+PAGE = ["doc_id", "page_number"]
+_WS = r"[\s\x{85}\x{a0}\p{Z}\x{1c}-\x{1f}]"
+
+
+def _strip(e: str) -> str:
+    return rf"regexp_replace({e}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _trim(e: str) -> str:
+    return rf"regexp_replace({e}, '^[\s\x{{85}}\x{{a0}}\p{{Z}}\x{{feff}}]+|[\s\x{{85}}\x{{a0}}\p{{Z}}\x{{feff}}]+$', '', 'g')"
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL over tables and layout views."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = fx.with_views(sql)
+        return f
+
+    return add
+
+
+def _overlap(a: str, b: str) -> str:
+    side = lambda lo, hi: f"greatest(0, least({a}.{hi}, {b}.{hi}) - greatest({a}.{lo}, {b}.{lo}))"
+    return f"({side('x0', 'x1')} * {side('y0', 'y1')})"
+
+
+def _area(a: str) -> str:
+    return f"(({a}.x1 - {a}.x0) * ({a}.y1 - {a}.y0))"
+
+
+# lines and pages
+
+
+@query(f"SELECT doc_id, page_number, ord, text, x0, y0, x1, y1, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY ord) AS line_no FROM fx_lines WHERE {_strip('text')} <> ''")
+def doc_lines(spark, d):
+    return routing.numbered(L.not_blank(fx.lines(spark, d)), PAGE, ["ord"], "line_no").withColumn("line_no", F.col("line_no").cast("long"))
+
+
+@query("SELECT doc_id, page_number, string_agg(text, chr(10) ORDER BY ord) AS content, count(*) AS n FROM fx_lines GROUP BY doc_id, page_number")
+def lines_with_blanks(spark, d):
+    own = fx.lines(spark, d)
+    return L.content(own, ["ord"], stripped=False).join(own.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n")), PAGE)
+
+
+@query(f"""SELECT doc_id, page_number, {_strip("string_agg(text, chr(10) ORDER BY ord)")} AS content, count(*) AS n_blocks, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1
+FROM fx_lines WHERE {_strip('text')} <> '' GROUP BY doc_id, page_number""")
+def pdftext_pages(spark, d):
+    """Flagship: pages of mode pdftext from document lines, with the union of their blocks."""
+    pages = L.pages_of(L.not_blank(fx.lines(spark, d)), ["ord"])
+    union = G.union_box(F.transform("text_blocks", lambda b: b["bbox"]))
+    return pages.select(*PAGE, "content", F.size("text_blocks").cast("long").alias("n_blocks"), *(union[n].alias(n) for n in ("x0", "y0", "x1", "y1")))
+
+
+_PAGE_TEXT = "pt AS (SELECT doc_id, page_number, string_agg(text, chr(10) ORDER BY ord) AS text, count(*) FILTER (contains(text, ' | ')) AS n_rows FROM fx_lines GROUP BY ALL)"
+
+
+def _page_text(spark, d):
+    return fx.lines(spark, d).groupBy(*PAGE).agg(L.ordered_text(["ord"], sep="\n").alias("text"), F.count_if(F.contains("text", F.lit(" | "))).alias("n_rows"))
+
+
+@query(f"WITH {_PAGE_TEXT} SELECT doc_id, page_number, length({_strip('text')}) >= 20 AS has_text FROM pt")
+def text_layer_flag(spark, d):
+    return _page_text(spark, d).select(*PAGE, routing.has_text_layer(F.col("text")).alias("has_text"))
+
+
+@query(f"WITH {_PAGE_TEXT} SELECT doc_id, page_number, n_rows >= 2 AS table_heavy FROM pt")
+def table_heavy_flag(spark, d):
+    return _page_text(spark, d).select(*PAGE, routing.is_table_heavy(F.array("n_rows")).alias("table_heavy"))
+
+
+_ENGINE = f"CASE WHEN length({_strip('text')}) >= 20 AND n_rows >= 2 THEN 'pdftexttable' WHEN length({_strip('text')}) >= 20 THEN 'pdftext' ELSE 'pdfimagev5' END"
+
+
+def _engines(spark, d):
+    return _page_text(spark, d).select(*PAGE, routing.engine(routing.has_text_layer(F.col("text")), routing.is_table_heavy(F.array("n_rows"))).alias("engine"))
+
+
+@query(f"WITH {_PAGE_TEXT} SELECT doc_id, page_number, {_ENGINE} AS engine FROM pt")
+def auto_engine(spark, d):
+    return _engines(spark, d)
+
+
+@query(f"""WITH {_PAGE_TEXT}, e AS (SELECT doc_id, {_ENGINE} AS engine, count(*) AS n FROM pt GROUP BY ALL)
+SELECT doc_id, engine AS method_used FROM e QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, engine) = 1""")
+def auto_method_used(spark, d):
+    return routing.majority(_engines(spark, d))
+
+
+@query(f"WITH {_PAGE_TEXT} SELECT DISTINCT doc_id, {_ENGINE} AS engine FROM pt")
+def distinct_methods(spark, d):
+    return _engines(spark, d).select("doc_id", "engine").distinct()
+
+
+# routing and guards
+
+_TYPES, _NAMES, _MODES = ("image/jpeg", "IMAGE/PNG", "image/bmp", "application/pdf", "text/plain", None), ("a.pdf", "b.PDF", "c.png", "d", ".pdf", None), ("auto", "pdftext", "nonsense", None)
+
+
+def _values(items) -> str:
+    return "(VALUES " + ", ".join("(NULL)" if x is None else f"('{x}')" for x in items) + ")"
+
+
+@query(f"""SELECT o_orderkey AS doc_id, coalesce(m, '') AS mode_in, coalesce(t, '') AS type_in, coalesce(n, '') AS name_in,
+ CASE WHEN m IN ('auto', 'pdftext', 'pdftexttable', 'pdfimagev5', 'pdfimagets', 'pdftxtimage', 'pdfimagetable') THEN m ELSE 'auto' END AS mode,
+ CASE WHEN lower(t) IN ('image/jpeg', 'image/png', 'image/jpg') THEN 'ocr' WHEN lower(t) = 'application/pdf' OR lower(n) IN ('a.pdf', 'b.pdf') THEN 'pdf' ELSE 'ocr' END AS route,
+ coalesce(lower(t) = 'application/pdf', false) OR coalesce(lower(n) IN ('a.pdf', 'b.pdf'), false) AS is_pdf
+FROM (SELECT o_orderkey FROM orders WHERE o_orderkey < 20), {_values(_MODES)} AS a(m), {_values(_TYPES)} AS b(t), {_values(_NAMES)} AS c(n)""")
+def mode_route_matrix(spark, d):
+    """All combinations of literal modes, types and names, for a few orders."""
+    lit = lambda xs: F.array(*(F.lit(x).cast("string") for x in xs))
+    rows = fx.table(spark, d, "orders").where("o_orderkey < 20").select(F.col("o_orderkey").alias("doc_id"), F.explode(lit(_MODES)).alias("m")).select("*", F.explode(lit(_TYPES)).alias("t")).select("*", F.explode(lit(_NAMES)).alias("n"))
+    return rows.select("doc_id", *(F.coalesce(a, F.lit("")).alias(b) for a, b in (("m", "mode_in"), ("t", "type_in"), ("n", "name_in"))), routing.mode(F.col("m")).alias("mode"), routing.auto_route(F.col("t"), F.col("n")).alias("route"), routing.ocr_is_pdf(F.col("t"), F.col("n")).alias("is_pdf"))
+
+
+@query(r"""WITH f AS (SELECT page_id, length(html) AS length, length(html) // 20 AS n_pages, regexp_extract(url, '([^/]*)$', 1) AS name FROM pages)
+SELECT page_id, CASE WHEN length > 8000 THEN 413 WHEN length = 0 THEN 400 WHEN n_pages > 300 THEN 422 ELSE 200 END AS status,
+ CASE WHEN length > 8000 THEN 'file too large' WHEN length = 0 THEN 'empty file' WHEN n_pages > 300 THEN 'too many pages' END AS detail,
+ coalesce(nullif(regexp_replace(substr(coalesce(nullif(name, ''), 'upload'), 1, 80), '[^\p{L}\p{N}._\- ]', '', 'g'), ''), 'upload') AS filename FROM f""")
+def upload_guards(spark, d):
+    f = fx.table(spark, d, "pages").select("page_id", F.length("html").alias("length"), F.expr("length(html) div 20").alias("n_pages"), F.regexp_extract("url", "([^/]*)$", 1).alias("name"))
+    return routing.guards(f, pages="n_pages", max_bytes=8000, max_pages=300).select("page_id", "status", "detail", X.safe_name(F.col("name")).alias("filename"))
+
+
+@query("SELECT l.* FROM fx_lines l JOIN (VALUES (0, 0), (1, 2), (2, 0), (3, 99)) AS r(request, page_index) ON page_number = page_index + 1".replace("l.*", "request, doc_id, page_number, ord, text"))
+def page_select(spark, d):
+    requested = spark.createDataFrame([(0, 0), (1, 2), (2, 0), (3, 99)], "request int, page_index int")
+    return routing.select_pages(fx.lines(spark, d), requested).select("request", "doc_id", "page_number", "ord", "text")
+
+
+@query("SELECT doc_id, page_number, count(*) AS n FROM fx_lines WHERE page_number <= 2 GROUP BY ALL")
+def page_cap(spark, d):
+    return routing.page_cap(fx.lines(spark, d), 2).groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH p AS (SELECT DISTINCT doc_id, page_number FROM fx_lines), c AS (SELECT doc_id, page_number, {_strip("string_agg(text, chr(10) ORDER BY ord)")} AS content FROM fx_lines WHERE page_number % 2 = 1 GROUP BY ALL)
+SELECT doc_id, page_number, coalesce(content, '') AS content FROM p LEFT JOIN c USING (doc_id, page_number)""")
+def stub_pages(spark, d):
+    own = fx.lines(spark, d)
+    return routing.with_stubs(own.select(*PAGE).distinct(), L.content(own.where("page_number % 2 = 1"), ["ord"]))
+
+
+# glyphs
+
+
+@query(f"""SELECT doc_id, page_number, top AS line_y, string_agg(text, '' ORDER BY x0, ord, word_ord) AS text, min(x0) AS x0, min(top) AS y0, max(x1) AS x1, max(bottom) AS y1
+FROM fx_words GROUP BY doc_id, page_number, top HAVING {_strip("string_agg(text, '' ORDER BY x0, ord, word_ord)")} <> ''""")
+def glyph_lines_exact(spark, d):
+    g = fx.words(spark, d).withColumn("ord", F.struct("ord", "word_ord"))
+    return L.not_blank(L.glyph_lines(g)).select(*PAGE, "line_y", "text", "x0", "y0", "x1", "y1")
+
+
+@query(f"""WITH q AS (SELECT *, round_even(top / 3, 0) * 3 AS line_y FROM fx_words)
+SELECT doc_id, page_number, line_y, {_strip("string_agg(text, '' ORDER BY x0, top, ord, word_ord)")} AS text, min(x0) AS x0, min(top) AS y0, max(x1) AS x1, max(bottom) AS y1
+FROM q GROUP BY doc_id, page_number, line_y HAVING {_strip("string_agg(text, '' ORDER BY x0, top, ord, word_ord)")} <> ''""")
+def glyph_lines_tolerant(spark, d):
+    g = fx.words(spark, d).withColumn("ord", F.struct("ord", "word_ord"))
+    return L.not_blank(L.glyph_lines(g, 3.0), keep_raw=False).select(*PAGE, "line_y", "text", "x0", "y0", "x1", "y1")
+
+
+@query("SELECT doc_id, page_number, min(x0) AS x0, min(top) AS y0, max(x1) AS x1, max(bottom) AS y1 FROM fx_words GROUP BY ALL")
+def bbox_union_page(spark, d):
+    return fx.words(spark, d).groupBy(*PAGE).agg(G.union_agg("x0", "top", "x1", "bottom").alias("b")).select(*PAGE, "b.*")
+
+
+@query(f"""SELECT doc_id, page_number, string_agg(text, ' ' ORDER BY ord, word_ord) AS content, count(*) AS n, min(x0) AS x0, max(bottom) AS y1 FROM fx_words WHERE {_strip('text')} <> '' GROUP BY doc_id, page_number""")
+def ocr_word_content(spark, d):
+    w = fx.words(spark, d).withColumns({"left": F.col("x0"), "width": F.col("x1") - F.col("x0"), "height": F.col("bottom") - F.col("top")})
+    w = L.ocr_lines(w, drop_blank=True).withColumn("b", G.ltwh_box("left", "top", "width", "height")).drop("x0", "x1").select("*", "b.*")
+    p = L.pages_of(w, ["ord", "word_ord"], " ", stripped=False)
+    u = G.union_box(F.transform("text_blocks", lambda b: b["bbox"]))
+    return p.select(*PAGE, "content", F.size("text_blocks").cast("long").alias("n"), u["x0"].alias("x0"), u["y1"].alias("y1"))
+
+
+@query("""SELECT doc_id, page_number, string_agg(text, chr(10) ORDER BY ord) AS content, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM fx_lines WHERE text <> '' GROUP BY doc_id, page_number""")
+def ocr_line_content(spark, d):
+    own = fx.lines(spark, d).withColumn("polygon", G.box_polygon(G.box("x0", "y0", "x1", "y1"))).drop("x0", "y0", "x1", "y1")
+    own = L.ocr_lines(own, drop_blank=False).withColumn("b", G.polygon_box(F.col("polygon"))).select("*", "b.*")
+    p = L.pages_of(own, ["ord"], stripped=False)
+    u = G.union_box(F.transform("text_blocks", lambda b: b["bbox"]))
+    return p.select(*PAGE, "content", *(u[n].alias(n) for n in ("x0", "y0", "x1", "y1")))
+
+
+# tables
+
+
+@query("SELECT doc_id, page_number, table_idx, row_idx, string_agg(coalesce(text, ''), ' | ' ORDER BY col_idx) AS text FROM fx_cells GROUP BY doc_id, page_number, table_idx, row_idx")
+def table_rows_text(spark, d):
+    return S.table_text(fx.cells(spark, d))
+
+
+def _nested(spark, d) -> DataFrame:
+    """Tables as nested rows and cell boxes."""
+    rows = fx.cells(spark, d).groupBy(*PAGE, "table_idx", "row_idx").agg(F.array_sort(F.collect_list(F.struct("col_idx", "text", G.box("x0", "y0", "x1", "y1").alias("b")))).alias("c"))
+    r = rows.groupBy(*PAGE, "table_idx").agg(F.array_sort(F.collect_list(F.struct("row_idx", "c"))).alias("r"))
+    return r.select(*PAGE, "table_idx", F.transform("r", lambda x: F.transform(x["c"], lambda c: c["text"])).alias("rows"), F.transform("r", lambda x: F.transform(x["c"], lambda c: c["b"])).alias("cells_bbox"), G.union_box(F.flatten(F.transform("r", lambda x: F.transform(x["c"], lambda c: c["b"])))).alias("bbox"))
+
+
+@query("SELECT doc_id, page_number, table_idx, row_idx, col_idx, coalesce(text, '') AS text, x0, y0, x1, y1 FROM fx_cells")
+def table_cells(spark, d):
+    c = S.table_cells(_nested(spark, d))
+    return c.select(*PAGE, "table_idx", F.col("row_idx").cast("long").alias("row_idx"), F.col("col_idx").cast("long").alias("col_idx"), "text", "cell.*")
+
+
+# spatial joins
+
+
+@query(f"SELECT l.* FROM fx_order_lines l WHERE NOT EXISTS (SELECT 1 FROM fx_tables t WHERE t.doc_id = l.doc_id AND t.page_number = l.page_number AND {_area('l')} > 0 AND {_overlap('l', 't')} >= 0.5 * {_area('l')})")
+def lines_outside_tables(spark, d):
+    return S.outside_tables(fx.order_lines(spark, d), fx.tables(spark, d))
+
+
+@query("SELECT * FROM fx_images WHERE x1 - x0 >= 5 AND y1 - y0 >= 5")
+def image_size_filter(spark, d):
+    return S.image_size(fx.images(spark, d))
+
+
+_BIG = "SELECT * FROM fx_images WHERE x1 - x0 >= 5 AND y1 - y0 >= 5"
+_MATCH = f"""im AS ({_BIG}), m AS (SELECT i.doc_id, i.page_number, i.ord, min({{'t': table_idx, 'r': row_idx, 'c': col_idx}}) AS cell FROM im i JOIN fx_cells c ON i.doc_id = c.doc_id AND i.page_number = c.page_number
+ AND {_area('c')} > 0 AND (CASE WHEN {_area('c')} > 0 THEN {_overlap('i', 'c')} / {_area('c')} ELSE 0 END >= 0.2 OR (CASE WHEN {_area('i')} > 0 THEN {_overlap('i', 'c')} / {_area('i')} ELSE 0 END) >= 0.5) GROUP BY ALL)"""
+
+
+@query(f"WITH {_MATCH} SELECT doc_id, page_number, ord, cell.t AS table_idx, cell.r AS row_idx, cell.c AS col_idx FROM m")
+def image_to_cell(spark, d):
+    return S.image_to_cell(S.image_size(fx.images(spark, d)), fx.cells(spark, d))
+
+
+@query(f"""WITH {_MATCH}, a AS (SELECT m.doc_id, m.page_number, cell.t AS table_idx, cell.r AS row_idx, cell.c AS col_idx, string_agg(ocr_text, ' ' ORDER BY m.ord) AS added FROM m JOIN im USING (doc_id, page_number, ord) WHERE ocr_text <> '' GROUP BY ALL)
+SELECT doc_id, page_number, table_idx, row_idx, col_idx, CASE WHEN added IS NULL THEN text ELSE {_strip("concat_ws(' ', nullif(text, ''), added)")} END AS text, x0, y0, x1, y1
+FROM fx_cells LEFT JOIN a USING (doc_id, page_number, table_idx, row_idx, col_idx)""")
+def cells_with_ocr(spark, d):
+    images, own = S.image_size(fx.images(spark, d)), fx.cells(spark, d)
+    matched = S.image_to_cell(images, own).join(images.select(*PAGE, "ord", "ocr_text"), [*PAGE, "ord"])
+    return S.cells_with_ocr(own, matched).select(*PAGE, "table_idx", "row_idx", "col_idx", "text", "x0", "y0", "x1", "y1")
+
+
+_DEDUP = f"""im AS ({_BIG}), d AS (SELECT i.* FROM im i WHERE NOT EXISTS (SELECT 1 FROM fx_order_lines l WHERE l.doc_id = i.doc_id AND l.page_number = i.page_number
+ AND {_area('i')} > 0 AND {_overlap('i', 'l')} > 0.5 * {_area('i')} AND ((l.text <> '' AND contains(i.ocr_text, l.text)) OR contains(l.text, i.ocr_text))))"""
+
+
+@query(f"WITH {_DEDUP} SELECT * FROM d")
+def image_dedup(spark, d):
+    return S.image_dedup(S.image_size(fx.images(spark, d)), fx.order_lines(spark, d))
+
+
+@query("""SELECT doc_id, page_number, image_ord, regexp_replace(string_agg(trim(text), ' ' ORDER BY item_ord) FILTER (text <> ''), '^ +| +$', '', 'g') AS ocr_text, coalesce(avg(score), 0.9) AS confidence
+FROM fx_ocr_items GROUP BY doc_id, page_number, image_ord HAVING trim(coalesce(string_agg(trim(text), ' ') FILTER (text <> ''), '')) <> ''""")
+def image_text(spark, d):
+    return L.image_text(fx.ocr_items(spark, d), [*PAGE, "image_ord"])
+
+
+@query(f"""WITH {_DEDUP}, u AS (SELECT doc_id, page_number, 0 AS kind, ord, text, 1.0::DOUBLE AS confidence, 'native' AS source, x0, y0 FROM fx_order_lines UNION ALL SELECT doc_id, page_number, 1, ord, ocr_text, coalesce(score, 0.9), 'ocr_image', x0, y0 FROM d)
+SELECT doc_id, page_number, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY y0, x0, kind, ord) AS n, text, confidence, source FROM u""")
+def hybrid_lines(spark, d):
+    native = fx.order_lines(spark, d)
+    images = S.image_dedup(S.image_size(fx.images(spark, d)), native)
+    both = native.select(*PAGE, F.lit(0).alias("kind"), F.col("ord").cast("long").alias("ord"), "text", F.lit(1.0).alias("confidence"), F.lit("native").alias("source"), "x0", "y0").unionByName(
+        images.select(*PAGE, F.lit(1).alias("kind"), "ord", F.col("ocr_text").alias("text"), F.coalesce("score", F.lit(0.9)).alias("confidence"), F.lit("ocr_image").alias("source"), "x0", "y0"))
+    return routing.numbered(both, PAGE, ["y0", "x0", "kind", "ord"]).select(*PAGE, F.col("n").cast("long").alias("n"), "text", "confidence", "source")
+
+
+@query(f"""WITH {_DEDUP}, u AS (SELECT doc_id, page_number, 0 AS kind, ord, text, x0, y0 FROM fx_order_lines UNION ALL SELECT doc_id, page_number, 1, ord, ocr_text, x0, y0 FROM d)
+SELECT doc_id, page_number, {_strip("string_agg(text, chr(10) ORDER BY y0, x0, kind, ord)")} AS content, count(*) AS n FROM u GROUP BY doc_id, page_number""")
+def hybrid_content(spark, d):
+    own = hybrid_lines(spark, d)
+    return L.content(own, ["n"]).join(own.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n")), PAGE)
+
+
+@query(f"""WITH k AS (SELECT l.* FROM fx_order_lines l WHERE NOT EXISTS (SELECT 1 FROM fx_tables t WHERE t.doc_id = l.doc_id AND t.page_number = l.page_number AND {_overlap('l', 't')} >= 0.5 * {_area('l')})),
+r AS (SELECT doc_id, page_number, table_idx, row_idx, string_agg(coalesce(text, ''), ' | ' ORDER BY col_idx) AS text FROM fx_cells GROUP BY ALL),
+t AS (SELECT r.doc_id, r.page_number, r.table_idx, string_agg(text, chr(10) ORDER BY row_idx) AS text, any_value(y0) AS y0, any_value(x0) AS x0 FROM r JOIN fx_tables USING (doc_id, page_number, table_idx) GROUP BY ALL),
+u AS (SELECT doc_id, page_number, y0, x0, 0 AS kind, ord, text FROM k UNION ALL SELECT doc_id, page_number, y0, x0, 1, table_idx, text FROM t)
+SELECT doc_id, page_number, {_strip("string_agg(text, chr(10) ORDER BY y0, x0, kind, ord)")} AS content FROM u GROUP BY doc_id, page_number""")
+def reading_order_content(spark, d):
+    own = S.table_text(fx.cells(spark, d)).groupBy(*PAGE, "table_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "text"))), lambda r: r["text"]).alias("lines"))
+    tabs = own.join(fx.tables(spark, d), [*PAGE, "table_idx"]).select(*PAGE, "y0", "x0", F.col("table_idx").alias("ord"), "lines")
+    return S.reading_order(S.outside_tables(fx.order_lines(spark, d), fx.tables(spark, d)), tabs)
+
+
+# normalising
+
+_BOXES = ("[1,2,3,4]", "[1,2,3]", '{"x0":1,"top":2,"x1":3,"bottom":4}', "{}", '{"y0":5,"top":9}', "null", "7", "[1,2,3,4,5]")
+
+
+@query("""WITH v(i, box) AS (VALUES (0, {'x0': 1::DOUBLE, 'y0': 2::DOUBLE, 'x1': 3::DOUBLE, 'y1': 4::DOUBLE}), (1, NULL), (2, {'x0': 1, 'y0': 2, 'x1': 3, 'y1': 4}), (3, {'x0': 0, 'y0': 0, 'x1': 0, 'y1': 0}), (4, {'x0': 0, 'y0': 5, 'x1': 0, 'y1': 0}), (5, NULL), (6, NULL), (7, {'x0': 1, 'y0': 2, 'x1': 3, 'y1': 4}))
+SELECT o_orderkey AS doc_id, i::INT AS i, box.x0 AS x0, box.y0 AS y0, box.x1 AS x1, box.y1 AS y1 FROM (SELECT o_orderkey FROM orders WHERE o_orderkey < 50), v""")
+def bbox_coerce(spark, d):
+    rows = fx.table(spark, d, "orders").where("o_orderkey < 50").select(F.col("o_orderkey").alias("doc_id"), F.posexplode(F.array(*map(F.lit, _BOXES))).alias("i", "v"))
+    b = G.coerce_box(F.col("v"))
+    return rows.select("doc_id", "i", *(b[n].alias(n) for n in ("x0", "y0", "x1", "y1")))
+
+
+@query("SELECT doc_id, page_number, table_idx, row_idx, col_idx, coalesce(text, '') AS text, x0, y0, x1, y1 FROM fx_cells")
+def normalize_tables(spark, d):
+    """Tables through loose JSON and the normaliser, back to cells."""
+    raw = _nested(spark, d).withColumn("json", F.to_json(F.array(F.struct("rows", F.array("bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1").alias("bbox"), "cells_bbox")), {"ignoreNullFields": "false"})).drop("rows", "cells_bbox", "bbox")
+    t = raw.select(*PAGE, F.posexplode(normalize.tables(F.col("json"))).alias("table_idx", "t")).select(*PAGE, "table_idx", "t.*")
+    return S.table_cells(t).select(*PAGE, "table_idx", F.col("row_idx").cast("long").alias("row_idx"), F.col("col_idx").cast("long").alias("col_idx"), "text", "cell.*")
+
+
+@query("SELECT doc_id, page_number, ord, x0 * 72 / 150 AS x0, y0 * 72 / 150 AS y0 FROM fx_lines WHERE page_number % 2 = 0 UNION ALL SELECT doc_id, page_number, ord, x0, y0 FROM fx_lines WHERE page_number % 2 = 1".replace("x0 * 72 / 150", "x0 * (72.0::DOUBLE / 150)").replace("y0 * 72 / 150", "y0 * (72.0::DOUBLE / 150)"))
+def unit_normalize(spark, d):
+    own = fx.lines(spark, d).withColumns({"unit": F.when(F.col("page_number") % 2 == 0, "px").otherwise("pt"), "dpi": F.lit(150)})
+    b = G.to_points(G.box("x0", "y0", "x1", "y1"), F.col("unit"), F.col("dpi"))
+    return own.select(*PAGE, "ord", b["x0"].alias("x0"), b["y0"].alias("y0"))
+
+
+@query(f"""WITH p AS (SELECT doc_id, page_number, {_strip("string_agg(text, chr(10) ORDER BY ord)")} AS content, count(*) AS n FROM fx_lines WHERE {_strip('text')} <> '' GROUP BY doc_id, page_number)
+SELECT doc_id, 'upload' AS filename, 'pdftext' AS method_used, count(*) AS n_pages, sum(n)::BIGINT AS n_blocks, string_agg(content, chr(12) ORDER BY page_number) AS contents FROM p GROUP BY doc_id""")
+def response_json(spark, d):
+    """Responses encoded to JSON and decoded again."""
+    p = L.pages_of(L.not_blank(fx.lines(spark, d)), ["ord"]).withColumns({"tables": F.lit(None), "page_width": F.lit(612.0), "page_height": F.lit(792.0), "filename": F.lit(""), "method_used": F.lit("pdftext")})
+    r = normalize.responses(p)
+    back = r.select("doc_id", normalize.decode(normalize.encode(F.struct("filename", "method_used", "processing_time_sec", "pages"))).alias("r")).select("doc_id", "r.*")
+    return back.select("doc_id", "filename", "method_used", F.size("pages").cast("long").alias("n_pages"), F.aggregate("pages", F.lit(0).cast("long"), lambda a, x: a + F.size(x["text_blocks"])).alias("n_blocks"), F.array_join(F.transform("pages", lambda x: x["content"]), "\f").alias("contents"))
+
+
+# grid
+
+
+def _grid_items(spark, d) -> DataFrame:
+    blocks = fx.order_lines(spark, d).withColumn("bbox", G.box("x0", "y0", "x1", "y1"))
+    a = grid.block_items(blocks, PAGE)
+    c = fx.cells(spark, d).withColumns({"cell": F.when(F.col("text").isNotNull(), G.box("x0", "y0", "x1", "y1")), "bbox": G.box(72.0, 200.0, 432.0, 500.0)})
+    b = grid.cell_items(c, PAGE, F.lit(15), F.lit(4), F.lit(1000) + F.col("row_idx") * 4 + F.col("col_idx"))
+    return a.unionByName(b)
+
+
+_ITEMS = f"""gi AS (SELECT doc_id, page_number, y0 AS y, x0 AS x, ord::BIGINT AS ord, {_trim("replace(text, chr(13) || chr(10), chr(10))")} AS text FROM fx_order_lines WHERE {_trim("text")} <> ''
+ UNION ALL SELECT doc_id, page_number, y0, x0, (1000 + row_idx * 4 + col_idx)::BIGINT, {_trim("text")} FROM fx_cells WHERE coalesce({_trim("text")}, '') <> '')"""
+_ROWS = f"""{_ITEMS}, gl AS (SELECT doc_id, page_number, list({{'y': y, 'x': x, 'ord': ord, 'text': text}} ORDER BY y, x, ord) AS l FROM gi GROUP BY ALL),
+gf AS (SELECT doc_id, page_number, l, list_reduce(l, lambda a, i: CASE WHEN a.anchor IS NULL OR i.y - a.anchor > 6 THEN {{'row': a.row + 1, 'anchor': i.y, 'out': list_append(a.out, a.row + 1)}} ELSE {{'row': a.row, 'anchor': a.anchor, 'out': list_append(a.out, a.row)}} END,
+ {{'row': -1, 'anchor': NULL::DOUBLE, 'out': []::INT[]}}).out AS r FROM gl),
+gr AS (SELECT doc_id, page_number, unnest(l) AS i, unnest(r) AS row FROM gf)"""
+
+
+@query(f"WITH {_ITEMS} SELECT * FROM gi")
+def grid_items(spark, d):
+    return _grid_items(spark, d)
+
+
+@query(f"WITH {_ROWS} SELECT doc_id, page_number, row::INT AS row, i.x AS x, i.ord AS ord, i.text AS text FROM gr")
+def grid_rows(spark, d):
+    return grid.rows(_grid_items(spark, d), PAGE)
+
+
+_TEXT = f"""{_ROWS}, gs AS (SELECT doc_id, page_number, row, list({{'c': floor(i.x / 8 + 0.5)::INT, 't': i.text}} ORDER BY i.x, i.ord) AS s FROM gr GROUP BY ALL),
+gt AS (SELECT doc_id, page_number, row, rtrim(list_reduce(s, lambda a, e: {{'d': rpad(a.d, greatest(e.c, length(a.d) + 1)::INT, ' ') || e.t}}, {{'d': ''}}).d) AS line FROM gs),
+gp AS (SELECT doc_id, page_number, string_agg(line, chr(10) ORDER BY row) AS grid FROM gt GROUP BY ALL)"""
+_TEXT = _TEXT.replace("{{'d'", "{'d'").replace("|| e.t}}", "|| e.t}").replace("''}}", "''}")
+
+
+@query(f"WITH {_TEXT} SELECT * FROM gp")
+def grid_text(spark, d):
+    return grid.page_text(_grid_items(spark, d), PAGE)
+
+
+@query(f"""WITH {_TEXT} SELECT doc_id, coalesce(nullif({_trim("grid")}, ''), '(Bu sayfada metin yok)') AS text FROM gp""")
+def grid_document(spark, d):
+    return grid.document_text(grid.page_text(_grid_items(spark, d), PAGE))
+
+
+@query(None)
+def grid_text_exact(spark, d):
+    """The original's item order; a sort by a comparison that is not transitive has no SQL."""
+    return grid.exact_text(_grid_items(spark, d), PAGE)
+
+
+@query("""SELECT o_orderkey AS doc_id, greatest(4, least(20, CASE WHEN v = 0 THEN 8 ELSE v END))::DOUBLE AS char_width, greatest(6, least(30, CASE WHEN v = 0 THEN 12 ELSE v END))::DOUBLE AS line_height, greatest(1, least(20, CASE WHEN v = 0 THEN 6 ELSE v END))::DOUBLE AS y_threshold FROM (SELECT o_orderkey, o_orderkey % 40 AS v FROM orders)""")
+def grid_parameters(spark, d):
+    v = (F.col("o_orderkey") % 40).cast("double")
+    a, b, c = grid.parameters(v, v, v)
+    return fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), a.alias("char_width"), b.alias("line_height"), c.alias("y_threshold"))
+
+
+# images
+
+
+@query("""WITH b AS (SELECT doc_id, ascii(c) AS level, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents) WHERE ascii(c) BETWEEN 1 AND 255 GROUP BY ALL),
+v AS (SELECT doc_id, t, coalesce(n, 0)::DOUBLE AS c FROM (SELECT DISTINCT doc_id, unnest(range(256)) AS t FROM b) LEFT JOIN b ON b.doc_id = _doc AND level = t), """.replace("SELECT doc_id, t, coalesce(n, 0)::DOUBLE AS c FROM (SELECT DISTINCT doc_id, unnest(range(256)) AS t FROM b) LEFT JOIN b ON b.doc_id = _doc AND level = t", "SELECT k.doc_id, t, coalesce(n, 0)::DOUBLE AS c FROM (SELECT doc_id, unnest(range(256)) AS t FROM (SELECT DISTINCT doc_id FROM b)) k LEFT JOIN b ON b.doc_id = k.doc_id AND level = t") + """
+s AS (SELECT doc_id, t, sum(c) OVER u AS w, sum(c * t) OVER u AS m, sum(c) OVER a AS ww, sum(c * t) OVER a AS mm FROM v WINDOW u AS (PARTITION BY doc_id ORDER BY t), a AS (PARTITION BY doc_id)),
+o AS (SELECT doc_id, t, CASE WHEN w * (ww - w) <> 0 THEN (mm * w - m * ww) * (mm * w - m * ww) / (w * (ww - w)) ELSE -1 END AS s FROM s)
+SELECT doc_id, t::INT AS threshold FROM o QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, t) = 1""")
+def otsu_threshold(spark, d):
+    """Otsu over the histogram of code points below 256 of each document."""
+    chars = fx.table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "")).alias("c")).select("doc_id", F.ascii("c").alias("level")).where("level between 1 and 255")
+    return image.otsu_of(chars.groupBy("doc_id", "level").agg(F.count(F.lit(1)).alias("n")), ["doc_id"])
+
+
+def _rasters(spark, d) -> DataFrame:
+    """Small gray rasters made of the documents' bytes."""
+    raw = fx.table(spark, d, "documents").where("octet_length(text) >= 400")
+    return raw.select(F.col("doc_id").cast("string").alias("origin"), F.lit(20).alias("height"), F.lit(20).alias("width"), F.lit(1).alias("nChannels"), F.substring(F.encode("text", "UTF-8"), 1, 400).alias("data"))
+
+
+@query(None)
+def preprocess_image(spark, d):
+    """Gray, binary and deskewed rasters; pixel operations have no SQL."""
+    return image.processed(_rasters(spark, d))
+
+
+@query(None)
+def deskew_image(spark, d):
+    return image.processed(_rasters(spark, d), image.deskew)
+
+
+# the modes over decoded pages
+
+
+def _decoded(spark, d) -> DataFrame:
+    """Primitives of all documents through the JSON backend: lines as spans, order lines' boxes, images and tables."""
+    own = fx.lines(spark, d)
+    spans = own.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(F.col("ord").alias("block"), F.lit(0).alias("type"), F.lit(0).alias("line"), F.lit(0).alias("span"), "text", G.box("x0", "y0", "x1", "y1").alias("bbox"), G.box("x0", "y0", "x1", "y1").alias("line_bbox")))).alias("spans"), L.ordered_text(["ord"], sep="\n").alias("page_text"))
+    tabs = _nested(spark, d).groupBy(*PAGE).agg(F.collect_list(F.struct("rows", "bbox", "cells_bbox")).alias("tables"))
+    pics = fx.images(spark, d).groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", G.box("x0", "y0", "x1", "y1").alias("bbox"), F.array(F.struct(F.col("ocr_text").alias("text"), "score")).alias("items")))), lambda i: F.struct(i["bbox"], i["items"])).alias("images"))
+    ocr = own.groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text", G.box_polygon(G.box("x0", "y0", "x1", "y1")).alias("polygon")))), lambda o: F.struct(o["text"].alias("text"), F.lit(0.5).alias("score"), o["polygon"].alias("polygon"))).alias("ocr"))
+    glyphs = fx.words(spark, d).groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "word_ord", "text", "x0", "top", "x1", "bottom"))), lambda g: F.struct(g["text"].alias("text"), g["x0"].alias("x0"), g["top"].alias("top"), g["x1"].alias("x1"), g["bottom"].alias("bottom"))).alias("glyphs"))
+    p = spans.join(tabs, PAGE, "left").join(pics, PAGE, "left").join(ocr, PAGE, "left").join(glyphs, PAGE, "left").withColumns({"page_width": F.lit(612.0), "page_height": F.lit(792.0)})
+    pages = F.transform(F.array_sort(F.collect_list(F.struct("page_number", "page_width", "page_height", "page_text", "spans", "glyphs", "tables", "images", "ocr"))), lambda x: x.dropFields("page_number"))
+    files = p.groupBy("doc_id").agg(F.to_json(F.struct(pages.alias("pages"))).cast("binary").alias("content"))
+    return backends.decode(files).where("status = 'ok'").drop("status", "error")
+
+
+@query(f"""WITH {_PAGE_TEXT} SELECT doc_id, page_number, {_strip("string_agg(text, chr(10) ORDER BY ord)")} AS content, count(*) AS n_blocks FROM fx_lines WHERE {_strip('text')} <> '' GROUP BY doc_id, page_number
+UNION ALL SELECT doc_id, page_number, '', 0 FROM pt WHERE {_strip('text')} = ''""")
+def mode_pdftext(spark, d):
+    return modes.pdftext(_decoded(spark, d)).select(*PAGE, "content", F.size("text_blocks").cast("long").alias("n_blocks"))
+
+
+@query(f"""WITH {_PAGE_TEXT}, b AS (SELECT doc_id, page_number, count(*) AS n FROM (SELECT doc_id, page_number, top, string_agg(text, '') AS t FROM fx_words GROUP BY ALL) WHERE {_strip('t')} <> '' GROUP BY ALL),
+t AS (SELECT doc_id, page_number, count(DISTINCT table_idx) AS n_tables FROM fx_cells GROUP BY ALL)
+SELECT doc_id, page_number, {_strip('text')} AS content, coalesce(n, 0)::BIGINT AS n_blocks, coalesce(n_tables, 0)::BIGINT AS n_tables FROM pt LEFT JOIN b USING (doc_id, page_number) LEFT JOIN t USING (doc_id, page_number)""")
+def mode_pdftexttable(spark, d):
+    return modes.pdftexttable(_decoded(spark, d)).select(*PAGE, "content", F.size("text_blocks").cast("long").alias("n_blocks"), F.size("tables").cast("long").alias("n_tables"))
+
+
+@query("SELECT doc_id, page_number, coalesce(string_agg(text, chr(10) ORDER BY ord) FILTER (text <> ''), '') AS content FROM fx_lines GROUP BY doc_id, page_number")
+def mode_pdfimagev5(spark, d):
+    return modes.pdfimagev5(_decoded(spark, d)).select(*PAGE, "content")
+
+
+@query(f"SELECT doc_id, page_number, coalesce(string_agg(text, ' ' ORDER BY ord) FILTER ({_strip('text')} <> ''), '') AS content FROM fx_lines GROUP BY doc_id, page_number")
+def mode_pdfimagets(spark, d):
+    return modes.pdfimagets(_decoded(spark, d)).select(*PAGE, "content")
+
+
+_DOCIM = f"im AS (SELECT i.* FROM ({_BIG}) i JOIN (SELECT DISTINCT doc_id, page_number FROM fx_lines) USING (doc_id, page_number))"
+
+
+@query(f"""WITH {_DOCIM}, d AS (SELECT i.* FROM im i WHERE NOT EXISTS (SELECT 1 FROM fx_lines l WHERE l.doc_id = i.doc_id AND l.page_number = i.page_number
+ AND {_area('i')} > 0 AND {_overlap('i', 'l')} > 0.5 * {_area('i')} AND ((l.text <> '' AND contains(i.ocr_text, l.text)) OR contains(l.text, i.ocr_text)))),
+u AS (SELECT doc_id, page_number, 0 AS k, ord, text, x0, y0 FROM fx_lines UNION ALL SELECT doc_id, page_number, 1, ord, ocr_text, x0, y0 FROM d)
+SELECT doc_id, page_number, {_strip("string_agg(text, chr(10) ORDER BY y0, x0, k, ord)")} AS content, count(*) AS n_blocks FROM u GROUP BY doc_id, page_number""")
+def mode_pdftxtimage(spark, d):
+    return modes.pdftxtimage(_decoded(spark, d)).select(*PAGE, "content", F.size("text_blocks").cast("long").alias("n_blocks"))
+
+
+@query(None)
+def mode_pdfimagetable(spark, d):
+    """Rows only: its parts (tolerant lines, anti join, cell match, update join, reading order) each have SQL of their own."""
+    return modes.pdfimagetable(_decoded(spark, d)).select(*PAGE, "content", F.size("text_blocks").cast("long").alias("n_blocks"), F.size("tables").cast("long").alias("n_tables"))
+
+
+@query(None)
+def mode_auto(spark, d):
+    return modes.process(_decoded(spark, d), "auto").select("doc_id", "filename", "method_used", F.size("pages").cast("long").alias("n_pages"))
+
+
+# extensions
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def ext_event_windows(spark, d):
+    """Extension: tumbling windows over events."""
+    return drop.event_windows(fx.table(spark, d, "events"), "ts")
+
+
+@query("SELECT page_id, length(html) AS length, CASE WHEN length(html) > 8000 THEN 413 WHEN length(html) = 0 THEN 400 ELSE 200 END AS status FROM pages")
+def ext_upload_status(spark, d):
+    """Extension: the guards as the drop-directory stream applies them."""
+    f = fx.table(spark, d, "pages").select("page_id", F.length("html").cast("long").alias("length"))
+    return routing.guards(f, max_bytes=8000).select("page_id", "length", "status")
+
 
-QUERIES: dict = {}
-ORACLES: dict = {}
