@@ -36,7 +36,7 @@ K = 20
 DIMS = 8
 LEAF = 64
 SHARD = 16_384
-BLOCK = 2_048
+BLOCK = 8_192
 CONFIDENCE = 0.7
 SEED = 7
 

@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     share = known.agg(F.avg(F.col(label).cast("double"))).first()[0]
     found = rows.mapInArrow(run, schema).toArrow().combine_chunks()
     order = sorted(range(found.num_rows), key=lambda i: (found["buckets"][i].as_py(), found["label"][i].as_py()))  # the same sums whatever the partitions
-    found = found.take(order)
+    found = found.take(pa.array(order, pa.int64()))
     cols = [np.frombuffer(x, "<i4") for x in found["buckets"].to_pylist()]
     label_of = np.array(found["label"].to_pylist(), float)
     col = np.concatenate(cols).astype(np.int64) if cols else np.zeros(0, np.int64)
