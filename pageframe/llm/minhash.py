@@ -13,11 +13,12 @@ plus k log k.
 Documents with the same words are collapsed first. Bands of ``ROWS`` coordinates are the
 buckets. No bucket is expanded into all of its pairs: in each bucket the document with the
 most company overall (a near copy's source has more of it than other copies) is compared
-with the others, then the best document outside that one's class; only what is still
-in different classes is then compared across classes, so that no candidate link between
-classes is lost. A pair is checked by its signatures (five standard deviations below the
-threshold at least) and then exactly, on both texts. Classes are the connected components
-of the verified links.
+with the others, then the best document outside that one's class. What is still in different
+classes is then compared across classes, so that no candidate link between classes is lost:
+in the task, in bounded blocks, by longer signatures that only these documents get, and only
+close pairs leave the task. A pair is checked by its signatures (four standard deviations or
+more below the threshold) and then exactly, on both texts. Classes are the connected
+components of the verified links.
 
 Defined results: null and empty texts and texts of white space are in no bucket, each its own
 class; equal texts are one class; rows that share an id are one document; extra columns are
@@ -38,6 +39,8 @@ from .components import components
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
+FINE = 256
+BLOCK = 2048
 
 _WORD = np.ones(256, bool)
 _WORD[[32, 9, 10, 11, 12, 13]] = False
@@ -207,6 +210,53 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return both.mapInArrow(run, pairs.select("a", "b").schema)
 
 
+def _finer(texts: DataFrame, k: int = FINE) -> DataFrame:
+    """(node, fine): longer byte signatures of the texts that are still in question."""
+
+    def run(batches):
+        for b in _text.pieces(batches, 1):
+            r, c, _, _ = cells(b.column(1))
+            low = (signatures(r, c, b.num_rows, k) >> np.uint64(32)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in low], pa.binary())], names=["node", "fine"])
+
+    kind = texts.schema["node"].dataType.simpleString()
+    return texts.select("node", "text").mapInArrow(run, f"node {kind}, fine binary")
+
+
+def _across(live: DataFrame, details: DataFrame, threshold: float, block: int = BLOCK, k: int = FINE) -> DataFrame:
+    """Pairs of different classes that share a bucket and whose fine signatures are close.
+
+    A bucket's rows are compared in the task, in blocks of about ``block`` rows (a larger
+    bucket meets itself block by block), and only close pairs are emitted, each in the first
+    bucket that it shares. ``details``: node, bands, fine.
+    """
+    least = threshold - 4 * np.sqrt(threshold * (1 - threshold) / k)
+    sizes = live.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    own = live.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.sequence(F.lit(0), F.col("blocks") - 1)
+    spread = own.select("*", F.explode(other).alias("other")).select(
+        "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "comp"
+    ).join(details, "node")
+
+    def run(table: pa.Table) -> pa.Table:
+        node, comp, own = (table.column(n).to_numpy() for n in ("node", "comp", "own"))
+        bucket, lo, hi = (table.column(n)[0].as_py() for n in ("bucket", "lo", "hi"))
+        fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(len(node), -1)
+        keys = np.array(table.column("bands").to_pylist(), np.int64)
+        band = int(np.flatnonzero(keys[0] == bucket)[0])
+        a, b = [node[:0]], [node[:0]]
+        for i in range(len(node)):
+            j = np.flatnonzero((comp != comp[i]) & (node > node[i]) & ((own != own[i]) if lo < hi else True))
+            j = j[(fine[j] == fine[i]).mean(1) >= least] if len(j) else j
+            j = j[~(keys[j, :band] == keys[i, :band]).any(1)] if len(j) else j
+            a.append(node[j])
+            b.append(np.full(len(j), node[i]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    kind = live.schema["node"].dataType.simpleString()
+    return spread.groupBy("bucket", "lo", "hi").applyInArrow(run, f"a {kind}, b {kind}")
+
+
 def _leaders(rows: DataFrame) -> DataFrame:
     """Per bucket the document with the most company, ties to the smallest id."""
     best = rows.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("order"), "comp")).alias("t"))
@@ -228,7 +278,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n_bands: int = BANDS,
     placed = _text.stored(company.select("node", "bucket").join(degree, "node"), "placed")
     sigs = _text.stored(nodes.select("node", "weight", "sig").join(degree.select("node"), "node", "left_semi"), "sigs")
     wanted = degree.select("node")
-    found = docs.select(F.col(doc_id).alias("node"), F.col(text).cast("string").alias("text")).join(wanted, "node", "left_semi")
+    found = docs.select(F.col(doc_id).alias("node"), F.col(text).cast("string").alias("text")).join(wanted.hint("merge"), "node", "left_semi")
     texts = None
     tested: DataFrame | None = None
     links: DataFrame | None = None
@@ -241,8 +291,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n_bands: int = BANDS,
         open_ = rows_.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
         live = _text.stored(rows_.join(open_, "bucket", "left_semi"), "live")
         if turn == "rest":
-            pairs = live.join(live.select("bucket", F.col("node").alias("other"), F.col("comp").alias("other_comp")), "bucket").where("comp < other_comp")
-            pairs = pairs.select(F.col("other").alias("a"), F.col("node").alias("b")).distinct()
+            asked = live.select("node").distinct()
+            fine = _finer(texts.join(asked, "node", "left_semi"))
+            pairs = _across(live.select("bucket", "node", "comp"), _text.stored(fine.join(nodes.select("node", "bands"), "node"), "fine"), threshold).distinct()
         else:
             first = _leaders(live)
             lead = first if turn == "first" else _leaders(live.join(first.select("bucket", "lead_comp"), "bucket").where("comp <> lead_comp").drop("lead_comp"))
@@ -253,7 +304,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n_bands: int = BANDS,
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = _text.stored(pairs, "pairs")
         tested = pairs if tested is None else tested.unionAll(pairs)
-        close = _text.stored(_close(pairs, sigs, threshold, k), "close")
+        close = pairs if turn == "rest" else _text.stored(_close(pairs, sigs, threshold, k), "close")
         if turn == "first":
             # texts of all that take part in a bucket with a possible partner, read once
             texts = _text.stored(found, "texts")
