@@ -109,7 +109,8 @@ class Frame:
     def __init__(self, total: int):
         self.bits = max(4, int(total // BUCKET_BYTES).bit_length())
         self.shards = max(8, int(total // SHARD_BYTES))
-        narrow = total.bit_length() + 12 - self.bits <= 32
+        # an anchor stands for some 16 bytes; 12 bits more than their number keep chance hits rare
+        narrow = total.bit_length() - 4 + 12 - self.bits <= 32
         self.dtype = "<u4" if narrow else "<u8"
 
     def keys(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,16 +204,31 @@ def repeats(docs: DataFrame, units: Callable, judge: Callable, finish: Callable,
                 _, ids, offs, data = _open(b, i)
                 found = units(data, offs)
                 blobs = b.column(4)[i].as_py() or []
-                w = np.frombuffer(b"".join(blobs), "<u4").reshape(-1, 2).astype(np.int64)  # document in the piece, start
+                w = np.frombuffer(b"".join(blobs), "<u4").reshape(-1, 3).astype(np.int64)  # document in the piece, start, windows
                 at = _text.starts_of(found[1], len(ids))[w[:, 0]] + w[:, 1]
-                gone = _text.merge_cover(at, window, len(found[0])) if len(at) else np.zeros(len(found[0]), bool)
+                gone = _text.merge_cover(at, w[:, 2] + window - 1, len(found[0])) if len(at) else np.zeros(len(found[0]), bool)
                 rows = finish(ids, data, offs, found, gone)
                 yield pa.RecordBatch.from_arrays([pa.array([None if x == NO_ID else x for x in ids.tolist()], pa.int64()), *(pa.array(x) for x in rows)], names=fields)
 
     return body.join(removed, "piece", "left").mapInArrow(last, schema)
 
 
-_REF = np.dtype([("context", "<u4"), ("doc", "<i8"), ("nth", "<u4"), ("start", "<u4")])
+_REF = {"context": "<u4", "nth": "<u4", "start": "<u4", "doc": "<i8"}
+
+
+def _squeezed(refs: dict[str, np.ndarray]) -> bytes:
+    """Columns of differences, which compress well."""
+    return zstandard.compress(b"".join(np.diff(refs[k].astype(t), prepend=np.zeros(1, t)).tobytes() for k, t in _REF.items()), 3)
+
+
+def _spread(blob: bytes) -> dict[str, np.ndarray]:
+    raw = zstandard.decompress(blob)
+    n, at, out = len(raw) // 20, 0, {}
+    for k, t in _REF.items():
+        size = n * np.dtype(t).itemsize
+        out[k] = np.cumsum(np.frombuffer(raw[at : at + size], t), dtype=t)
+        at += size
+    return out
 
 
 def _contexts(piece, ids, data, row, s, e, h, first, last, live, window, shards, first_unit):
@@ -234,10 +250,9 @@ def _contexts(piece, ids, data, row, s, e, h, first, last, live, window, shards,
         of = [seen.setdefault(whole[x[k] : y[k]], len(seen)) for k in range(lo, hi)]
         sizes = np.zeros(len(seen), "<u4")
         sizes[of] = size[lo:hi]
-        refs = np.empty(hi - lo, _REF)
-        refs["context"], refs["doc"], refs["nth"], refs["start"] = of, ids[doc[lo:hi]], doc[lo:hi], start[lo:hi]
+        refs = {"context": np.array(of), "nth": doc[lo:hi], "start": start[lo:hi], "doc": ids[doc[lo:hi]]}
         lengths = np.array([len(t) for t in seen], "<u4")
-        out.append((b"".join(seen), np.stack([lengths, sizes]).astype("<u4").tobytes(), refs.tobytes()))
+        out.append((zstandard.compress(b"".join(seen), 3), np.stack([lengths, sizes]).astype("<u4").tobytes(), _squeezed(refs)))
     if out:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.full(len(names), piece), pa.int64()), *(pa.array(c, pa.binary()) for c in zip(*out, strict=True))], names=["shard", "piece", "texts", "sizes", "refs"])
 
@@ -251,6 +266,7 @@ class Contexts:
         self.refs, self.of = [], []
         for texts, sizes, refs in rows:
             lengths, units = np.frombuffer(sizes, "<u4").reshape(2, -1)
+            texts = zstandard.decompress(texts)
             at, own = 0, np.empty(len(lengths), np.int64)
             for k, (n, m) in enumerate(zip(lengths.tolist(), units.tolist(), strict=True)):
                 t = texts[at : at + n]
@@ -259,18 +275,19 @@ class Contexts:
                     seen[t] = len(seen)
                     self.sizes.append(m)
                 own[k] = seen[t]
-            ref = np.frombuffer(refs, _REF)
+            ref = _spread(refs)
             self.refs.append(ref)
             self.of.append(own[ref["context"]])
         self.texts = list(seen)
-        every, of = np.concatenate(self.refs), np.concatenate(self.of)
+        every = {k: np.concatenate([r[k] for r in self.refs]) for k in ("doc", "start")}
+        of = np.concatenate(self.of)
         order = np.lexsort((every["start"] if self_repeats else np.zeros(len(of)), every["doc"], of))
         firsts = np.searchsorted(of[order], np.arange(len(seen)))
         self.doc, self.start = every["doc"][order][firsts], every["start"][order][firsts].astype(np.int64)
 
 
 def answers(found: Contexts, pieces: list[int], least_doc: np.ndarray, least_start: np.ndarray | None, base: np.ndarray, window: int):
-    """Per piece the (document, start) pairs of windows that occur earlier.
+    """Per piece the runs of windows that occur earlier: document, first start, windows.
 
     ``least_doc`` and ``least_start`` are, per window of the distinct contexts (those of
     context c from ``base[c]`` on), the least place that has the window.
@@ -286,4 +303,8 @@ def answers(found: Contexts, pieces: list[int], least_doc: np.ndarray, least_sta
         if least_start is not None:
             gone |= (least_doc[at] == doc) & (least_start[at] < start)
         if gone.any():
-            yield piece, np.column_stack([refs["nth"][ref[gone]], start[gone]]).astype("<u4").tobytes()
+            first, last = gone.copy(), gone.copy()
+            first[1:] &= ~gone[:-1] | (ref[1:] != ref[:-1])
+            last[:-1] &= ~gone[1:] | (ref[1:] != ref[:-1])
+            a, b = np.flatnonzero(first), np.flatnonzero(last)
+            yield piece, np.column_stack([refs["nth"][ref[a]], start[a], b - a + 1]).astype("<u4").tobytes()
