@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geometry as G, text as X
 
+# Parameter defaults and texts of the rendering.
 CHAR_WIDTH, LINE_HEIGHT, Y_THRESHOLD = 8.0, 12.0, 6.0
 BANNER, NOTHING = "——— Sayfa ", "(Bu sayfada metin yok)"
 

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+# Sizes and limits of the pre-processing.
 LARGE_SIDE = 2000
 DESKEW_POINTS = 10_000
 DESKEW_LEAST = 100

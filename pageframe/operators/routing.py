@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import text as X
 from ..schema import MODES
 
+# Limits and type lists that results depend on.
 MAX_BYTES = 50 * 1024 * 1024
 MAX_PAGES = 500
 MIN_TEXT = 20

@@ -24,4 +24,5 @@ PRIMITIVES = T.StructType([
     _f("images", T.ArrayType(T.StructType([_f("bbox", BBOX), _f("items", T.ArrayType(T.StructType([_f("text", T.StringType()), _f("score", T.DoubleType())])))]))),
     _f("ocr", T.ArrayType(T.StructType([_f("text", T.StringType()), _f("score", T.DoubleType()), _f("polygon", T.ArrayType(T.ArrayType(T.DoubleType())))]))),
 ])
+# The names of the modes.
 MODES = ("auto", "pdftext", "pdftexttable", "pdfimagev5", "pdfimagets", "pdftxtimage", "pdfimagetable")

@@ -100,6 +100,11 @@ def _spans(ops: bytes, top: float) -> Iterable[dict]:
         stack = []
 
 
+def page_counts(files: DataFrame, backend: str | Backend = "json", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Pages of each file; 0 where it cannot be read."""
+    return decode(files, backend, keys=keys, all_or_nothing=True).groupBy(*keys).agg(F.count_if(F.col("status") == "ok").alias("n_pages"))
+
+
 register("json", json_pages)
 register("pdf", pdf_pages)
 

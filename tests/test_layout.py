@@ -114,6 +114,7 @@ def test_backend_failure_and_pdf(spark):
     pdf = b"%PDF-1.4\n1 0 obj <</Type /Page /MediaBox [0 0 200 100] /Contents 2 0 R>> endobj\n2 0 obj <<>> stream\nBT /F1 10 Tf 20 80 Td (Hello \\(PDF\\)) Tj 0 -12 Td [(Wor) 3 (ld)] TJ ET\nendstream endobj"
     df = spark.createDataFrame([(0, bytearray(b"junk")), (1, bytearray(pdf))], "doc_id long, content binary")
     assert {r.doc_id: r.status for r in backends.decode(df.where("doc_id = 0")).collect()} == {0: "error"}
+    assert {r.doc_id: r.n_pages for r in backends.page_counts(df.where("doc_id = 0")).collect()} == {0: 0}
     page = backends.decode(df.where("doc_id = 1"), "pdf").first()
     assert [s.text for s in page.spans] == ["Hello (PDF)", "World"] and page.page_width == 200 and page.spans[0].bbox.x0 == 20
 
