@@ -99,14 +99,18 @@ def swaps(row: np.ndarray, col: np.ndarray, identity=IDENTITY, buckets: int = BU
     return a[:, 0], a[:, 1], a[:, 2]
 
 
-def screened(row: np.ndarray, col: np.ndarray, label: np.ndarray, buckets: int, z: float = SCREEN) -> np.ndarray:
-    """Buckets whose share of the texts differs between the labels by ``z`` standard errors."""
-    n1, n0 = label.sum(), (1 - label).sum()
-    in1 = np.bincount(col, weights=label[row], minlength=buckets)
-    both = np.bincount(col, minlength=buckets)
+def screened(both: np.ndarray, in1: np.ndarray, n1: float, n0: float, z: float = SCREEN) -> np.ndarray:
+    """Buckets whose share of the texts differs between the labels by ``z`` standard errors.
+
+    ``both`` and ``in1`` count the texts, and those of label 1, that have each bucket.
+    """
     p = (both + 1) / (n1 + n0 + 2)
-    gap = in1 / n1 - (both - in1) / n0
-    return np.flatnonzero((both >= 2) & (np.abs(gap) >= z * np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))))
+    gap = in1 / max(n1, 1) - (both - in1) / max(n0, 1)
+    return np.flatnonzero((both >= 2) & (np.abs(gap) >= z * np.sqrt(p * (1 - p) * (1 / max(n1, 1) + 1 / max(n0, 1)))))
+
+
+def terms(identity=IDENTITY, buckets: int = BUCKETS) -> np.ndarray:
+    return np.unique(np.array([bucket(w, buckets) for group in identity for w in group], np.int64))
 
 
 def fit(row: np.ndarray, col: np.ndarray, label: np.ndarray, share: float | None = None, buckets: int = BUCKETS, l1: float = L1, cf: float = COUNTERFACTUAL, steps: int = STEPS, identity=IDENTITY) -> Model:
@@ -114,8 +118,8 @@ def fit(row: np.ndarray, col: np.ndarray, label: np.ndarray, share: float | None
     n = len(label)
     if not n or label.min() == label.max():
         return Model(np.zeros(buckets), 0.0)
-    terms = np.unique([bucket(w, buckets) for group in identity for w in group]) if identity else np.zeros(0, np.int64)
-    names = np.union1d(screened(row, col, label, buckets), terms)
+    both, in1 = np.bincount(col, minlength=buckets), np.bincount(col, weights=label[row], minlength=buckets)
+    names = np.union1d(screened(both, in1, label.sum(), n - label.sum()), terms(identity, buckets))
     a, b, times = swaps(row, col, identity, buckets)
     a, b, times = np.searchsorted(names, a), np.searchsorted(names, b), times / n
     keep = np.isin(col, names)
@@ -158,13 +162,26 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
 
     known = labels.where(F.col(label).isin(0, 1) & ~_labels.held_out(doc_id, modulus, remainder))
     share = known.agg(F.avg(F.col(label).cast("double"))).first()[0]
-    found = rows.mapInArrow(run, schema).toArrow().combine_chunks()
-    order = sorted(range(found.num_rows), key=lambda i: (found["buckets"][i].as_py(), found["label"][i].as_py()))  # the same sums whatever the partitions
-    found = found.take(pa.array(order, pa.int64()))
-    cols = [np.frombuffer(x, "<i4") for x in found["buckets"].to_pylist()]
-    label_of = np.array(found["label"].to_pylist(), float)
+    batches = rows.mapInArrow(run, schema).toArrow().to_batches()
+    opened = [(np.array(b.column(0), float), *_text.buffer(b.column(1))) for b in batches]
+    both, in1 = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    n1 = n0 = 0.0
+    for y, data, offs in opened:
+        n1, n0 = n1 + y.sum(), n0 + (1 - y).sum()
+        for i in range(len(y)):  # a text has a bucket once
+            own = data[offs[i] : offs[i + 1]].view("<i4")
+            both[own] += 1
+            if y[i]:
+                in1[own] += 1
+    kept = np.zeros(BUCKETS, bool)
+    kept[screened(both, in1, n1, n0)] = True
+    kept[terms(options.get("identity", IDENTITY))] = True
+    # only the buckets that the fit uses; in an order that does not depend on the partitions
+    texts = [(y[i], own[kept[own]].tobytes()) for y, data, offs in opened for i in range(len(y)) for own in (data[offs[i] : offs[i + 1]].view("<i4"),)]
+    texts.sort(key=lambda t: (t[1], t[0]))
+    cols = [np.frombuffer(x, "<i4") for _, x in texts]
     col = np.concatenate(cols).astype(np.int64) if cols else np.zeros(0, np.int64)
-    return fit(np.repeat(np.arange(len(cols)), [len(x) for x in cols]), col, label_of, share, **options)
+    return fit(np.repeat(np.arange(len(cols)), [len(x) for x in cols]), col, np.array([y for y, _ in texts], float), share, **options)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
