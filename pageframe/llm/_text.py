@@ -51,8 +51,8 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def pieces(batches: Iterable[pa.RecordBatch], text: int, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches of at most ``limit`` text bytes each, or of one row."""
+def pieces(batches: Iterable[pa.RecordBatch], text: int, limit: int = PIECE_BYTES, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of at most ``limit`` text bytes (or one row) and ``most`` rows each."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -60,7 +60,7 @@ def pieces(batches: Iterable[pa.RecordBatch], text: int, limit: int = PIECE_BYTE
         i = 0
         while i < batch.num_rows:
             j = int(np.searchsorted(offs, offs[i] + limit, side="right")) - 1
-            j = min(max(j, i + 1), batch.num_rows)
+            j = min(max(j, i + 1), batch.num_rows, i + most if most else batch.num_rows)
             yield batch.slice(i, j - i)
             i = j
 

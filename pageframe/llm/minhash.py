@@ -41,6 +41,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
 FINE = 256
 BLOCK = 2048
+#: Signature coordinates that are made at a time; some eight darts each are held.
+DARTS = 60_000
 
 _WORD = np.ones(256, bool)
 _WORD[[32, 9, 10, 11, 12, 13]] = False
@@ -158,7 +160,7 @@ def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_bands:
     k = n_bands * rows
 
     def run(batches):
-        for b in _text.pieces(batches, 1):
+        for b in _text.pieces(batches, 1, most=DARTS // k):
             n = b.num_rows
             r, c, h, row = cells(b.column(1))
             sig = signatures(r, c, n, k)
@@ -214,7 +216,7 @@ def _finer(texts: DataFrame, k: int = FINE) -> DataFrame:
     """(node, fine): longer byte signatures of the texts that are still in question."""
 
     def run(batches):
-        for b in _text.pieces(batches, 1):
+        for b in _text.pieces(batches, 1, most=DARTS // k):
             r, c, _, _ = cells(b.column(1))
             low = (signatures(r, c, b.num_rows, k) >> np.uint64(32)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in low], pa.binary())], names=["node", "fine"])
