@@ -9,7 +9,9 @@ pieces of a few megabytes, compressed, in a table of the shared folder. Then:
 2. A bucket tells each piece which of its anchors another piece has too.
 3. Pieces send the windows around anchors that occur twice (contexts) to the anchor's shard,
    equal contexts of a piece once, with the places where they stand. All windows with that
-   anchor meet in one shard, so a shard's index decides them exactly.
+   anchor meet in one shard, so a shard's index decides them exactly. An anchor with more
+   contexts than a shard holds is split: its windows are sent one by one, each to the shard
+   of the hash of the whole window, where equal windows still meet.
 4. The shard returns the windows to remove, and each piece removes them.
 
 Nothing is sampled or dropped: windows whose anchor occurs once in the corpus can't repeat.
@@ -103,10 +105,50 @@ def anchors(unit: np.ndarray, row: np.ndarray, window: int, gram: int) -> tuple[
     return h[p[first]], s[first], s[last]
 
 
+def window_hashes(unit: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
+    """Hash of the whole window at each start."""
+    h = np.zeros(len(start), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(window):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + unit[start + j]
+    return _text.mix(h, 51)
+
+
+def variety(unit: np.ndarray, first: np.ndarray, last: np.ndarray, group: np.ndarray, times: np.ndarray, window: int) -> np.ndarray:
+    """Per group of anchors the distinct contexts, as the power of two at or above their number."""
+    at = np.flatnonzero(times[group] > 1)
+    with np.errstate(over="ignore"):  # the first and the last window cover the context
+        h = window_hashes(unit, first[at], window) + _text.mix(window_hashes(unit, last[at], window), 52)
+    order = np.lexsort((h, group[at]))
+    g, h = group[at][order], h[order]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (h[1:] != h[:-1])
+    return np.ceil(np.log2(np.maximum(np.bincount(g[new], minlength=len(times)), 1))).astype(np.uint8)
+
+
+def dealt(unit: np.ndarray, h: np.ndarray, first: np.ndarray, last: np.ndarray, parts: np.ndarray, window: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shards of the contexts and the first and last starts of their windows.
+
+    ``parts`` is the power of two of the parts of the anchor. A context of a split anchor is
+    sent as its windows, the part by the hash of the whole window, to shards of their own;
+    there are more of these, since a byte is in many windows.
+    """
+    split = parts > 0
+    whole = ~split
+    n = (last - first + 1)[split]
+    start = np.repeat(first[split] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    with np.errstate(over="ignore"):
+        part = window_hashes(unit, start, window) & ((np.uint64(1) << np.repeat(parts[split], n).astype(np.uint64)) - np.uint64(1))
+        key = _text.mix(np.repeat(h[split], n) + _text.mix(part, 53), 32)
+    shard = (_text.mix(h[whole], 31) % np.uint64(shards)).astype(np.int64), (key % np.uint64(shards * window)).astype(np.int64) + shards
+    return tuple(np.concatenate(x) for x in (shard, (first[whole], start), (last[whole], start)))
+
+
 class Frame:
     """Counts of buckets and shards for a corpus of that many bytes."""
 
-    def __init__(self, total: int):
+    def __init__(self, total: int, window: int, width: int):
+        self.most = max(1, SHARD_BYTES // (window * width))  # contexts of an anchor, or windows, in one shard
         self.bits = max(4, int(total // BUCKET_BYTES).bit_length())
         self.shards = max(8, int(total // SHARD_BYTES))
         # an anchor stands for some 16 bytes; 12 bits more than their number keep chance hits rare
@@ -131,13 +173,14 @@ class Frame:
         return b[new], r[new], np.bincount(group) if len(group) else group, inverse
 
 
-def repeats(docs: DataFrame, units: Callable, judge: Callable, finish: Callable, schema: str, window: int, gram: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, units: Callable, judge: Callable, finish: Callable, schema: str, window: int, gram: int, doc_id: str = "doc_id", text: str = "text", width: int = 8) -> DataFrame:
     """``units(data, offs)`` gives unit hashes, rows, byte starts and ends; ``judge(contexts)``
-    decides a shard; ``finish(ids, data, offs, units, removed)`` makes a piece's rows."""
+    decides a shard; ``finish(ids, data, offs, units, removed)`` makes a piece's rows; a unit
+    has some ``width`` bytes."""
     spark = docs.sparkSession
     pieces = _text.stored(packed(docs, doc_id, text), "pieces")
     total = pieces.agg(F.sum("bytes")).first()[0] or 0
-    frame = Frame(total)
+    frame = Frame(total, window, width)
     body = pieces.select("piece", "ids", "offs", "blob")
 
     def send(batches):
@@ -145,10 +188,12 @@ def repeats(docs: DataFrame, units: Callable, judge: Callable, finish: Callable,
             for i in range(b.num_rows):
                 piece, _, offs, data = _open(b, i)
                 unit, row, _, _ = units(data, offs)
-                bucket, rest, _, _ = frame.unique(anchors(unit, row, window, gram)[0])
-                names, first = np.unique(bucket, return_index=True)
-                cuts = np.append(first, len(bucket))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.full(len(names), piece), pa.int64()), pa.array([rest[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["bucket", "piece", "hashes"])
+                h, first, last = anchors(unit, row, window, gram)
+                bucket, rest, times, inverse = frame.unique(h)
+                many = variety(unit, first, last, inverse, times, window)
+                names, begin = np.unique(bucket, return_index=True)
+                cuts = np.append(begin, len(bucket))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.full(len(names), piece), pa.int64()), *(pa.array([z[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for z in (rest, many))], names=["bucket", "piece", "hashes", "many"])
 
     def count(table: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x, frame.dtype) for x in table.column("hashes").to_pylist()]
@@ -161,11 +206,18 @@ def repeats(docs: DataFrame, units: Callable, judge: Callable, finish: Callable,
         same[:-1] |= eq
         live = np.empty(len(s), bool)
         live[order] = same
+        new = np.ones(len(s), bool)
+        new[1:] = ~eq
+        contexts = np.exp2(np.frombuffer(b"".join(table.column("many").to_pylist()), np.uint8)[order].astype(float))
+        contexts = np.add.reduceat(contexts, np.flatnonzero(new))
+        split = np.empty(len(s), np.uint8)
+        split[order] = np.where(contexts > frame.most, np.ceil(np.log2(contexts * (window - gram + 1) / frame.most)), 0)[np.cumsum(new) - 1]
         cuts = np.cumsum([0, *map(len, parts)])
-        return pa.table({"piece": table.column("piece"), "bucket": table.column("bucket"), "bits": pa.array([np.packbits(live[x:y]).tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+        each = lambda f: pa.array([f(slice(x, y)) for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+        return pa.table({"piece": table.column("piece"), "bucket": table.column("bucket"), "bits": each(lambda k: np.packbits(live[k]).tobytes()), "split": each(lambda k: split[k].tobytes() if split[k].any() else b"")})
 
-    bits = body.mapInArrow(send, "bucket long, piece long, hashes binary").groupBy("bucket").applyInArrow(count, "piece long, bucket long, bits binary")
-    flags = bits.groupBy("piece").agg(F.collect_list(F.struct("bucket", "bits")).alias("flags"))
+    bits = body.mapInArrow(send, "bucket long, piece long, hashes binary, many binary").groupBy("bucket").applyInArrow(count, "piece long, bucket long, bits binary, split binary")
+    flags = bits.groupBy("piece").agg(F.collect_list(F.struct("bucket", "bits", "split")).alias("flags"))
 
     def contexts(batches):
         for b in batches:
@@ -176,14 +228,17 @@ def repeats(docs: DataFrame, units: Callable, judge: Callable, finish: Callable,
                 if not len(h):
                     continue
                 bucket, rest, times, inverse = frame.unique(h)
-                live = times > 1
+                live, split = times > 1, np.zeros(len(times), np.uint8)
                 start = dict(zip(*(x.tolist() for x in np.unique(bucket, return_index=True)), strict=True))
                 for f in b.column(4)[i].as_py() or ():
                     at = start[f["bucket"]]
                     got = np.unpackbits(np.frombuffer(f["bits"], np.uint8)).astype(bool)
                     size = min(len(got), len(live) - at)
                     live[at : at + size] |= got[:size] & (bucket[at : at + size] == f["bucket"])
-                yield from _contexts(piece, ids, data, row, s, e, h, first, last, live[inverse], window, frame.shards, first_unit=_text.starts_of(row, len(ids)))
+                    split[at : at + len(f["split"])] = np.frombuffer(f["split"], np.uint8)
+                kept = live[inverse]
+                shard, first, last = dealt(unit, h[kept], first[kept], last[kept], split[inverse][kept], window, frame.shards)
+                yield from _contexts(piece, ids, data, row, s, e, shard, first, last, window, first_unit=_text.starts_of(row, len(ids)))
 
     sent = body.join(flags, "piece", "left").mapInArrow(contexts, "shard long, piece long, texts binary, sizes binary, refs binary")
 
@@ -231,12 +286,10 @@ def _spread(blob: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def _contexts(piece, ids, data, row, s, e, h, first, last, live, window, shards, first_unit):
+def _contexts(piece, ids, data, row, s, e, shard, first, last, window, first_unit):
     """A piece's live contexts, equal ones once, by shard."""
-    at = np.flatnonzero(live)
-    shard = (_text.mix(h[at], 31) % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    at, shard = at[order], shard[order]
+    at = np.argsort(shard, kind="stable")
+    shard = shard[at]
     x, y = s[first[at]].tolist(), e[last[at] + window - 1].tolist()
     doc = row[first[at]]
     start = first[at] - first_unit[doc]

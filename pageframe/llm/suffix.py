@@ -171,7 +171,11 @@ def judge(pieces: list[int], rows: list, window: int):
     sizes = np.array(found.sizes, np.int64)
     data = np.frombuffer(b"\0".join(found.texts) + b"\0", np.uint8)
     at = np.cumsum(sizes + 1) - 1
-    sa = induced_sort(data, at)
+    spill = Spill(folder=tempfile.gettempdir())  # the executor's own
+    try:
+        sa = induced_sort(data, at, spill)
+    finally:
+        spill.close()
     begin = at - sizes
     count = sizes - window + 1
     base = np.cumsum(count) - count
@@ -225,7 +229,7 @@ def _finish(ids, data, offs, found, gone):
 def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id, bytes, bytes removed, spans removed, hash of the kept bytes, the spans, the kept bytes."""
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
-    return passages.repeats(docs, units, judge, _finish, schema, window, gram, doc_id, text)
+    return passages.repeats(docs, units, judge, _finish, schema, window, gram, doc_id, text, width=1)
 
 
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

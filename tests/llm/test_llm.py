@@ -163,6 +163,48 @@ def test_induced_sort(seed, tmp_path):
     assert suffix.induced_sort(data, at, suffix.Spill(0, str(tmp_path))).tolist() == want
 
 
+def test_common_anchor_is_split(spark, monkeypatch):
+    """Contexts of one very common gram exceed a shard many times; they are split and still decided exactly."""
+    rng = random.Random(7)
+    limit, rule = 20_000, "_" * 19 + ":"  # of low hash, so it is the anchor of its windows
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    docs = [(i, "\n".join(text(40) + rule + text(40) for _ in range(10))) for i in range(300)]
+    docs += [(300 + i, f"{text(60)} {docs[7 * i][1][100:400]} {text(60)}") for i in range(40)]
+    monkeypatch.setattr(passages, "SHARD_BYTES", limit)
+
+    def judged(pieces, rows_, window):
+        assert sum(len(t) for t in passages.Contexts(rows_, False).texts) < 3 * limit
+        yield from suffix.judge(pieces, rows_, window)
+
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = passages.repeats(df, suffix.units, judged, suffix._finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary", 50, 20)
+    first, want = {}, {}
+    for i, t in docs:
+        for k in range(len(t) - 49):
+            first.setdefault(t[k : k + 50], i)
+    for i, t in docs:
+        gone = bytearray(len(t))
+        for k in range(len(t) - 49):
+            if first[t[k : k + 50]] < i:
+                gone[k : k + 50] = b"\1" * 50
+        want[i] = sum(gone)
+    assert {r.doc_id: r.n_removed for r in got.collect()} == want and sum(want.values()) >= 40 * 300
+
+
+def test_judge_spills(tmp_path, monkeypatch):
+    """In a task the queues beyond the bound go to a file in the temporary folder."""
+    made = []
+    monkeypatch.setattr(suffix.tempfile, "gettempdir", lambda: str(tmp_path))
+    monkeypatch.setattr(suffix.tempfile, "mkstemp", lambda f=suffix.tempfile.mkstemp, **k: made.append(k["dir"]) or f(**k))
+    monkeypatch.setattr(suffix.Spill.__init__, "__defaults__", (0, None))
+    text = bytes(range(65, 91)) * 4
+    blob = passages.zstandard.compress(text)
+    size = np.array([[len(text)], [len(text)]], "<u4").tobytes()
+    refs = lambda d: passages._squeezed({"context": np.array([0]), "nth": np.array([0]), "start": np.array([0]), "doc": np.array([d])})
+    got = list(suffix.judge([1, 2], [(blob, size, refs(1)), (blob, size, refs(2))], 50))
+    assert [p for p, _ in got] == [2] and made == [str(tmp_path)]
+
+
 def test_fm_index():
     rng = np.random.default_rng(1)
     t = np.concatenate([rng.integers(2, 9, 300), [1], rng.integers(2, 9, 200), [0]])
