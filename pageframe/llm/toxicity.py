@@ -10,7 +10,8 @@ the labels by ``SCREEN`` standard errors, by proximal gradient steps on
 
 where x' is a labelled text x in which an identity term is swapped for another term of its
 set (``IDENTITY``, a parameter). The penalty ties the weights of the terms of one set, so
-that naming a group does not by itself raise or lower a score.
+that naming a group does not by itself raise or lower a score. Identity terms have no
+beginnings as features, so a term is in a text by its own bucket alone, which the swap moves.
 
 Only the weights (``BUCKETS`` floats) are broadcast; scoring is one pass over the documents
 in the tasks that read them. Labels, lang, source and doc_id are never features.
@@ -54,8 +55,8 @@ _LETTER[97:123] = True
 _LETTER[128:] = True
 
 
-def features(column: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """Row and bucket of each distinct word and word beginning of each text, sorted."""
+def features(column: pa.Array, buckets: int = BUCKETS, identity=IDENTITY) -> tuple[np.ndarray, np.ndarray]:
+    """Row and bucket of each distinct word, and of its beginnings if no identity term, of each text, sorted."""
     data, offs = _text.buffer(column)
     data = _LOW[data]
     s, e, row = _text.spans(data, offs, _LETTER)
@@ -65,6 +66,7 @@ def features(column: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.n
     new[1:] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
     first = order[new]
     parts = [(row[first], h[first])]
+    first = first[~np.isin(h[first], np.array([_hash(w) for group in identity for w in group], np.uint64))]
     for n in PREFIXES:
         long = first[e[first] - s[first] > n]
         parts.append((row[long], _text.mix(_text.hashes(data, s[long], s[long] + n), n)))
@@ -72,18 +74,22 @@ def features(column: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.n
     return both // buckets, both % buckets
 
 
+def _hash(word: str) -> np.uint64:
+    data = _LOW[np.frombuffer(word.encode(), np.uint8)]
+    return _text.hashes(data, np.array([0]), np.array([len(data)]))[0]
+
+
 def bucket(word: str, buckets: int = BUCKETS) -> int:
     """The bucket of a whole word."""
-    data = _LOW[np.frombuffer(word.encode(), np.uint8)]
-    return int(_text.hashes(data, np.array([0]), np.array([len(data)]))[0] % np.uint64(buckets))
+    return int(_hash(word) % np.uint64(buckets))
 
 
 class Model:
-    def __init__(self, weights: np.ndarray, bias: float):
-        self.weights, self.bias = weights, bias
+    def __init__(self, weights: np.ndarray, bias: float, identity=IDENTITY):
+        self.weights, self.bias, self.identity = weights, bias, identity
 
     def score(self, column: pa.Array) -> np.ndarray:
-        row, b = features(column, len(self.weights))
+        row, b = features(column, len(self.weights), self.identity)
         z = np.bincount(row, weights=self.weights[b], minlength=len(column)) if len(row) else np.zeros(len(column))
         return _labels.sigmoid(z + self.bias)
 
@@ -117,7 +123,7 @@ def fit(row: np.ndarray, col: np.ndarray, label: np.ndarray, share: float | None
     """Proximal steps over all sampled rows; ``share`` is that of label 1 outside the sample."""
     n = len(label)
     if not n or label.min() == label.max():
-        return Model(np.zeros(buckets), 0.0)
+        return Model(np.zeros(buckets), 0.0, identity)
     both, in1 = np.bincount(col, minlength=buckets), np.bincount(col, weights=label[row], minlength=buckets)
     names = np.union1d(screened(both, in1, label.sum(), n - label.sum()), terms(identity, buckets))
     a, b, times = swaps(row, col, identity, buckets)
@@ -144,7 +150,7 @@ def fit(row: np.ndarray, col: np.ndarray, label: np.ndarray, share: float | None
         bias += np.log(share / (1 - share)) - np.log(label.mean() / (1 - label.mean()))
     full = np.zeros(buckets)
     full[names] = w
-    return Model(full, float(bias))
+    return Model(full, float(bias), identity)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, remainder: int = 2, per_class: int = PER_CLASS, doc_id: str = "doc_id", text: str = "text", **options) -> Model:
@@ -152,10 +158,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     chosen = _labels.sample(labels, label, modulus, remainder, per_class)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "label")
     schema = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("buckets", T.BinaryType())])
+    identity = options.get("identity", IDENTITY)
 
     def run(batches):
         for b in _text.pieces(batches, 0):
-            row, col = features(b.column(0))
+            row, col = features(b.column(0), identity=identity)
             cuts = np.searchsorted(row, np.arange(b.num_rows + 1))
             col = col.astype("<i4")
             yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int32()), pa.array([col[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=schema.names)
@@ -175,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
                 in1[own] += 1
     kept = np.zeros(BUCKETS, bool)
     kept[screened(both, in1, n1, n0)] = True
-    kept[terms(options.get("identity", IDENTITY))] = True
+    kept[terms(identity)] = True
     # only the buckets that the fit uses; in an order that does not depend on the partitions
     texts = [(y[i], own[kept[own]].tobytes()) for y, data, offs in opened for i in range(len(y)) for own in (data[offs[i] : offs[i + 1]].view("<i4"),)]
     texts.sort(key=lambda t: (t[1], t[0]))

@@ -280,6 +280,25 @@ def test_counterfactual_penalty():
     assert gap(tied) < 0.3 * gap(free) and tied.weights[bad] > 0
 
 
+def test_counterfactual_penalty_on_sentences():
+    """Terms have the same score in the same neutral sentence, though one leans toxic in the sample."""
+    rng = random.Random(3)
+    texts, label = [], []
+    for i in range(2000):
+        toxic = i % 2
+        term = "muslim" if rng.random() < (0.8 if toxic else 0.2) else "christian"
+        texts.append(f"the {term} neighbours {'idiot' if toxic and rng.random() < 0.7 else 'friend'} came on day{rng.randrange(50)}")
+        label.append(toxic)
+    row, col = toxicity.features(pa.array(texts))
+    z = lambda cf: np.diff(toxicity.fit(row, col, np.array(label, float), cf=cf).score(pa.array(["the muslim neighbours came", "the christian neighbours came"])))
+    free, tied = abs(z(0.0)[0]), abs(z(1.0)[0])
+    assert free > 0.1 and tied < 0.05
+    own = (("idiot", "friend"),)  # a list of one's own holds for fitting and scoring
+    row, col = toxicity.features(pa.array(texts), identity=own)
+    model = toxicity.fit(row, col, np.array(label, float), cf=50.0, identity=own)
+    assert abs(np.diff(model.score(pa.array(["an idiot", "a friend"])))[0]) < 0.05
+
+
 def test_classifiers_odd(spark, odd, empty):
     labels = spark.createDataFrame([(i, i % 2, (i + 1) % 2, "x") for i in range(1, 11)] + [(4, None, None, "x"), (None, 1, 1, "x")], "doc_id long, toxic int, quality int, text string")
     for m, f in ((toxicity.train(odd, labels), toxicity.score), (quality.train(odd, labels), quality.score), (toxicity.train(odd, labels.limit(0)), toxicity.score), (quality.train(odd, labels.limit(0)), quality.score)):
