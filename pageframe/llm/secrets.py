@@ -3,8 +3,10 @@
 Base kinds (leftmost, non-overlapping, per kind): ``assign`` (a value assigned to a
 password-like name), ``access`` (access-key ids) and ``hex`` (long lower-case hex runs).
 
-The battery adds kind ``random``. A candidate is a maximal run of at least ``MIN_TOKEN``
-characters of the base-64 alphabets. Its encoding is inferred from the characters that
+The battery adds kind ``random``. Runs of the characters of all encodings are cut at ``=``
+(but for final padding), as in NAME=value; the candidates are the maximal runs of each
+encoding's alphabet of at least ``MIN_TOKEN`` characters within, equal ones once, so that a
+value glued to a path or a prefix is tested by itself too. A candidate's encoding is inferred from the characters that
 occur (hex, base 32, base 36, base 62, base 64). Since a secret is what looks uniform, each
 test has "not random" as its null hypothesis, so that a small p-value speaks for a secret:
 
@@ -17,7 +19,8 @@ test has "not random" as its null hypothesis, so that a small p-value speaks for
 All three must reject, so a token's p-value is their maximum. Within a document, the
 p-values go through the Benjamini-Hochberg procedure at rate ``FDR`` with weights
 proportional to the tokens' lengths (long tokens carry more evidence and get more of the
-error rate). The family is the document, so no result depends on other rows.
+error rate). The family is the document, so no result depends on other rows. Finds that
+overlap are one span.
 
 Defined results: null and empty texts have no spans; repeated rows each give a row; whole
 texts are scanned; other columns are left out (``scan``) or kept (``redact``).
@@ -61,6 +64,7 @@ ENCODINGS = (
     ("base64", _UP + _LOW + _DIG + b"+/", 1.8),
     ("base64url", _UP + _LOW + _DIG + b"-_", 1.8),
 )
+_RUNS = [re.compile(b"[" + re.escape(letters) + b"]{%d,}" % MIN_TOKEN) for _, letters, _ in ENCODINGS]
 _PLACE = []
 for _, _letters, _ in ENCODINGS:
     _table = np.full(256, -1)
@@ -117,6 +121,17 @@ def p_value(token: bytes) -> float:
     return max(uniform, runs, serial)
 
 
+def candidates(run: bytes) -> list[tuple[int, int]]:
+    """Places of the candidates in a run of token characters, in order."""
+    out = set()
+    for m in re.finditer(rb"[^=]+", run):
+        final = not run[m.end() :].strip(b"=")
+        for rx in _RUNS:
+            for t in rx.finditer(run, m.start(), m.end()):
+                out.add((t.start(), len(run) if final and t.end() == m.end() else t.end()))
+    return sorted(out)
+
+
 def discoveries(tokens: list[bytes], rate: float = FDR) -> list[bool]:
     """Weighted Benjamini-Hochberg over one document's tokens, weights by length."""
     if not tokens:
@@ -152,10 +167,16 @@ def scan_column(column: pa.Array) -> list[list[tuple[int, int, int, int, int]]]:
             out.append([])
             continue
         base = sorted((x, y, k) for k, x, y in own if k < 3)
-        extra = [(x, y) for k, x, y in own if k == 3]
+        extra = [(x + a, x + b) for k, x, y in own if k == 3 for a, b in candidates(raw[x:y])]
         extra = [t for t in extra if not any(x <= t[0] and t[1] <= y for x, y, _ in base)]
         hit = discoveries([raw[x:y] for x, y in extra])
-        every = sorted([*base, *((x, y, 3) for (x, y), good in zip(extra, hit, strict=True) if good)], key=lambda t: (t[0], t[2]))
+        joined: list[tuple[int, int, int]] = []
+        for x, y in sorted(t for t, good in zip(extra, hit, strict=True) if good):
+            if joined and x < joined[-1][1]:
+                joined[-1] = (joined[-1][0], max(y, joined[-1][1]), 3)
+            else:
+                joined.append((x, y, 3))
+        every = sorted([*base, *joined], key=lambda t: (t[0], t[2]))
         if not every:
             out.append([])
             continue

@@ -528,6 +528,27 @@ def test_battery():
     assert any(secrets.discoveries([*words_, drawn[0]]))
 
 
+def test_battery_finds_glued_values():
+    """Values after a name, in a URL, a path or behind a prefix are tested by themselves."""
+    rng = random.Random(5)
+    letters = dict((n, a) for n, a, _ in secrets.ENCODINGS)
+    draw = lambda name, n: bytes(rng.choice(letters[name]) for _ in range(n)).decode()
+    forms = ("CLIENT_KEY={}", "GITHUB_PAT=ghp_{}", "https://x.example/get?sig={}&n=1", "/srv/my-app/data_dir/{}", "a+b/c-d_{}", "id={}==")
+    for form in forms:
+        hits = 0
+        for _ in range(50):
+            value = draw("base62", 40)
+            text = "see " + form.format(value) + " there"
+            found = secrets.scan_column(pa.array([text]))[0]
+            assert len(found) <= 1
+            hits += any(k == 3 and x <= text.index(value) and y >= text.index(value) + 40 for x, y, k, _, _ in found)
+        assert hits >= 40, (form, hits)
+    plain = ["/usr/share/some_long-directory/name_of-things", "INTERNATIONALIZATION_SETTING=configuration_management", "https://x.example/a_long-path/of_some-words?query=internationalization"]
+    assert secrets.scan_column(pa.array(plain)) == [[], [], []]
+    padded = draw("base64", 40) + "=="
+    assert secrets.candidates(padded.encode())[-1][1] == 42 and secrets.candidates(f"A=={'b' * 20}=".encode()) == [(3, 24)]
+
+
 def test_secrets_odd(spark, odd, empty):
     assert secrets.scan(odd).where("size(spans) > 0").count() == 0
     df = spark.createDataFrame([(1, "é token = abcdefgh ok", 21, "k")], "doc_id long, text string, n_chars long, kind string")
