@@ -25,8 +25,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the first sixty lines of each document, standing in for glyphs."""
-    raw = lines(spark, sf_dir).where("ord < 60").select("doc_id", "page_number", "ord", "x0", "y0", F.posexplode(F.split("text", " ", -1)).alias("w", "word"))
+    """Words of all lines of each document, standing in for glyphs; the SQL view ends after sixty lines."""
+    raw = lines(spark, sf_dir).select("doc_id", "page_number", "ord", "x0", "y0", F.posexplode(F.split("text", " ", -1)).alias("w", "word"))
     return raw.select(
         "doc_id", "page_number", "ord", F.col("w").alias("word_ord"), F.col("word").alias("text"), _d("x0 + 30 * w").alias("x0"), _d("y0 + 0.5 * (w % 3)").alias("top"),
         _d("x0 + 30 * w + 5 * length(word)").alias("x1"), _d("y0 + 0.5 * (w % 3) + 10").alias("bottom"),

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pageframe.operators import grid, image, lines as L, normalize, spatial as S
-from pageframe.plans import modes
+from pageframe.plans import catalog, modes
 from pageframe.sources import backends, files
 
 
@@ -148,3 +148,30 @@ def test_box_order_in_pages(spark):
     df = spark.createDataFrame([(1, 1, 0, "b", 5.0, 1.0, 6.0, 2.0), (1, 1, 1, "a", 0.0, 1.0, 2.0, 2.0)], "doc_id long, page_number int, ord int, text string, x0 double, y0 double, x1 double, y1 double")
     got = L.pages_of(df, ["y0", "x0", "ord"]).first()
     assert got.content == "a\nb" and tuple(got.text_blocks[0].bbox) == (0, 1, 2, 2)
+
+
+def test_words_of_long_documents(spark, tmp_path):
+    """The queries over words see every line of documents beyond sixty lines."""
+    texts = {1: "\n".join(f"a{i} b{i % 7} c" for i in range(130)), 2: "x y"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    exact, tolerant, union, content = {}, {}, {}, {}
+    for doc, text in texts.items():
+        for o, raw in enumerate(text.split("\n")):
+            line = "  " if o % 17 == 16 else raw
+            page = doc, o // 40 + 1
+            for w, word in enumerate(line.split(" ")):
+                x0, top = 72 + 18 * (o % 3) + 30 * w, 72 + 14 * (o % 40) + 3 * (o % 2) + 0.5 * (w % 3)
+                exact.setdefault((*page, top), []).append((x0, o, w, word))
+                tolerant.setdefault((*page, round(top / 3) * 3), []).append((x0, top, o, w, word))
+                box = x0, top, x0 + 5 * len(word), top + 10
+                old = union.get(page, box)
+                union[page] = (*map(min, old[:2], box[:2]), *map(max, old[2:], box[2:]))
+                if word:
+                    content.setdefault(page, []).append(word)
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    joined = lambda groups: {k: t for k, g in groups.items() if (t := "".join(x[-1] for x in sorted(g)))}
+    assert {(r.doc_id, r.page_number, r.line_y): r.text for r in run("glyph_lines_exact")} == joined(exact)
+    assert {(r.doc_id, r.page_number, r.line_y): r.text for r in run("glyph_lines_tolerant")} == joined(tolerant)
+    assert {(r.doc_id, r.page_number): (r.x0, r.y0, r.x1, r.y1) for r in run("bbox_union_page")} == union
+    assert {(r.doc_id, r.page_number): r.content for r in run("ocr_word_content")} == {k: " ".join(v) for k, v in content.items()}
+    assert max(k[1] for k in union) == 4
