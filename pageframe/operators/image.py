@@ -53,7 +53,10 @@ def contrast(gray: np.ndarray, alpha: float = 1.5) -> np.ndarray:
 
 def hull(points: np.ndarray) -> np.ndarray:
     """Convex hull, counter-clockwise."""
-    p = np.unique(points, axis=0)
+    p = points[np.lexsort((points[:, 1], points[:, 0]))]
+    ends = np.ones(len(p), bool)  # only the ends of a row can be corners
+    ends[1:-1] = (p[1:-1, 0] != p[:-2, 0]) | (p[1:-1, 0] != p[2:, 0])
+    p = np.unique(p[ends], axis=0)
     if len(p) < 3:
         return p
 
@@ -153,19 +156,60 @@ def for_embedded(image: np.ndarray) -> np.ndarray:
     return contrast(to_gray(image, rgb=True))
 
 
+def page(data: bytes, lean: int) -> np.ndarray:
+    """All bytes as a page of some 5 rows to 4 columns on white; a row stands ``lean`` sixteenths of a pixel right of the one above."""
+    n = len(data)
+    if not n:
+        return np.zeros((0, 0), np.uint8)
+    w = int(np.ceil(0.8 * np.sqrt(n)))
+    h = -(-n // w)
+    cells = np.full(h * w, 255, np.uint8)
+    cells[:n] = np.frombuffer(data, np.uint8)
+    right = np.arange(h) * lean // 16
+    out = np.full((h, w + int(right[-1])), 255, np.uint8)
+    out[np.arange(h)[:, None], right[:, None] + np.arange(w)] = cells.reshape(h, w)
+    return out
+
+
+KINDS = "origin string, height int, width int, nChannels int, data binary"
+HELD = 8 << 20
+
+
+def _batches(rows):
+    """Rows of ``KINDS`` as frames of bounded size."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += len(r[-1])
+        if size >= HELD:
+            yield pd.DataFrame(held, columns=["origin", "height", "width", "nChannels", "data"])
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=["origin", "height", "width", "nChannels", "data"])
+
+
+def leaning(docs: DataFrame) -> DataFrame:
+    """Rows of Spark's image source made of (doc_id, data): the page of the bytes, leaning by doc_id modulo 4."""
+
+    def rows(parts):
+        for part in parts:
+            for i, data in zip(part["doc_id"], part["data"], strict=True):
+                out = page(data, 0 if pd.isna(i) else int(i) % 4)
+                yield None if pd.isna(i) else str(int(i)), *out.shape, 1, out.tobytes()
+
+    return docs.select("doc_id", "data").mapInPandas(lambda parts: _batches(rows(parts)), KINDS)
+
+
 def processed(images: DataFrame, step=preprocess) -> DataFrame:
     """Rows of Spark's image source (origin, height, width, nChannels, data) after a step."""
-    kinds = "origin string, height int, width int, nChannels int, data binary"
 
-    def run(parts):
+    def rows(parts):
         for part in parts:
-            rows = []
             for r in part.itertuples(index=False):
                 out = step(np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels))
-                rows.append((r.origin, out.shape[0], out.shape[1], 1 if out.ndim == 2 else out.shape[2], out.tobytes()))
-            yield pd.DataFrame(rows, columns=["origin", "height", "width", "nChannels", "data"])
+                yield r.origin, out.shape[0], out.shape[1], 1 if out.ndim == 2 else out.shape[2], out.tobytes()
 
-    return images.select("origin", "height", "width", "nChannels", "data").mapInPandas(run, kinds)
+    return images.select("origin", "height", "width", "nChannels", "data").mapInPandas(lambda parts: _batches(rows(parts)), KINDS)
 
 
 def otsu_of(histogram: DataFrame, keys: list[str], level: str = "level", n: str = "n") -> DataFrame:

@@ -407,9 +407,9 @@ def otsu_threshold(spark, d):
 
 
 def _rasters(spark, d) -> DataFrame:
-    """Small gray rasters made of the documents' bytes."""
-    raw = fx.table(spark, d, "documents").where("octet_length(text) >= 400")
-    return raw.select(F.col("doc_id").cast("string").alias("origin"), F.lit(20).alias("height"), F.lit(20).alias("width"), F.lit(1).alias("nChannels"), F.substring(F.encode("text", "UTF-8"), 1, 400).alias("data"))
+    """Leaning gray rasters made of all bytes of the documents; empty and null texts are empty rasters."""
+    raw = fx.table(spark, d, "documents").select("doc_id", F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("data"))
+    return image.leaning(raw)
 
 
 @query(None)

@@ -175,3 +175,22 @@ def test_words_of_long_documents(spark, tmp_path):
     assert {(r.doc_id, r.page_number): (r.x0, r.y0, r.x1, r.y1) for r in run("bbox_union_page")} == union
     assert {(r.doc_id, r.page_number): r.content for r in run("ocr_word_content")} == {k: " ".join(v) for k, v in content.items()}
     assert max(k[1] for k in union) == 4
+
+
+def test_rasters_of_whole_texts(spark, tmp_path):
+    """Every document is a raster of all its bytes; leaning pages are rotated, as by a plain version."""
+    rng = np.random.default_rng(3)
+    texts = {i: "".join(map(chr, rng.integers(32, 127, n))) for i, n in enumerate([1, 399, 400, 3001, 20_003, 950, 2000, 1203])} | {8: "", 9: None, 10: "é日本 " * 90}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    d, turned = str(tmp_path), 0
+    made = {int(r.origin): np.frombuffer(r.data, np.uint8).reshape(r.height, r.width) for r in catalog._rasters(spark, d).collect()}
+    assert {i: m[m < 255].tobytes().decode() for i, m in made.items()} == {i: t or "" for i, t in texts.items()}
+    assert len({m.shape for m in made.values()}) > 7 and (made[4] < 255).sum() > image.DESKEW_POINTS
+    for name, step in (("deskew_image", image.deskew), ("preprocess_image", image.preprocess)):
+        got = {int(r.origin): r for r in catalog.QUERIES[name](spark, d).collect()}
+        assert set(got) == set(texts)
+        for i, m in made.items():
+            assert bytes(got[i].data) == step(m).tobytes() and (got[i].height, got[i].width) == m.shape
+            turned += name == "deskew_image" and bytes(got[i].data) != m.tobytes()
+    assert turned >= 4
+    assert [abs(round(np.degrees(np.arctan(k / 16)) - abs(image.skew_angle(made[i])))) for i, k in ((3, 3), (6, 2), (7, 3))] == [0, 0, 0]
