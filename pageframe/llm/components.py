@@ -14,7 +14,7 @@ from . import _text
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) for each node of ``links``, root the smallest node of its component.
+    """(node, root), stored, for each node of ``links``, root the smallest node of its component.
 
     Self links, repeated links and links either way round are fine; links with a null end
     are ignored; an empty table gives no rows.
@@ -33,9 +33,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # done when every node has one link and no root has one
         state = new.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
         busy = state.where("n > 1").limit(1).count() or new.join(state.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
+        _text.discard(link)
         link = new
         if not busy:
             break
     roots = link.select(F.col("u").alias("node"), F.col("v").alias("root"))
     own = links.select(F.col(a).alias("node")).unionAll(links.select(F.col(b))).where("node is not null").distinct()
-    return own.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    out = _text.stored(own.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "components")
+    _text.discard(link)
+    return out

@@ -21,7 +21,8 @@ more below the threshold) and then exactly, on both texts. Classes are the conne
 components of the verified links.
 
 Defined results: null and empty texts and texts of white space are in no bucket, each its own
-class; equal texts are one class; rows that share an id are one document; extra columns are
+class; equal texts are one class; rows that share an id are one document, linked to all that one
+of its texts is linked to; a null id is in the class of the documents of its words, or in none; extra columns are
 ignored; an empty table gives no rows.
 """
 
@@ -41,6 +42,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
 FINE = 256
 BLOCK = 2048
+#: Cells (words) of the texts of a block that are measured together.
+BLOCK_CELLS = 1 << 20
 #: Signature coordinates that are made at a time; some eight darts each are held.
 DARTS = 60_000
 
@@ -213,60 +216,126 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
 
 def _finer(texts: DataFrame, k: int = FINE) -> DataFrame:
-    """(node, fine): longer byte signatures of the texts that are still in question."""
+    """(node, size, fine): longer byte signatures of the texts that are still in question."""
 
     def run(batches):
         for b in _text.pieces(batches, 1, most=DARTS // k):
             r, c, _, _ = cells(b.column(1))
             low = (signatures(r, c, b.num_rows, k) >> np.uint64(32)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in low], pa.binary())], names=["node", "fine"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.bincount(r, minlength=b.num_rows), pa.int64()), pa.array([x.tobytes() for x in low], pa.binary())], names=["node", "size", "fine"])
 
     kind = texts.schema["node"].dataType.simpleString()
-    return texts.select("node", "text").mapInArrow(run, f"node {kind}, fine binary")
-
-
-def _across(live: DataFrame, details: DataFrame, threshold: float, block: int = BLOCK, k: int = FINE) -> DataFrame:
-    """Pairs of different classes that share a bucket and whose fine signatures are close.
-
-    A bucket's rows are compared in the task, in blocks of about ``block`` rows (a larger
-    bucket meets itself block by block), and only close pairs are emitted, each in the first
-    bucket that it shares. ``details``: node, bands, fine.
+    return texts.select("node", "text").mapInArrow(run, f"node {kind}, size long, fine binary")
+
+
+class _Block:
+    """The rows of one bucket, or of two parts of a large one, and which pairs of them are open."""
+
+    def __init__(self, table: pa.Table, threshold: float):
+        k = len(table.column("fine")[0].as_py())
+        self.least = threshold - 4 * np.sqrt(threshold * (1 - threshold) / k)
+        self.threshold = threshold
+        # by weight, so that the partners of a row are one run of rows
+        table = table.sort_by([("size", "ascending"), ("node", "ascending")])
+        self.node, self.size, self.own = table.column("node").to_pylist(), table.column("size").to_numpy(), table.column("own").to_numpy()
+        _, self.comp = np.unique(np.array(table.column("comp").to_pylist(), object).astype(str), return_inverse=True)
+        self.apart = table.column("lo")[0].as_py() < table.column("hi")[0].as_py()
+        self.fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(len(self.node), -1)
+        self.keys = np.array(table.column("bands").to_pylist(), np.int64)
+        self.band = int(np.flatnonzero(self.keys[0] == table.column("bucket")[0].as_py())[0])
+        self.table = table
+
+    def partners(self, i: int) -> np.ndarray:
+        """Later rows of another class and fitting weight whose fine signature is close; pairs of an earlier band are its own."""
+        end = int(np.searchsorted(self.size, self.size[i] / self.threshold + 1e-9, side="right"))
+        j = np.arange(i + 1, end)
+        j = j[(self.comp[j] != self.comp[i]) & ((self.own[j] != self.own[i]) if self.apart else True)]
+        if len(j):
+            j = j[(self.fine[j] == self.fine[i]).mean(1) >= self.least]
+        if len(j):
+            j = j[~(self.keys[j, : self.band] == self.keys[i, : self.band]).any(1)]
+        return j
+
+
+def _spread(rows: DataFrame, block: int, most: int) -> DataFrame:
+    """Each row (bucket, node, comp, size) once per pair of parts of its bucket that it belongs to.
+
+    Buckets of at most ``block`` rows and ``most`` cells are one part.
+    """
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / most)).cast("int")
+    hot = rows.groupBy("bucket").agg(parts.alias("parts")).where("parts > 1")
+    own = rows.join(hot, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    other = F.sequence(F.lit(0), F.col("parts") - 1)
+    return own.select("*", F.explode(other).alias("other")).select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "comp")
+
+
+def _across(live: DataFrame, details: DataFrame, texts: DataFrame, threshold: float, block: int = BLOCK, most: int = BLOCK_CELLS) -> DataFrame:
+    """Verified links (a, b) between different classes that share a bucket.
+
+    A bucket's rows are compared in the task, in blocks of bounded rows and cells (a larger
+    bucket meets itself block by block). A first pass finds, by fine signatures, the rows
+    of a block that have a close partner of another class; only they are given their texts, and
+    a second pass over the same buckets measures these pairs on their cells. No pair leaves a
+    task unless it is a link, and of the links that join the same classes one is enough, so a block
+    returns fewer links than it has classes. ``details``: node, size, bands, fine.
     """
-    least = threshold - 4 * np.sqrt(threshold * (1 - threshold) / k)
-    sizes = live.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    own = live.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    spread = own.select("*", F.explode(other).alias("other")).select(
-        "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "comp"
-    ).join(details, "node")
-
-    def run(table: pa.Table) -> pa.Table:
-        node, comp, own = (table.column(n).to_numpy() for n in ("node", "comp", "own"))
-        bucket, lo, hi = (table.column(n)[0].as_py() for n in ("bucket", "lo", "hi"))
-        fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(len(node), -1)
-        keys = np.array(table.column("bands").to_pylist(), np.int64)
-        band = int(np.flatnonzero(keys[0] == bucket)[0])
-        a, b = [node[:0]], [node[:0]]
-        for i in range(len(node)):
-            j = np.flatnonzero((comp != comp[i]) & (node > node[i]) & ((own != own[i]) if lo < hi else True))
-            j = j[(fine[j] == fine[i]).mean(1) >= least] if len(j) else j
-            j = j[~(keys[j, :band] == keys[i, :band]).any(1)] if len(j) else j
-            a.append(node[j])
-            b.append(np.full(len(j), node[i]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
-
     kind = live.schema["node"].dataType.simpleString()
-    return spread.groupBy("bucket", "lo", "hi").applyInArrow(run, f"a {kind}, b {kind}")
+
+    def close(table: pa.Table) -> pa.Table:
+        b = _Block(table, threshold)
+        asked = np.zeros(len(b.node), bool)
+        for i in range(len(b.node)):
+            j = b.partners(i)
+            asked[i] |= len(j) > 0
+            asked[j] = True
+        return b.table.filter(pa.array(asked)).select(["bucket", "node", "comp", "size"])
+
+    def measure(table: pa.Table) -> pa.Table:
+        b = _Block(table, threshold)
+        row, cell, _, _ = cells(b.table.column("text"))
+        names, cell = np.unique(cell, return_inverse=True)
+        cuts = np.searchsorted(row, np.arange(len(b.node) + 1))
+        size = np.diff(cuts)
+        mark = np.zeros(len(names), np.uint8)
+        root = np.arange(int(b.comp.max()) + 1)
+        links = []
+        for i in range(len(b.node)):
+            j = b.partners(i)
+            j = j[root[b.comp[j]] != root[b.comp[i]]]
+            if not len(j):
+                continue
+            own = cell[cuts[i] : cuts[i + 1]]
+            mark[own] = 1
+            n = size[j]
+            at = np.repeat(cuts[j] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            both = np.add.reduceat(mark[cell[at]].astype(np.int64), np.cumsum(n) - n)
+            mark[own] = 0
+            for x in j[both / (size[i] + n - both) >= threshold].tolist():
+                u, v = root[b.comp[i]], root[b.comp[x]]
+                if u != v:
+                    root[root == v] = u
+                    links.append((b.node[x], b.node[i]))
+        kinds = b.table.schema.field("node").type
+        return pa.table({"a": pa.array([x for x, _ in links], kinds), "b": pa.array([x for _, x in links], kinds)})
+
+    keys = ["bucket", "lo", "hi"]
+    sized = live.join(details.select("node", "size"), "node")
+    asked = _spread(sized, block, 1 << 62).join(details, "node").groupBy(*keys).applyInArrow(close, f"bucket long, node {kind}, comp {kind}, size long")
+    asked = _text.stored(asked.distinct(), "asked")
+    full = _spread(asked, block, most).join(details, "node").join(texts.select("node", "text"), "node")
+    found = _text.stored(full.groupBy(*keys).applyInArrow(measure, f"a {kind}, b {kind}"), "good")
+    _text.discard(asked)
+    return found
 
 
 def _leaders(rows: DataFrame) -> DataFrame:
     """Per bucket the document with the most company, ties to the smallest id."""
-    best = rows.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("order"), "comp")).alias("t"))
-    return best.select("bucket", (-F.col("t.order")).alias("lead"), F.col("t.comp").alias("lead_comp"))
+    best = rows.groupBy("bucket").agg(F.min(F.struct((-F.col("degree")).alias("order"), "node", "comp")).alias("t"))
+    return best.select("bucket", F.col("t.node").alias("lead"), F.col("t.comp").alias("lead_comp"))
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, n_bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, class_id) for every row, class_id the smallest id of the class."""
+def _judged(docs: DataFrame, threshold: float, n_bands: int, rows: int, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, class_id) of every row of ``docs``, stored; all other tables are removed again."""
     k = n_bands * rows
     sign = _text.stored(signed(docs, doc_id, text, n_bands, rows), "signed")
     groups = sign.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"))
@@ -274,16 +343,21 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n_bands: int = BANDS,
     nodes = sign.join(groups.select("key", F.col("node").alias("doc_id")), ["key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("node"), "weight", "sig", "bands")
     placed = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket", "n")
-    company = placed.join(shared, "bucket")
-    company = _text.stored(company, "company")  # only buckets of two or more
+    company = _text.stored(placed.join(shared, "bucket"), "company")  # only buckets of two or more
     degree = company.groupBy("node").agg(F.sum("n").alias("degree"))
     placed = _text.stored(company.select("node", "bucket").join(degree, "node"), "placed")
     sigs = _text.stored(nodes.select("node", "weight", "sig").join(degree.select("node"), "node", "left_semi"), "sigs")
-    wanted = degree.select("node")
-    found = docs.select(F.col(doc_id).alias("node"), F.col(text).cast("string").alias("text")).join(wanted.hint("merge"), "node", "left_semi")
-    texts = None
+    # texts of all that take part in a bucket with a possible partner, read once
+    found = docs.select(F.col(doc_id).alias("node"), F.col(text).cast("string").alias("text")).join(degree.select("node").hint("merge"), "node", "left_semi")
+    texts = _text.stored(found, "texts")
+    used = [company, placed, sigs, texts]
+    # rows that share an id are one document: the groups of its texts are linked
+    named = sign.where("key is not null and doc_id is not null")
+    several = named.groupBy("doc_id").agg(F.min("key").alias("key"), F.max("key").alias("last")).where("key <> last").select("doc_id")
+    same = named.join(several, "doc_id", "left_semi").join(groups, "key").select("doc_id", "node").distinct()
+    links = _text.stored(same.select(F.col("doc_id").alias("a"), F.col("node").alias("b")), "same")
+    used.append(links)
     tested: DataFrame | None = None
-    links: DataFrame | None = None
     comp = None
     for turn in ("first", "second", "rest"):
         if comp is None:
@@ -292,36 +366,70 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n_bands: int = BANDS,
             rows_ = placed.join(comp.select("node", F.col("root")), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
         open_ = rows_.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
         live = _text.stored(rows_.join(open_, "bucket", "left_semi"), "live")
+        used.append(live)
         if turn == "rest":
-            asked = live.select("node").distinct()
-            fine = _finer(texts.join(asked, "node", "left_semi"))
-            pairs = _across(live.select("bucket", "node", "comp"), _text.stored(fine.join(nodes.select("node", "bands"), "node"), "fine"), threshold).distinct()
+            fine = _finer(texts.join(live.select("node").distinct(), "node", "left_semi"))
+            fine = _text.stored(fine.join(nodes.select("node", "bands"), "node"), "fine")
+            good = _across(live.select("bucket", "node", "comp"), fine, texts, threshold)
+            used.append(fine)
         else:
             first = _leaders(live)
             lead = first if turn == "first" else _leaders(live.join(first.select("bucket", "lead_comp"), "bucket").where("comp <> lead_comp").drop("lead_comp"))
             # the better-connected end is `a`, whose text many pairs share
             pairs = live.join(lead, "bucket").where("comp <> lead_comp").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-        if tested is not None:
-            seen = tested.select("a", "b").unionAll(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = _text.stored(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        close = pairs if turn == "rest" else _text.stored(_close(pairs, sigs, threshold, k), "close")
-        if turn == "first":
-            # texts of all that take part in a bucket with a possible partner, read once
-            texts = _text.stored(found, "texts")
-        good = _text.stored(_verified(close, texts, threshold), "good")
-        links = good if links is None else links.unionAll(good)
-        comp = _text.stored(components(links), "comp")
+            if tested is not None:
+                seen = tested.select("a", "b").unionAll(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+                pairs = pairs.join(seen, ["a", "b"], "left_anti")
+            pairs = _text.stored(pairs, "pairs")
+            tested = pairs if tested is None else tested.unionAll(pairs)
+            close = _text.stored(_close(pairs, sigs, threshold, k), "close")
+            good = _text.stored(_verified(close, texts, threshold), "good")
+            used += [pairs, close]
+        used.append(good)
+        links = links.unionAll(good)
+        if comp is not None:
+            used.append(comp)
+        comp = components(links)
     of_key = groups.join(comp, "node", "left").select("key", F.coalesce("root", "node").alias("class_id"))
-    kept = sign.select("doc_id", "key").join(of_key, "key", "left")
-    return kept.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    # without a null id all ids and texts are told apart by the groups; a null id has none of its own
+    out = sign.select("doc_id", "key").join(of_key, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    out = _text.stored(out, "classes")
+    _text.discard(sign, groups, comp, *used)
+    return out
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, n_bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, class_id) for every row, class_id the smallest id of the class; ids are of any type that has an order."""
+    return _judged(docs, threshold, n_bands, rows, doc_id, text)
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with the one document of smallest id of each class, all columns kept."""
-    found = _text.stored(classes(docs, threshold).where("doc_id <> class_id").select("doc_id").distinct(), "dropped")
-    return docs.join(found, "doc_id", "left_anti")
+    """``docs`` with the one document of smallest id of each class, all columns kept.
+
+    Of rows that share an id, one stays, that of the least text. Rows without an id belong to no class
+    that could be named: of those with the same text one stays, whatever other documents say.
+    """
+    found = _judged(docs, threshold, BANDS, ROWS, "doc_id", "text")
+    dropped = _text.stored(found.where("doc_id <> class_id").select("doc_id").distinct(), "dropped")
+    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    again = _text.stored(again.join(dropped, "doc_id", "left_anti"), "again")
+    nameless = found.where("doc_id is null").limit(1).count() > 0
+    repeated = again.limit(1).count() > 0
+    out = docs.join(dropped, "doc_id", "left_anti")
+    if not nameless and not repeated:
+        return out
+    # the least of each group is aggregated before the shuffle, however often an id is repeated
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    least = lambda df, *by: df.groupBy(*by).agg(F.min_by(row, F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))).alias("r")).select("r.*")
+    named = out.where("doc_id is not null")
+    parts = [named.join(again, "doc_id", "left_anti"), least(named.join(again, "doc_id", "left_semi"), "doc_id")]
+    if nameless:
+        without = out.where("doc_id is null")
+        worded = F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False))
+        parts += [without.where(~worded), least(without.where(worded), "text")]
+    for part in parts[1:]:
+        parts[0] = parts[0].unionAll(part)
+    return parts[0]
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

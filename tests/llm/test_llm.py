@@ -363,12 +363,71 @@ def test_signatures_estimate_weighted_similarity():
 
 
 def test_across_blocks(spark):
-    """A bucket beyond one block meets itself block by block and emits each close pair once."""
-    fine = [bytes([i // 2] * 256) for i in range(12)]
-    live = spark.createDataFrame([(77, i, i) for i in range(12)], "bucket long, node long, comp long")
-    details = spark.createDataFrame([(i, [1000 + i, 77], bytearray(fine[i])) for i in range(12)], "node long, bands array<long>, fine binary")
-    got = rows(minhash._across(live, details, 0.8, block=4))
-    assert sorted(got) == [(2 * i + 1, 2 * i) for i in range(6)]
+    """A bucket beyond one block meets itself block by block; pairs that are close but no links stay in the task."""
+    rng = random.Random(9)
+    texts = []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(100)]
+        texts += [base, [*base[:98], "x", "y"], [*base[:40], *(f"z{rng.random()}" for _ in range(60))]]
+    texts = [" ".join(t) for t in texts]
+    live = spark.createDataFrame([(77, i, i) for i in range(18)], "bucket long, node long, comp long")
+    details = spark.createDataFrame([(i, 96, [1000 + i, 77], bytearray(bytes([i // 3] * 256))) for i in range(18)], "node long, size long, bands array<long>, fine binary")
+    words = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    for block, most in ((2048, 1 << 20), (4, 1 << 20), (2048, 300)):
+        got = rows(minhash._across(live, details, words, 0.8, block=block, most=most))
+        assert sorted(tuple(sorted(x)) for x in got) == [(3 * g, 3 * g + 1) for g in range(6)]
+
+
+def _jaccard_classes(texts, threshold=0.8):
+    grams = [collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (t.split() for t in texts)]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if (a := root(i)) != (b := root(j)):
+                both = sum((grams[i] & grams[j]).values())
+                if both >= threshold * (sum(grams[i].values()) + sum(grams[j].values()) - both):
+                    parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(texts))]
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """Many variants of one text, most pairs just below the threshold: the classes of brute force, in several blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 64)
+    rng = random.Random(10)
+    base = [f"w{rng.randrange(400)}" for _ in range(150)]
+    texts = []
+    for _ in range(300):
+        own = list(base)
+        for at in rng.sample(range(150), rng.randint(0, 5)):
+            own[at] = f"n{rng.randrange(50)}"
+        texts.append(" ".join(own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    want = _jaccard_classes(texts)
+    assert len(set(want)) > 10
+    assert dict(rows(minhash.classes(df))) == dict(enumerate(want))
+
+
+def test_near_duplicates_of_any_id(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    df = spark.createDataFrame([("b", base), ("a", base + " x"), ("c", other), ("c", base), ("d", other + " y"), (None, base), ("e", "alone")], "doc_id string, text string")
+    got = sorted(rows(minhash.classes(df)), key=str)
+    assert {i: c for i, c in got if i} == {"a": "a", "b": "a", "c": "a", "d": "a", "e": "e"}  # c has two texts and links both
+    assert [c for i, c in got if i is None] == ["a"]
+    assert sorted(i for i, _ in rows(minhash.deduplicate(df)) if i) == ["a", "e"]
+
+
+def test_deduplicate_repeated_rows(spark, odd, empty):
+    kept = rows(minhash.deduplicate(spark.createDataFrame([(1, "a b c", 7), (1, "a b c", 7), (2, "q r s", 8), (None, "n", 1), (None, "n", 2), (None, " ", 3), (None, None, 4), (3, "", 5), (4, "", 5)], "doc_id long, text string, `x.y` int")))
+    assert sorted(((i, t) for i, t, _ in kept), key=str) == sorted([(1, "a b c"), (2, "q r s"), (None, "n"), (None, " "), (None, None), (3, ""), (4, "")], key=str)
+    assert sorted(r[0] for r in rows(minhash.deduplicate(odd)) if r[0] is not None) == [1, 2, 3, 4, 6, 8, 10]
+    assert rows(minhash.deduplicate(empty)) == []
 
 
 # 5: nearest neighbours
