@@ -6,11 +6,10 @@ sequence is cut into full pieces and a rest. Only the histogram of piece lengths
 bin-packing program "fewest configurations that cover every length's demand" is solved by
 multiplicative weights: lengths still badly covered weigh more, and the pricing step, a
 knapsack dynamic program over the capacity, returns the configurations of largest weight
-(several at a time, on perturbed weights). The fractional solution is rounded down
-against the remaining demand, fullest configurations first, and what is left is placed by
-best fit, first into the gaps that are left, then into new sequences. Best fit runs on
-groups of equal sequences, so its cost depends on the histogram, not on the corpus. The plain best-fit
-solution is computed too, and the better of both is used.
+(several at a time, on perturbed weights). Rounding prices configurations by the solved weights on
+what is left, takes each as often as that allows, and prices again, until at most ``REST`` of the volume (or
+``LEAST_LEFT`` sequences' worth) is left. Only that is placed by best fit, first into the gaps that are left, then
+into new sequences. All steps run on groups of equal sequences, so their cost depends on the histogram, not on the corpus.
 
 A plan is a list of slot intervals per length: the g-th piece of a length takes the g-th
 slot. The rank g is the piece's rank in its own task, counted while tokenising, plus the
@@ -23,10 +22,8 @@ than id and text are ignored, whatever their names.
 
 from __future__ import annotations
 
-import gc
 import json
 import os
-import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -40,8 +37,16 @@ from . import _text
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-CACHE_WORDS = 300_000
-LANES, ROUNDS = 16, 24
+CACHE_WORDS = 1_000_000
+# The program: size classes of the weights, configurations per pricing round, rounds, fewest lengths priced
+CLASSES, LANES, ROUNDS, LEAST = 64, 16, 24, 96
+STEP, NOISE, LAG = 0.1, 0.0005, 0.02
+#: Among equally good configurations, rounding prefers long pieces by this much, since short ones fill gaps later.
+BIAS = 0.02
+#: Of a pricing round the configurations of at least this share of the best value are used.
+CLOSE = 0.9998
+#: Best fit places what is left when that is below this share of the volume, or below so many sequences' worth.
+REST, LEAST_LEFT = 0.02, 12
 
 _READY: dict[str, _Encoder] = {}
 
@@ -53,26 +58,24 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class _Encoder:
-    """Ids of whole texts as ``tokenizers`` gives them, with the ids of recent words kept.
+    """Ids of whole texts as ``tokenizers`` gives them, a batch of texts at a time in numpy.
 
     The tokeniser collapses white space and never joins what it separates, so a text's
-    ids are those of its space-separated chunks in order. A chunk of ASCII and Latin
-    letters is cut by the tokeniser's own pattern; the merges of all new words of a batch are
-    then made together in numpy, from the tokeniser's tables. Anything else, and long
-    words, go through ``tokenizers`` itself.
+    ids are those of its space-separated chunks in order. Chunks of plain characters (ASCII and
+    Latin letters, without apostrophes and angle brackets) are cut into runs of letters, single digits and
+    runs of other characters, as the tokeniser's pattern cuts them; the byte pairs of all new words of a batch
+    are then merged together, from the tokeniser's tables. All other chunks, and long words, go
+    through ``tokenizers`` itself. Ids of known words are kept by the 64-bit hash of their bytes.
     """
 
+    LONGEST = 60
+
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.limit = limit
-        self.cores: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {"": b""}
-        self.plain = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
-        self.cut = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
-        self.letters = re.compile("[a-zß-öø-ÿ]{1,40}").fullmatch
         model = json.loads(self.tok.to_str())["model"]
         vocab = model["vocab"]
         end = model["end_of_word_suffix"]
@@ -86,6 +89,11 @@ class _Encoder:
         made = np.array([vocab[x + y] for x, y in pairs], np.int64)
         order = np.argsort(keys)
         self.keys, self.rank, self.made = keys[order], order, made[order]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.names = np.zeros(0, np.uint64)  # hashes of known words, sorted; where their ids are in the pool, and how many
+        self.at, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def _pair(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair (large if it doesn't merge) and what it makes."""
@@ -93,16 +101,15 @@ class _Encoder:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank[at], 1 << 40), self.made[at]
 
-    def merged(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters: byte pairs merged for all words at once, lowest rank first."""
-        raw = [w.encode() for w in words]
-        size = np.array([len(w) for w in raw])
-        data = np.frombuffer(b"".join(raw), np.uint8)
+    def merged(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words data[s:e], and how many each has: byte pairs merged for all words at once, lowest rank first."""
+        size = e - s
         end = np.cumsum(size)
-        sym = self.first[data]
-        sym[end - 1] = self.last[data[end - 1]]
-        word = np.repeat(np.arange(len(raw)), size)
-        done_sym, done_word = [], []
+        raw = data[np.repeat(s - (end - size), size) + np.arange(size.sum())]
+        sym = self.first[raw]
+        sym[end - 1] = self.last[raw[end - 1]]
+        word = np.repeat(np.arange(len(s)), size)
+        done_sym, done_word = [sym[:0]], [word[:0]]
         rank, made = np.full(len(sym), 1 << 40), np.zeros(len(sym), np.int64)
         inner = np.flatnonzero(word[1:] == word[:-1])
         rank[inner], made[inner] = self._pair(sym[inner], sym[inner + 1])
@@ -136,64 +143,85 @@ class _Encoder:
             sym, word, rank, made = sym[keep], word[keep], rank[keep], made[keep]
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
         order = np.argsort(word, kind="stable")
-        out = sym[order].astype("<u4").tobytes()
-        cuts = (4 * np.searchsorted(word[order], np.arange(len(raw) + 1))).tolist()
-        return [out[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-
-    def _one(self, chunk: str) -> bytes:
-        return np.array(self.tok.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.known) > self.limit:
-            self.known = {"": b""}
-        if len(self.cores) > self.limit:
-            self.cores = {}
-        known, cores = self.known, self.cores
-        simple, hard, new = [], [], set()
-        for c in chunks:
-            if c not in known:
-                w = c.lower()
-                if not self.letters(w):
-                    end = w[-1]
-                    if (end == "." or end == ",") and self.letters(w[:-1]):
-                        w = w[:-1]
-                    else:
-                        hard.append(c)
-                        continue
-                if not self.plain(c):
-                    hard.append(c)
-                    continue
-                simple.append((c, w))
-                if w not in cores:
-                    new.add(w)
-        cuts = {}
-        for c in hard:
-            if self.plain(c) and "<|" not in c:
-                cuts[c] = own = self.cut(c.lower())
-                for w in own:
-                    if w not in cores:
-                        if self.letters(w):
-                            new.add(w)
-                        else:
-                            cores[w] = self._one(w)
-        words = list(new)
-        if words:
-            cores.update(zip(words, self.merged(words), strict=True))
-        ends = {".": self._one("."), ",": self._one(",")}
-        for c, w in simple:
-            known[c] = cores[w] if len(c) == len(w) else cores[w] + ends[c[-1]]
-        for c in hard:
-            known[c] = b"".join([cores[w] for w in cuts[c]]) if c in cuts else self._one(c)
+        return sym[order].astype("<u4"), np.bincount(word, minlength=len(s))
+
+    def _cut(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lowered bytes, and start, end, row and plainness of each word; a chunk that isn't plain is one word."""
+        low = data.copy()
+        low[(data >= 65) & (data <= 90)] += 32
+        after = np.zeros(len(data), bool)
+        after[1:] = data[:-1] == 0xC3
+        low[after & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)] += 32
+        plain = _PLAIN[data] | (after & (data >= 0x80) & (data <= 0xBF) & (data != 0x97) & (data != 0xB7)) | (data == 0xC3)
+        s, e, row = _text.spans(data, offs, _CHUNK)
+        odd = np.concatenate(([0], np.cumsum(~plain)))
+        good = odd[e] == odd[s]
+        kind = _KIND[low]
+        start = np.zeros(len(data) + 1, bool)
+        start[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 1)
+        for x, y in zip(s[~good].tolist(), e[~good].tolist(), strict=True):
+            start[x:y] = False
+        start[s] = True
+        chunk = _CHUNK[data]
+        begin = np.flatnonzero(start[:-1] & chunk)
+        mine = np.searchsorted(s, begin, side="right") - 1
+        stop = np.minimum(np.append(begin[1:], len(data)), e[mine])
+        return low, begin, stop, row[mine], good[mine]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a column, and the n+1 offsets of the texts in them."""
+        data, offs = _text.buffer(column)
+        rows = len(offs) - 1
+        low, s, e, row, plain = self._cut(data, offs) if len(data) else (data, *(np.zeros(0, np.int64),) * 3, np.zeros(0, bool))
+        h = _text.hashes(low, s, e)
+        h[~plain] = _text.mix(_text.hashes(data, s[~plain], e[~plain]), 61)
+        names, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.names) + len(names) > self.limit:
+            self._forget()
+        at = np.searchsorted(self.names, names)
+        known = np.zeros(len(names), bool)
+        known[at < len(self.names)] = self.names[at[at < len(self.names)]] == names[at < len(self.names)]
+        new = np.flatnonzero(~known)
+        if len(new):
+            w = first[new]
+            easy = plain[w] & (e[w] - s[w] <= self.LONGEST)
+            ids, size = self.merged(low, s[w[easy]], e[w[easy]])
+            sizes = np.zeros(len(new), np.int64)
+            starts = np.zeros(len(new), np.int64)
+            sizes[easy], starts[easy] = size, np.cumsum(size) - size
+            more, filled = [ids], len(ids)
+            for i in np.flatnonzero(~easy).tolist():
+                raw = (low if plain[w[i]] else data)[s[w[i]] : e[w[i]]].tobytes().decode()
+                own = np.array(self.tok.encode(raw, add_special_tokens=False).ids, "<u4")
+                more.append(own)
+                sizes[i], starts[i] = len(own), filled
+                filled += len(own)
+            place = at[new]
+            self.names = np.insert(self.names, place, names[new])
+            self.at = np.insert(self.at, place, starts + len(self.pool))
+            self.size = np.insert(self.size, place, sizes)
+            self.pool = np.concatenate([self.pool, *more])
+            at = np.searchsorted(self.names, names)
+        size = self.size[at][inverse]
+        end = np.cumsum(size)
+        out = self.pool[np.repeat(self.at[at][inverse] - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
+        ends = np.concatenate(([0], end))
+        return out, ends[np.searchsorted(row, np.arange(rows + 1))]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        chunks: set[str] = set()
-        for own in split:
-            chunks.update(own)
-        self._learn(chunks)
-        known = self.known
-        return [b"".join([known[c] for c in own]) for own in split]
+        ids, offs = self.encode(pa.array(texts, pa.string()))
+        return [ids[x:y].tobytes() for x, y in zip(offs[:-1], offs[1:], strict=True)]
+
+
+_CHUNK = np.ones(256, bool)
+_CHUNK[[32, 10]] = False
+_PLAIN = np.zeros(256, bool)
+_PLAIN[33:127] = True
+_PLAIN[[ord("'"), ord("<")]] = False  # contractions and special tokens are left to the tokeniser
+_KIND = np.full(256, 2, np.int8)
+_KIND[97:123] = _KIND[128:] = 0
+_KIND[48:58] = 1
 
 
 def encoder(path: str) -> _Encoder:
@@ -208,75 +236,138 @@ def pieces_of(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
     schema = T.StructType([source.schema["doc_id"]] + [T.StructField(n, t) for n, t in (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("task", T.IntegerType()), ("nth", T.LongType()))])
 
     def run(batches):
-        gc.disable()  # millions of small objects and no cycles among them
         enc = encoder(path or tokenizer_path())
-        end = np.array([end_id], np.uint32).tobytes()
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in _text.pieces(batches, 1):
-            rows, out = [], []
-            for i, raw in enumerate(enc.encode_all(b.column(1).to_pylist())):
-                raw += end
-                for p, x in enumerate(range(0, len(raw), 4 * capacity)):
-                    part = raw[x : x + 4 * capacity]
-                    n = len(part) // 4
-                    rows.append(i)
-                    out.append((p, x // 4, n, zlib.crc32(part), seen[n]))
-                    seen[n] += 1
-            cols = list(zip(*out, strict=True))
+            ids, offs = enc.encode(b.column(1))
+            total = np.diff(offs) + 1  # with the end id
+            count = -(-total // capacity)
+            rows = np.repeat(np.arange(b.num_rows), count)
+            piece = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
+            start = piece * capacity
+            length = np.minimum(total[rows] - start, capacity)
+            whole = np.insert(ids, offs[1:], end_id).astype("<u4")
+            begin = (offs[:-1] + np.arange(b.num_rows))[rows] + start
+            raw = memoryview(whole.tobytes())
+            crc = [zlib.crc32(raw[x:y]) for x, y in zip((4 * begin).tolist(), (4 * (begin + length)).tolist(), strict=True)]
+            # the rank of each piece among its length in this task
+            order = np.argsort(length, kind="stable")
+            sizes, at, n = np.unique(length[order], return_index=True, return_counts=True)
+            nth = np.empty(len(rows), np.int64)
+            nth[order] = np.arange(len(rows)) - np.repeat(at - seen[sizes], n)
+            seen[sizes] += n
             yield pa.RecordBatch.from_arrays([
-                b.column(0).take(pa.array(rows, pa.int64())), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()),
-                pa.array(cols[3], pa.int64()), pa.array(np.full(len(rows), task), pa.int32()), pa.array(np.array(cols[4]), pa.int64()),
+                b.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
+                pa.array(crc, pa.int64()), pa.array(np.full(len(rows), task), pa.int32()), pa.array(nth, pa.int64()),
             ], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
-def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> list[np.ndarray]:
-    """Unbounded knapsack by dynamic programming, for each row of values: counts per length."""
-    lanes, n = values.shape
-    best = np.zeros((lanes, capacity + 1))
-    pick = np.full((lanes, capacity + 1), -1, np.int32)
+def price(values: np.ndarray, lengths: np.ndarray, copies: np.ndarray, capacity: int) -> np.ndarray:
+    """Bounded knapsack by dynamic programming, for each row of values: how often each length is taken, (rows, lengths)."""
+    lanes = len(values)
+    items = []
+    for i, (size, most) in enumerate(zip(lengths.tolist(), np.minimum(copies, capacity // lengths).tolist(), strict=True)):
+        times = 1
+        while most > 0:  # any number up to the most is a sum of these multiples
+            n = min(times, most)
+            items.append((i, n, n * size))
+            most, times = most - n, 2 * times
+    best = np.zeros((lanes, capacity + 1), np.float32)
+    taken = np.zeros((len(items), lanes, capacity + 1), bool)
+    values = values.astype(np.float32)
+    for t, (i, n, size) in enumerate(items):
+        got = best[:, : capacity + 1 - size] + n * values[:, i, None]
+        np.greater(got, best[:, size:], out=taken[t, :, size:])
+        np.maximum(best[:, size:], got, out=best[:, size:])
+    counts = np.zeros(values.shape, np.int64)
+    left = np.full(lanes, capacity)
     every = np.arange(lanes)
-    for c in range(1, capacity + 1):
-        k = int(np.searchsorted(lengths, c, side="right"))
-        best[:, c] = best[:, c - 1]
-        if k:
-            got = best[:, c - lengths[:k]] + values[:, :k]
-            at = got.argmax(1)
-            top = got[every, at]
-            better = top > best[:, c]
-            best[better, c] = top[better]
-            pick[better, c] = at[better]
-    out = []
-    for lane in range(lanes):
-        counts = np.zeros(n, np.int64)
-        c = capacity
-        while c > 0:
-            if (i := pick[lane, c]) < 0:
-                c -= 1
-            else:
-                counts[i] += 1
-                c -= int(lengths[i])
-        out.append(counts)
-    return out
-
-
-def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS, lanes: int = LANES, seed: int = 0) -> list[tuple[np.ndarray, float]]:
-    """Configurations (counts per length) and their weights, by multiplicative weights."""
-    rng = np.random.default_rng(seed)
-    weight = np.ones(len(lengths))
-    used: dict[bytes, list] = {}
-    for _ in range(rounds):
-        # value of covering one piece: the length's weight against its demand, relative to its size
-        values = (weight / weight.max() + 1e-6) * lengths * np.exp(0.3 * rng.standard_normal((lanes, len(lengths))))
-        for counts in price(values, lengths, capacity):
-            counts = np.minimum(counts, demand)
-            used.setdefault(counts.tobytes(), [counts, 0.0])[1] += 1
-            share = counts / demand
-            weight *= np.exp(-0.5 * share / max(share.max(), 1e-12))
-    total = sum(n for _, n in used.values())
-    bins = float((lengths * demand).sum()) / capacity
-    return [(c, n * bins / total) for c, n in used.values()]
+    for t in range(len(items) - 1, -1, -1):
+        i, n, size = items[t]
+        yes = taken[t, every, left]
+        counts[yes, i] += n
+        left[yes] -= size
+    return counts
+
+
+class Program:
+    """The configuration program of a histogram: fewest configurations that cover every length's demand.
+
+    The dual value of a length is its share of the capacity times a factor of its size class,
+    which multiplicative weights move: a class that the priced configurations cover beyond
+    its demand loses weight, one that they neglect gains. A pricing round takes a random part of the lengths
+    (all, where they are few), ``LANES`` times with slightly perturbed values.
+    """
+
+    def __init__(self, lengths: np.ndarray, demand: np.ndarray, capacity: int, seed: int = 0):
+        self.lengths, self.demand, self.capacity = lengths, demand, capacity
+        self.rng = np.random.default_rng(seed)
+        _, self.cls = np.unique(lengths * CLASSES // capacity, return_inverse=True)
+        self.of_class = lambda x: np.bincount(self.cls, weights=x)
+        self.wanted = self.of_class(demand)
+        self.factor = np.ones(len(self.wanted))
+
+    def some(self, left: np.ndarray, volume: float) -> np.ndarray:
+        """Random lengths, by how many pieces of them are left, that hold some volume together."""
+        there = np.flatnonzero(left)
+        if len(there) <= LEAST:
+            return there
+        weight = left[there] / self.wanted[self.cls[there]]  # classes alike
+        order = there[np.argsort(self.rng.exponential(size=len(there)) / weight)]
+        enough = int(np.searchsorted(np.cumsum(self.lengths[order] * left[order]), volume)) + 1
+        return np.sort(order[: max(LEAST, enough)])
+
+    def round(self, left: np.ndarray, copies: np.ndarray, factor: np.ndarray, noise: float, bias: float = 0.0) -> np.ndarray:
+        own = self.some(left, 2.0 * LANES * self.capacity)
+        size = self.lengths[own] / self.capacity
+        value = size * factor[self.cls[own]] * (1 + bias * size)
+        counts = np.zeros((LANES, len(self.lengths)), np.int64)
+        counts[:, own] = price(value * np.exp(noise * self.rng.standard_normal((LANES, len(own)))), self.lengths[own], copies[own], self.capacity)
+        return counts
+
+    def solve(self, rounds: int = ROUNDS) -> float:
+        """Move the weights of the size classes, keep those of the best bound, and return that bound."""
+        log, total = np.zeros(len(self.factor)), np.zeros(len(self.factor))
+        best = self.bound(), self.factor
+        for r in range(1, rounds + 1):
+            got = self.round(self.demand, self.demand, np.exp(log), NOISE).sum(0)
+            share = self.of_class(got) / self.wanted
+            log -= STEP * share / max(share.max(), 1e-12) / np.sqrt(r)
+            log -= np.average(log, weights=self.of_class(self.lengths * self.demand))
+            total += log
+            if r % 8 == 0:
+                self.factor = np.exp(total / r)
+                best = max(best, (self.bound(), self.factor), key=lambda t: t[0])
+        bound, self.factor = best
+        return bound
+
+    def bound(self) -> float:
+        """A number of sequences no packing is below: the weights' dual value (at first weights, about the volume)."""
+        y = self.lengths / self.capacity * self.factor[self.cls]
+        # the unbounded program's dual holds for all configurations, with no more of a length than there is
+        top = float((price(y[None], self.lengths, self.demand, self.capacity)[0] * y).sum())
+        return max(float((self.lengths * self.demand).sum()) / self.capacity, float((y * self.demand).sum()) / max(top, 1e-12) * (1 - 1e-5))
+
+    def rounded(self) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+        """Whole numbers of configurations, priced again on what is left until little is, and that rest."""
+        rest, groups = self.demand.copy(), []
+        total = float((self.lengths * self.demand).sum())
+        while float((self.lengths * rest).sum()) > max(REST * total, LEAST_LEFT * self.capacity):
+            left = self.of_class(rest) / self.wanted
+            mean = np.average(left, weights=self.of_class(self.lengths * rest) + 1e-12)
+            counts = self.round(rest, rest, self.factor * np.exp(LAG * (left - mean)), NOISE, BIAS)
+            value = counts @ (self.lengths / self.capacity * self.factor[self.cls])
+            for k in np.argsort(-value, kind="stable").tolist():
+                if value[k] < CLOSE * value.max():
+                    break
+                at = np.flatnonzero(counts[k])
+                most = int((rest[at] // counts[k, at]).min()) if len(at) else 0
+                if most:
+                    rest[at] -= most * counts[k, at]
+                    groups.append(({int(self.lengths[i]): int(counts[k, i]) for i in at}, most))
+        return groups, rest
 
 
 def best_fit(lengths: np.ndarray, demand: np.ndarray, capacity: int, groups: list[tuple[dict[int, int], int]]) -> list[tuple[dict[int, int], int]]:
@@ -320,16 +411,10 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict
     if not len(lengths):
         return full
     demand = np.array([histogram[x] for x in lengths.tolist()], np.int64)
-    plain = best_fit(lengths, demand, capacity, [])
-    rest, groups = demand.copy(), []
-    solved = fractional(lengths, demand, capacity)
-    for counts, x in sorted(solved, key=lambda t: (-int((t[0] * lengths).sum()), -t[1])):
-        at = np.flatnonzero(counts)
-        if len(at) and (n := min(max(1, int(x)), int((rest[at] // counts[at]).min()))) > 0:
-            rest[at] -= n * counts[at]
-            groups.append(({int(lengths[i]): int(counts[i]) for i in at}, n))
-    rounded = best_fit(lengths, rest, capacity, groups)
-    return full + min(rounded, plain, key=lambda g: sum(n for _, n in g))
+    program = Program(lengths, demand, capacity)
+    program.solve()
+    groups, rest = program.rounded()
+    return full + best_fit(lengths, rest, capacity, groups)
 
 
 def slots(groups: list[tuple[dict[int, int], int]], capacity: int = CAPACITY) -> dict[str, np.ndarray]:
