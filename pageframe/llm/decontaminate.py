@@ -235,7 +235,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id:
                 pa.array([x[0] for x in found], pa.int64()),
                 pa.array([x[1] for x in found], pa.int64()),
                 pa.array([x[2] for x in found], pa.int64()),
-                pa.array([sorted(x[3]) for x in found], pa.list_(pa.string())),
+                pa.array([sorted(x[3], key=lambda name: (name is None, name or "")) for x in found], pa.list_(pa.string())),
                 pa.array([[{"start": u, "end": v, "words": w} for u, v, w in x[4]] for x in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())]))),
             ], names=schema.names)
 

@@ -143,6 +143,18 @@ def discoveries(tokens: list[bytes], rate: float = FDR) -> list[bool]:
     return (q <= order[ok[-1]]).tolist() if len(ok) else [False] * len(q)
 
 
+def outside(extra: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The sorted places that lie in none of the sorted base spans: one pass over both."""
+    kept, reach, i = [], -1, 0
+    for x, y in extra:
+        while i < len(base) and base[i][0] <= x:
+            reach = max(reach, base[i][1])
+            i += 1
+        if y > reach:
+            kept.append((x, y))
+    return kept
+
+
 def scan_column(column: pa.Array) -> list[list[tuple[int, int, int, int, int]]]:
     """For each text its spans: start and end in code points, kind, start and end in bytes."""
     data, offs = _text.buffer(column)
@@ -168,7 +180,7 @@ def scan_column(column: pa.Array) -> list[list[tuple[int, int, int, int, int]]]:
             continue
         base = sorted((x, y, k) for k, x, y in own if k < 3)
         extra = [(x + a, x + b) for k, x, y in own if k == 3 for a, b in candidates(raw[x:y])]
-        extra = [t for t in extra if not any(x <= t[0] and t[1] <= y for x, y, _ in base)]
+        extra = outside(sorted(extra), base)
         hit = discoveries([raw[x:y] for x, y in extra])
         joined: list[tuple[int, int, int]] = []
         for x, y in sorted(t for t, good in zip(extra, hit, strict=True) if good):

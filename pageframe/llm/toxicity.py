@@ -1,19 +1,27 @@
 """Toxicity: a counterfactually regularised logistic classifier over word presence.
 
 Features are the distinct words of the whole text (letters, A-Z lowered) and their
-beginnings of 4 to 6 bytes, which inflected forms share, hashed into ``BUCKETS``. The
+beginnings of 4 to 6 bytes, which inflected forms share, hashed into ``BUCKETS``. Identity
+terms (``IDENTITY``, a parameter) have a feature each of their own, beyond the buckets, and no
+beginnings, so no other word can be taken for one of them, nor one of them for another word. The
 model is fitted on a bounded, documented sample of labelled rows (at most ``PER_CLASS``
 rows of each label, chosen by a hash of the id) on the features whose share differs between
 the labels by ``SCREEN`` standard errors, by proximal gradient steps on
 
-    logistic loss  +  l1 |w|  +  cf * mean over swaps of (score(x) - score(x'))^2,
+    logistic loss  +  l1 |w|  +  cf * mean over pairs of (score(x) - score(x'))^2,
 
-where x' is a labelled text x in which an identity term is swapped for another term of its
-set (``IDENTITY``, a parameter). The penalty ties the weights of the terms of one set, so
-that naming a group does not by itself raise or lower a score. Identity terms have no
-beginnings as features, so a term is in a text by its own bucket alone, which the swap moves.
+where a score is a logit, and the pairs are of two kinds:
 
-Only the weights (``BUCKETS`` floats) are broadcast; scoring is one pass over the documents
+* swaps: x is a labelled text that names a group, x' the same text with the terms of that set moved on
+  by one or more places in the set. The words are swapped in the text and all features are taken anew;
+* neutral mentions: x is a text of label 0 of the sample, x' the same text that also names a group. There are
+  ``NEUTRAL`` texts for each term, so that a term counts where the labelled rows say nothing of it.
+
+The first kind ties what the terms of a set do to a score, the second keeps that small, so that
+naming a group does not by itself raise or lower a score.
+
+The sampled texts are read once into a table of the shared folder; the driver gets counts by bucket and, of the
+texts, only the features that passed the screen. Only the weights are broadcast; scoring is one pass over the documents
 in the tasks that read them. Labels, lang, source and doc_id are never features.
 
 Defined results: null and empty texts get the score of the bias alone; repeated rows each
@@ -23,6 +31,8 @@ columns are ignored (``score``) or kept (``keep_clean``), whatever their names.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -37,6 +47,7 @@ L1 = 2e-5
 SCREEN = 4.0
 COUNTERFACTUAL = 1.0
 STEPS = 500
+NEUTRAL = 64
 
 #: Sets of identity terms that are swapped for each other; any list can be given.
 IDENTITY = (
@@ -55,8 +66,12 @@ _LETTER[97:123] = True
 _LETTER[128:] = True
 
 
+def flat(identity=IDENTITY) -> list[str]:
+    return sorted({w for group in identity for w in group})
+
+
 def features(column: pa.Array, buckets: int = BUCKETS, identity=IDENTITY) -> tuple[np.ndarray, np.ndarray]:
-    """Row and bucket of each distinct word, and of its beginnings if no identity term, of each text, sorted."""
+    """Row and feature of each text, sorted: distinct words and their beginnings, and ``buckets`` + place of identity terms."""
     data, offs = _text.buffer(column)
     data = _LOW[data]
     s, e, row = _text.spans(data, offs, _LETTER)
@@ -65,13 +80,19 @@ def features(column: pa.Array, buckets: int = BUCKETS, identity=IDENTITY) -> tup
     new = np.ones(len(h), bool)
     new[1:] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
     first = order[new]
-    parts = [(row[first], h[first])]
-    first = first[~np.isin(h[first], np.array([_hash(w) for group in identity for w in group], np.uint64))]
+    names = np.array([_hash(w) for w in flat(identity)], np.uint64)
+    by = np.argsort(names)
+    at = np.minimum(np.searchsorted(names[by], h[first]), max(len(names) - 1, 0))
+    term = names[by][at] == h[first] if len(names) else np.zeros(len(first), bool)
+    width = buckets + len(names)
+    parts = [row[first[term]] * width + buckets + by[at[term]]] if len(names) else []
+    first = first[~term]
+    parts.append(row[first] * width + (h[first] % np.uint64(buckets)).astype(np.int64))
     for n in PREFIXES:
         long = first[e[first] - s[first] > n]
-        parts.append((row[long], _text.mix(_text.hashes(data, s[long], s[long] + n), n)))
-    both = np.unique(np.concatenate([r * buckets + (x % np.uint64(buckets)).astype(np.int64) for r, x in parts]))
-    return both // buckets, both % buckets
+        parts.append(row[long] * width + (_text.mix(_text.hashes(data, s[long], s[long] + n), n) % np.uint64(buckets)).astype(np.int64))
+    both = np.unique(np.concatenate(parts))
+    return both // width, both % width
 
 
 def _hash(word: str) -> np.uint64:
@@ -80,29 +101,37 @@ def _hash(word: str) -> np.uint64:
 
 
 def bucket(word: str, buckets: int = BUCKETS) -> int:
-    """The bucket of a whole word."""
+    """The bucket of a whole word that is no identity term."""
     return int(_hash(word) % np.uint64(buckets))
 
 
+def slot(term: str, buckets: int = BUCKETS, identity=IDENTITY) -> int:
+    """The feature of an identity term."""
+    return buckets + flat(identity).index(term)
+
+
 class Model:
     def __init__(self, weights: np.ndarray, bias: float, identity=IDENTITY):
         self.weights, self.bias, self.identity = weights, bias, identity
 
     def score(self, column: pa.Array) -> np.ndarray:
-        row, b = features(column, len(self.weights), self.identity)
+        row, b = features(column, len(self.weights) - len(flat(self.identity)), self.identity)
         z = np.bincount(row, weights=self.weights[b], minlength=len(column)) if len(row) else np.zeros(len(column))
         return _labels.sigmoid(z + self.bias)
 
 
-def swaps(row: np.ndarray, col: np.ndarray, identity=IDENTITY, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each occurrence of an identity term in a text and each term of its set: (from, to, times)."""
-    present = np.bincount(col, minlength=buckets)
+def counterfactuals(texts: list[str | None], identity=IDENTITY) -> list[tuple[int, str]]:
+    """(text, the text with the terms of one set swapped) for each text, each set it names and each way to move on in the set."""
     out = []
     for group in identity:
-        own = [bucket(w, buckets) for w in group]
-        out += [(a, b, int(present[a])) for a in own for b in own if a != b and present[a]]
-    a = np.array(out, np.int64).reshape(-1, 3)
-    return a[:, 0], a[:, 1], a[:, 2]
+        low = [w.encode() for w in group]
+        find = re.compile(rb"(?<![a-z\x80-\xff])(?:" + b"|".join(map(re.escape, low)) + rb")(?![a-z\x80-\xff])")
+        for i, text in enumerate(texts):
+            raw = _LOW[np.frombuffer((text or "").encode(), np.uint8)].tobytes()
+            if find.search(raw):
+                for k in range(1, len(low)):
+                    out.append((i, find.sub(lambda m: low[(low.index(m[0]) + k) % len(low)], raw).decode()))
+    return out
 
 
 def screened(both: np.ndarray, in1: np.ndarray, n1: float, n0: float, z: float = SCREEN) -> np.ndarray:
@@ -115,80 +144,118 @@ def screened(both: np.ndarray, in1: np.ndarray, n1: float, n0: float, z: float =
     return np.flatnonzero((both >= 2) & (np.abs(gap) >= z * np.sqrt(p * (1 - p) * (1 / max(n1, 1) + 1 / max(n0, 1)))))
 
 
-def terms(identity=IDENTITY, buckets: int = BUCKETS) -> np.ndarray:
-    return np.unique(np.array([bucket(w, buckets) for group in identity for w in group], np.int64))
+class Objective:
+    """Value and gradient of the smooth part of the loss in the weights and the bias."""
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, label: np.ndarray, width: int, pairs: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, cf: float = COUNTERFACTUAL):
+        self.row, self.col, self.label, self.width, self.cf = row, col, label, width, cf
+        #: pair, feature and sign (1: of x only, -1: of x' only) of the features that the two texts of a pair don't share
+        self.pair, self.at, self.sign = pairs if pairs is not None else (np.zeros(0, np.int64),) * 3
+        self.pairs = int(self.pair.max()) + 1 if len(self.pair) else 0
 
+    def __call__(self, w: np.ndarray, bias: float) -> tuple[float, np.ndarray, float]:
+        n = len(self.label)
+        z = np.bincount(self.row, weights=w[self.col], minlength=n) + bias
+        value = float(np.logaddexp(0, np.where(self.label == 1, -z, z)).mean())
+        g = (_labels.sigmoid(z) - self.label) / n
+        grad = np.bincount(self.col, weights=g[self.row], minlength=self.width).astype(float)
+        if self.pairs:
+            d = np.bincount(self.pair, weights=w[self.at] * self.sign, minlength=self.pairs)
+            value += self.cf * float(np.square(d).mean())
+            grad += np.bincount(self.at, weights=2 * self.cf / self.pairs * d[self.pair] * self.sign, minlength=self.width)
+        return value, grad, float(g.sum())
 
-def fit(row: np.ndarray, col: np.ndarray, label: np.ndarray, share: float | None = None, buckets: int = BUCKETS, l1: float = L1, cf: float = COUNTERFACTUAL, steps: int = STEPS, identity=IDENTITY) -> Model:
-    """Proximal steps over all sampled rows; ``share`` is that of label 1 outside the sample."""
-    n = len(label)
+
+def differences(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pair, feature and sign of what the feature sets of the pairs (a[i], b[i]) don't share."""
+    out = [(np.full(len(d), i), d, np.full(len(d), sign)) for i, (x, y) in enumerate(zip(a, b, strict=True)) for sign, d in ((1, np.setdiff1d(x, y)), (-1, np.setdiff1d(y, x)))]
+    return tuple(np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def fit(row: np.ndarray, col: np.ndarray, label: np.ndarray, swaps: tuple[list[np.ndarray], list[np.ndarray]] = ((), ()), share: float | None = None, buckets: int = BUCKETS, l1: float = L1, cf: float = COUNTERFACTUAL, steps: int = STEPS, neutral: int = NEUTRAL, identity=IDENTITY) -> Model:
+    """Proximal steps over all sampled rows; ``swaps``: features of the texts x and x'; ``share`` is that of label 1 outside the sample."""
+    n, terms = len(label), buckets + np.arange(len(flat(identity)))
+    width = buckets + len(terms)
     if not n or label.min() == label.max():
-        return Model(np.zeros(buckets), 0.0, identity)
-    both, in1 = np.bincount(col, minlength=buckets), np.bincount(col, weights=label[row], minlength=buckets)
-    names = np.union1d(screened(both, in1, label.sum(), n - label.sum()), terms(identity, buckets))
-    a, b, times = swaps(row, col, identity, buckets)
-    a, b, times = np.searchsorted(names, a), np.searchsorted(names, b), times / n
+        return Model(np.zeros(width), 0.0, identity)
+    both, in1 = np.bincount(col, minlength=width), np.bincount(col, weights=label[row], minlength=width)
+    names = np.union1d(screened(both, in1, label.sum(), n - label.sum()), terms)
+    known = lambda c: np.searchsorted(names, c[np.isin(c, names)])
+    a, b = [known(x) for x in swaps[0]], [known(x) for x in swaps[1]]
     keep = np.isin(col, names)
     r, c = row[keep], np.searchsorted(names, col[keep])
+    cuts = np.searchsorted(r, np.arange(n + 1))
+    plain = np.flatnonzero(label == 0)
+    for i, t in enumerate(np.searchsorted(names, terms).tolist()):  # naming a group adds its feature and nothing else
+        for j in plain[(np.arange(min(neutral, len(plain))) + i * neutral) % len(plain)].tolist():
+            own = c[cuts[j] : cuts[j + 1]]
+            a.append(own)
+            b.append(np.union1d(own, t))
+    loss = Objective(r, c, label, len(names), differences(a, b), cf)
     w, total = np.zeros(len(names)), np.full(len(names), 1e-8)
     bias, total_b = float(np.log(label.mean() / (1 - label.mean()))), 1e-8
     for _ in range(steps):
-        p = _labels.sigmoid(np.bincount(r, weights=w[c], minlength=n) + bias)
-        g = (p - label) / n
-        grad = np.bincount(c, weights=g[r], minlength=len(names))
-        if len(a):
-            d = 2 * cf * times * (w[a] - w[b])
-            np.add.at(grad, a, d)
-            np.add.at(grad, b, -d)
+        _, grad, slope = loss(w, bias)
         total += grad**2
-        total_b += g.sum() ** 2
+        total_b += slope**2
         rate = 0.5 / np.sqrt(total)
         w = w - rate * grad
         w = np.sign(w) * np.maximum(np.abs(w) - rate * l1, 0)
-        bias -= 0.5 / np.sqrt(total_b) * g.sum()
+        bias -= 0.5 / np.sqrt(total_b) * slope
     if share is not None and 0 < share < 1:  # the sample holds more of the rarer label than the rows it is from
         bias += np.log(share / (1 - share)) - np.log(label.mean() / (1 - label.mean()))
-    full = np.zeros(buckets)
+    full = np.zeros(width)
     full[names] = w
     return Model(full, float(bias), identity)
 
 
+def _lists(row: np.ndarray, col: np.ndarray, n: int) -> list[np.ndarray]:
+    cuts = np.searchsorted(row, np.arange(n + 1))
+    return [col[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, remainder: int = 2, per_class: int = PER_CLASS, doc_id: str = "doc_id", text: str = "text", **options) -> Model:
     """Fit on at most ``2 * per_class`` labelled rows; that bound also allows the broadcast of their ids."""
     chosen = _labels.sample(labels, label, modulus, remainder, per_class)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "label")
-    schema = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("buckets", T.BinaryType())])
+    picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", F.col("label").cast("double").alias("label"))
+    rows = _text.stored(picked, "sample")
     identity = options.get("identity", IDENTITY)
+    terms = BUCKETS + np.arange(len(flat(identity)))
 
-    def run(batches):
+    def counted(batches):
         for b in _text.pieces(batches, 0):
+            y = b.column(1).to_numpy()
             row, col = features(b.column(0), identity=identity)
-            cuts = np.searchsorted(row, np.arange(b.num_rows + 1))
-            col = col.astype("<i4")
-            yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int32()), pa.array([col[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=schema.names)
+            names, at = np.unique(col, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.bincount(at, minlength=len(names)), pa.int64()), pa.array(np.bincount(at, weights=y[row], minlength=len(names)).astype(np.int64))], names=["bucket", "n", "n1"])
+
+    size = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # one row for each bucket at most, whatever the texts
+    counts = rows.mapInArrow(counted, "bucket long, n long, n1 long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).where("n > 1").toArrow()
+    both, in1 = np.zeros(BUCKETS + len(terms)), np.zeros(BUCKETS + len(terms))
+    both[counts["bucket"].to_numpy()], in1[counts["bucket"].to_numpy()] = counts["n"].to_numpy(), counts["n1"].to_numpy()
+    names = np.union1d(screened(both, in1, size.get(1.0, 0), size.get(0.0, 0)), terms)
+
+    def kept(batches):
+        blob = lambda xs: pa.array([x[np.isin(x, names)].astype("<i4").tobytes() for x in xs], pa.binary())
+        for b in _text.pieces(batches, 0):
+            own = _lists(*features(b.column(0), identity=identity), b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(1), blob(own), pa.nulls(b.num_rows, pa.binary())], names=["label", "x", "swapped"])
+            moved = counterfactuals(b.column(0).to_pylist(), identity)
+            if moved:
+                other = _lists(*features(pa.array([t for _, t in moved]), identity=identity), len(moved))
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(moved), pa.float64()), blob([own[i] for i, _ in moved]), blob(other)], names=["label", "x", "swapped"])
 
     known = labels.where(F.col(label).isin(0, 1) & ~_labels.held_out(doc_id, modulus, remainder))
     share = known.agg(F.avg(F.col(label).cast("double"))).first()[0]
-    batches = rows.mapInArrow(run, schema).toArrow().to_batches()
-    opened = [(np.array(b.column(0), float), *_text.buffer(b.column(1))) for b in batches]
-    both, in1 = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    n1 = n0 = 0.0
-    for y, data, offs in opened:
-        n1, n0 = n1 + y.sum(), n0 + (1 - y).sum()
-        for i in range(len(y)):  # a text has a bucket once
-            own = data[offs[i] : offs[i + 1]].view("<i4")
-            both[own] += 1
-            if y[i]:
-                in1[own] += 1
-    kept = np.zeros(BUCKETS, bool)
-    kept[screened(both, in1, n1, n0)] = True
-    kept[terms(identity)] = True
-    # only the buckets that the fit uses; in an order that does not depend on the partitions
-    texts = [(y[i], own[kept[own]].tobytes()) for y, data, offs in opened for i in range(len(y)) for own in (data[offs[i] : offs[i + 1]].view("<i4"),)]
-    texts.sort(key=lambda t: (t[1], t[0]))
-    cols = [np.frombuffer(x, "<i4") for _, x in texts]
-    col = np.concatenate(cols).astype(np.int64) if cols else np.zeros(0, np.int64)
-    return fit(np.repeat(np.arange(len(cols)), [len(x) for x in cols]), col, np.array([y for y, _ in texts], float), share, **options)
+    # in an order that does not depend on the partitions
+    found = sorted((tuple(r.values()) for r in rows.mapInArrow(kept, "label double, x binary, swapped binary").toArrow().to_pylist()), key=lambda t: (t[0] is None, t[0] or 0.0, t[1], t[2] or b""))
+    _text.discard(rows)
+    opened = lambda k, some: [np.frombuffer(t[k], "<i4").astype(np.int64) for t in some]
+    base, moved = [t for t in found if t[0] is not None], [t for t in found if t[0] is None]
+    cols = opened(1, base)
+    col = np.concatenate(cols) if cols else np.zeros(0, np.int64)
+    return fit(np.repeat(np.arange(len(cols)), [len(x) for x in cols]), col, np.array([t[0] for t in base], float), (opened(1, moved), opened(2, moved)), share, **options)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

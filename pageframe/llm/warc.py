@@ -20,7 +20,9 @@ paths, hdfs, s3, gs); only Spark's readers touch the input tables.
 
 Defined results: a null html is an empty payload; empty payloads are never revisits unless
 ``min_dedup`` is 0; a null URL is written as ``urn:pageframe:none`` and read back as null;
-repeated page ids each give a record (a revisit refers to the id); columns other than
+repeated page ids each give a record, judged by its own payload (a revisit refers to the id, and
+rows that share the largest id are all responses); a null page id is below all others, is written as ``none`` and
+read back as null, and rows of which none has an id are all responses; columns other than
 id, URL and html are ignored, whatever their names; an empty table gives an empty archive.
 """
 
@@ -39,8 +41,11 @@ from . import _text
 MIN_DEDUP = 1000
 READ_BYTES = 8 << 20
 GAP_BYTES = 64 << 10
+#: Revisits (id, digest, id: some 100 bytes each) are broadcast up to this number, joined by a shuffle beyond it.
+BROADCAST_ROWS = 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NO_URL = "urn:pageframe:none"
+NO_ID = "none"
 DATE = "1970-01-01T00:00:00Z"
 LEVEL = 3
 
@@ -60,12 +65,12 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None = None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None = None) -> bytes:
     """One gzip member with a whole WARC/1.1 record."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:pageframe:page:{page_id}>",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:pageframe:page:{NO_ID if page_id is None else page_id}>",
         f"WARC-Target-URI: {(url if url is not None else NO_URL).translate({10: '%0A', 13: '%0D'})}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}",
     ]
     if refers_to is not None:
@@ -87,12 +92,16 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes, bytes]:
 def decided(pages: DataFrame, min_dedup: int = MIN_DEDUP) -> DataFrame:
     """page_id, url, html, digest, refers_to (null for responses)."""
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    payload = F.encode("html", "UTF-8")
-    keyed = source.select("page_id", F.sha1(payload).alias("digest"), F.sha2(payload, 256).alias("strong"), F.octet_length("html").alias("size")).where(F.col("size") >= min_dedup)
-    groups = keyed.groupBy("strong").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1").select("strong", "response")
-    # revisits only: few and narrow
-    revisits = keyed.join(groups, "strong").where("page_id <> response").select("page_id", F.col("response").alias("refers_to")).distinct()
-    return source.withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).join(revisits, "page_id", "left")
+    strong = F.sha2(F.encode("html", "UTF-8"), 256)
+    keyed = source.where(F.octet_length("html") >= min_dedup).select("page_id", strong.alias("strong"))
+    groups = keyed.groupBy("strong").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1 and response is not null").select("strong", "response")
+    # revisits only: few and narrow, one row for each id and payload
+    revisits = keyed.join(groups, "strong").where("not page_id <=> response").select(F.col("page_id").alias("id"), "strong", F.col("response").alias("refers_to")).distinct()
+    revisits = _text.stored(revisits, "revisits")
+    if revisits.count() <= BROADCAST_ROWS:
+        revisits = F.broadcast(revisits)
+    marked = source.withColumns({"digest": F.sha1(F.encode("html", "UTF-8")), "own": strong})
+    return marked.join(revisits, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("strong")), "left").drop("id", "own", "strong")
 
 
 def write(pages: DataFrame, folder: str, min_dedup: int = MIN_DEDUP) -> DataFrame:
@@ -172,7 +181,8 @@ def _ranges(source, wanted: list[tuple[int, int]]) -> Iterator[bytes]:
 def _row(raw: bytes, keep: bool) -> tuple:
     fields, http, payload = parse(raw)
     kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    page = lambda name: int(fields[name].rpartition(":")[2].rstrip(">")) if name in fields else None
+    named = lambda name: fields[name].rpartition(":")[2].rstrip(">") if name in fields else NO_ID
+    page = lambda name: None if (x := named(name)) == NO_ID else int(x)
     size = int(http.rpartition(b"Content-Length: ")[2])
     if kind == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
         raise ValueError(f"damaged record of page {page('WARC-Record-ID')}")
