@@ -36,27 +36,23 @@ def cell_items(cells: DataFrame, keys: list[str], n_rows: Column, n_cols: Column
     return cells.select(*keys, at["y"].alias("y"), at["x"].alias("x"), ord.cast("long").alias("ord"), X.js_trim(X.cell_text(F.col("text"))).alias("text")).where("text <> ''")
 
 
-def numbered_rows(items: Column, threshold: Column | float) -> Column:
-    """Sorted items to rows: an item joins while y - anchor <= threshold; a row's first item is its anchor.
+def row_anchors(ys: Column, threshold: Column | float) -> Column:
+    """Anchors of the rows of sorted y: an item joins while y - anchor <= threshold; a row's first item is its anchor.
 
-    One fold over the page's items: (row number, anchor, items with their row).
+    One fold over the distinct y of a page, which carries the anchors only.
     """
     limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    start = F.struct(F.lit(-1).alias("row"), F.lit(None).cast("double").alias("anchor"), F.array().cast("array<struct<row:int,x:double,ord:bigint,text:string>>").alias("out"))
-
-    def step(acc: Column, it: Column) -> Column:
-        new = acc["anchor"].isNull() | (it["y"] - acc["anchor"] > limit)
-        row = F.when(new, acc["row"] + 1).otherwise(acc["row"])
-        item = F.struct(row.alias("row"), it["x"].alias("x"), it["ord"].alias("ord"), it["text"].alias("text"))
-        return F.struct(row.alias("row"), F.when(new, it["y"]).otherwise(acc["anchor"]).alias("anchor"), F.concat(acc["out"], F.array(item)).alias("out"))
-
-    return F.aggregate(items, start, step, lambda acc: acc["out"])
+    start = F.array().cast("array<double>")
+    return F.aggregate(ys, start, lambda acc, y: F.when((F.size(acc) == 0) | (y - F.element_at(acc, -1) > limit), F.concat(acc, F.array(y))).otherwise(acc))
 
 
 def rows(items: DataFrame, keys: list[str], threshold: Column | float = Y_THRESHOLD) -> DataFrame:
     """One row per item with its row number on the page (canonical order)."""
     page = F.array_sort(F.collect_list(F.struct("y", "x", "ord", "text")))
-    return items.groupBy(*keys).agg(page.alias("i")).select(*keys, F.inline(numbered_rows(F.col("i"), threshold)))
+    anchors = row_anchors(F.array_distinct(F.transform("i", lambda it: it["y"])), threshold)
+    # an item's row is the last whose anchor is at or above it
+    placed = F.transform("i", lambda it: F.struct((F.size(F.filter("a", lambda y: y <= it["y"])) - 1).alias("row"), it["x"].alias("x"), it["ord"].alias("ord"), it["text"].alias("text")))
+    return items.groupBy(*keys).agg(page.alias("i")).withColumn("a", anchors).select(*keys, F.inline(placed))
 
 
 def line(segments: Column, char_width: Column | float = CHAR_WIDTH) -> Column:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 # Sizes and limits of the pre-processing.
 LARGE_SIDE = 2000
@@ -213,11 +213,21 @@ def processed(images: DataFrame, step=preprocess) -> DataFrame:
 
 
 def otsu_of(histogram: DataFrame, keys: list[str], level: str = "level", n: str = "n") -> DataFrame:
-    """Otsu threshold per key of a histogram table; empty levels need no rows."""
-    full = histogram.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(level, n))).alias("h")).select(*keys, "h", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("t"))
-    v = full.withColumn("c", F.coalesce(F.try_element_at("h", F.col("t")), F.lit(0)).cast("double")).drop("h")
-    upto = Window.partitionBy(*keys).orderBy("t")
-    whole = Window.partitionBy(*keys)
-    v = v.withColumns({"w": F.sum("c").over(upto), "m": F.sum(F.col("c") * F.col("t")).over(upto), "all_w": F.sum("c").over(whole), "all_m": F.sum(F.col("c") * F.col("t")).over(whole)})
-    score = F.try_divide((F.col("all_m") * F.col("w") - F.col("m") * F.col("all_w")) * (F.col("all_m") * F.col("w") - F.col("m") * F.col("all_w")), F.col("w") * (F.col("all_w") - F.col("w")))
-    return v.withColumn("s", F.coalesce(score, F.lit(-1.0))).groupBy(*keys).agg(F.max(F.struct("s", F.negate("t").alias("t"))).alias("b")).select(*keys, F.negate(F.col("b.t")).alias("threshold"))
+    """Otsu threshold per key of a histogram table; empty levels need no rows.
+
+    The levels of a key are one array of at most 256 entries, and the best split is one fold over it. Between two
+    levels that occur, the score doesn't change, so only levels that occur are looked at, but for a first split below them.
+    """
+    levels = F.array_sort(F.collect_list(F.struct(F.col(level).cast("int").alias("t"), F.col(n).cast("double").alias("c"))))
+    total = lambda f: F.aggregate("h", F.lit(0.0), lambda a, x: a + f(x))
+    own = histogram.groupBy(*keys).agg(levels.alias("h")).withColumns({"all_w": total(lambda x: x["c"]), "all_m": total(lambda x: x["c"] * x["t"])})
+    start = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("m"), F.lit(-1.0).alias("s"), F.lit(0).alias("t"))
+
+    def step(acc, x):
+        w, m = acc["w"] + x["c"], acc["m"] + x["c"] * x["t"]
+        gap = F.col("all_m") * w - m * F.col("all_w")
+        score = F.coalesce(F.try_divide(gap * gap, w * (F.col("all_w") - w)), F.lit(-1.0))
+        better = score > acc["s"]
+        return F.struct(w.alias("w"), m.alias("m"), F.when(better, score).otherwise(acc["s"]).alias("s"), F.when(better, x["t"]).otherwise(acc["t"]).alias("t"))
+
+    return own.select(*keys, F.aggregate("h", start, step, lambda acc: acc["t"]).alias("threshold"))

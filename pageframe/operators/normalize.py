@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import geometry as G
+from ..functions import geometry as G, text as X
 from ..schema import BBOX, PAGE_RESULT, RESPONSE
 
+# Fixed value: the name of a response without a file name.
+NO_NAME = "unknown"
+
 _RAW = "array<string>"  # from_json keeps nested JSON as text in string elements
 
 
@@ -26,16 +29,21 @@ def text_blocks(json: Column) -> Column:
     get = F.get_json_object
     block = lambda b: F.when(
         _is(b, "{"), F.struct(F.coalesce(get(b, "$.text"), F.lit("")).alias("text"), box(get(b, "$.bbox")).alias("bbox"))
-    ).when(_is(b, "[") & (F.json_array_length(b) >= 2), F.struct(F.coalesce(get(b, "$[0]"), F.lit("None")).alias("text"), box(get(b, "$[1]")).alias("bbox")))
+    ).when(_is(b, "[") & (F.json_array_length(b) >= 2), F.struct(F.coalesce(F.get(items(b), 0), F.lit("None")).alias("text"), box(F.get(items(b), 1)).alias("bbox")))
     return F.coalesce(F.filter(F.transform(items(json), block), lambda b: b.isNotNull()), F.array().cast("array<struct<text:string,bbox:struct<x0:double,y0:double,x1:double,y1:double>>>"))
 
 
+def _row(json: Column) -> Column:
+    """Cells of one row: a list as it is, an object's values by sorted key, anything else as one cell."""
+    values = X.dict_row(F.from_json(json, "map<string,string>"))
+    return F.when(_is(json, "["), items(json)).when(_is(json, "{"), values).otherwise(F.array(json))
+
+
 def rows_of(json: Column) -> Column:
-    """rows of a table: cells as texts; a flat list is one row, a scalar row one cell."""
-    cells = items(json)
-    flat = (F.size(cells) > 0) & ~_is(F.get(cells, 0), "[")
-    nested = F.transform(cells, lambda r: F.when(_is(r, "["), items(r)).otherwise(F.array(r)))
-    return F.coalesce(F.when(flat, F.array(cells)).otherwise(nested), F.array().cast("array<array<string>>"))
+    """rows of a table: cells as texts; a flat list is one row, a scalar row one cell, an object its values by key."""
+    first = F.get(items(json), 0)
+    flat = first.isNotNull() & ~_is(first, "[") & ~_is(first, "{")
+    return F.coalesce(F.when(flat, F.array(items(json))).otherwise(F.transform(items(json), _row)), F.array().cast("array<array<string>>"))
 
 
 def cell_boxes(json: Column) -> Column:
@@ -50,7 +58,7 @@ def tables(json: Column) -> Column:
     kind = f"struct<rows:array<array<string>>,bbox:{BBOX.simpleString()},cells_bbox:array<array<{BBOX.simpleString()}>>>"
     table = lambda rows, box, cells: F.struct(rows.alias("rows"), box.alias("bbox"), cells.alias("cells_bbox")).cast(kind)
     none = F.lit(None)
-    from_list = lambda t: F.transform(items(t), lambda r: F.when(_is(r, "["), items(r)).otherwise(F.array(r)))
+    from_list = lambda t: F.transform(items(t), _row)
     one = lambda t: (
         F.when(_is(t, "{"), table(rows_of(get(t, "$.rows")), G.coerce_box(get(t, "$.bbox")), cell_boxes(get(t, "$.cells_bbox"))))
         .when(_is(t, "["), table(from_list(t), none, none))
@@ -68,11 +76,11 @@ def page(page_number: Column, content: Column, blocks: Column, tabs: Column, wid
     )
 
 
-def responses(pages: DataFrame, doc: str = "doc_id", filename: str = "filename", method: str = "method_used", elapsed: str | None = None) -> DataFrame:
-    """One row per document: filename, method_used, processing_time_sec, pages by number."""
+def responses(pages: DataFrame, doc: str = "doc_id", filename: str = "filename", method: str = "method_used", elapsed: str | None = None, mode: str = "auto") -> DataFrame:
+    """One row per document: filename, method_used (the mode where there is none), processing_time_sec, pages by number."""
     seconds = F.bround(F.max(elapsed), 3) if elapsed else F.lit(0.0)
     every = F.array_sort(F.collect_list(page(*(F.col(c) for c in ("page_number", "content", "text_blocks", "tables", "page_width", "page_height")))), lambda a, b: a["page_number"] - b["page_number"])
-    out = pages.groupBy(doc).agg(F.coalesce(F.nullif(F.max(filename), F.lit("")), F.lit("upload")).alias("filename"), F.max(method).alias("method_used"), seconds.alias("processing_time_sec"), every.alias("pages"))
+    out = pages.groupBy(doc).agg(X.or_else(F.max(filename), NO_NAME).alias("filename"), X.or_else(F.max(method), mode).alias("method_used"), seconds.alias("processing_time_sec"), every.alias("pages"))
     return out
 
 

@@ -1,7 +1,4 @@
-"""Spatial joins within pages: always an equi-join on the page with the geometry as residue.
-
-For very dense pages, ``banded`` adds a y-band as a second equi-key to a join of boxes.
-"""
+"""Spatial joins within pages: always an equi-join on the page with the geometry as residue."""
 
 from __future__ import annotations
 
@@ -60,12 +57,6 @@ def image_dedup(images: DataFrame, lines: DataFrame, ratio: float = 0.5, page: t
     return images.alias("i").join(lines.alias("l"), on, "left_anti")
 
 
-def banded(df: DataFrame, height: float, name: str = "band") -> DataFrame:
-    """One row per y-band that a box touches; join on the band too, then drop repeats."""
-    band = lambda c: F.floor(F.col(c) / height)
-    return df.withColumn(name, F.explode(F.sequence(band("y0"), F.greatest(band("y0"), band("y1")))))
-
-
 def table_cells(tables: DataFrame, page: tuple[str, ...] = PAGE, table: str = "table_idx") -> DataFrame:
     """rows[r][c] with cells_bbox[r][c], both ragged: one row per cell of ``rows``, box null where none."""
     rows = tables.select(*page, table, "cells_bbox", "bbox", F.posexplode("rows").alias("row_idx", "row_"))

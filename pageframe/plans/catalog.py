@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geometry as G, text as X
 from ..operators import grid, image, lines as L, normalize, routing, spatial as S
-from ..sources import backends, fixtures as fx
+from ..sources import backends, files, fixtures as fx
 from ..streaming import drop
 from . import modes
 
@@ -58,8 +58,7 @@ def doc_lines(spark, d):
 
 @query("SELECT doc_id, page_number, string_agg(text, chr(10) ORDER BY ord) AS content, count(*) AS n FROM fx_lines GROUP BY doc_id, page_number")
 def lines_with_blanks(spark, d):
-    own = fx.lines(spark, d)
-    return L.content(own, ["ord"], stripped=False).join(own.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n")), PAGE)
+    return fx.lines(spark, d).groupBy(*PAGE).agg(L.ordered_text(["ord"], sep="\n").alias("content"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""SELECT doc_id, page_number, {_strip("string_agg(text, chr(10) ORDER BY ord)")} AS content, count(*) AS n_blocks, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1
@@ -116,19 +115,19 @@ def distinct_methods(spark, d):
 _TYPES, _NAMES, _MODES = ("image/jpeg", "IMAGE/PNG", "image/bmp", "application/pdf", "text/plain", None), ("a.pdf", "b.PDF", "c.png", "d", ".pdf", None), ("auto", "pdftext", "nonsense", None)
 
 
-def _values(items) -> str:
-    return "(VALUES " + ", ".join("(NULL)" if x is None else f"('{x}')" for x in items) + ")"
+def _listed(items) -> str:
+    return "[" + ", ".join("NULL" if x is None else f"'{x}'" for x in items) + "]"
 
 
-@query(f"""SELECT o_orderkey AS doc_id, coalesce(m, '') AS mode_in, coalesce(t, '') AS type_in, coalesce(n, '') AS name_in,
+@query(f"""SELECT doc_id, coalesce(m, '') AS mode_in, coalesce(t, '') AS type_in, coalesce(n, '') AS name_in,
  CASE WHEN m IN ('auto', 'pdftext', 'pdftexttable', 'pdfimagev5', 'pdfimagets', 'pdftxtimage', 'pdfimagetable') THEN m ELSE 'auto' END AS mode,
  CASE WHEN lower(t) IN ('image/jpeg', 'image/png', 'image/jpg') THEN 'ocr' WHEN lower(t) = 'application/pdf' OR lower(n) IN ('a.pdf', 'b.pdf') THEN 'pdf' ELSE 'ocr' END AS route,
  coalesce(lower(t) = 'application/pdf', false) OR coalesce(lower(n) IN ('a.pdf', 'b.pdf'), false) AS is_pdf
-FROM (SELECT o_orderkey FROM orders WHERE o_orderkey < 20), {_values(_MODES)} AS a(m), {_values(_TYPES)} AS b(t), {_values(_NAMES)} AS c(n)""")
+FROM (SELECT o_orderkey AS doc_id, {_listed(_MODES)}[o_orderkey % 4 + 1] AS m, {_listed(_TYPES)}[o_orderkey // 4 % 6 + 1] AS t, {_listed(_NAMES)}[o_orderkey // 24 % 6 + 1] AS n FROM orders)""")
 def mode_route_matrix(spark, d):
-    """All combinations of literal modes, types and names, for a few orders."""
-    lit = lambda xs: F.array(*(F.lit(x).cast("string") for x in xs))
-    rows = fx.table(spark, d, "orders").where("o_orderkey < 20").select(F.col("o_orderkey").alias("doc_id"), F.explode(lit(_MODES)).alias("m")).select("*", F.explode(lit(_TYPES)).alias("t")).select("*", F.explode(lit(_NAMES)).alias("n"))
+    """A mode, a type and a name for each order, in all combinations."""
+    pick = lambda xs, at: F.get(F.array(*(F.lit(x).cast("string") for x in xs)), F.expr(f"cast({at} as int)"))
+    rows = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), pick(_MODES, "o_orderkey % 4").alias("m"), pick(_TYPES, "o_orderkey div 4 % 6").alias("t"), pick(_NAMES, "o_orderkey div 24 % 6").alias("n"))
     return rows.select("doc_id", *(F.coalesce(a, F.lit("")).alias(b) for a, b in (("m", "mode_in"), ("t", "type_in"), ("n", "name_in"))), routing.mode(F.col("m")).alias("mode"), routing.auto_route(F.col("t"), F.col("n")).alias("route"), routing.ocr_is_pdf(F.col("t"), F.col("n")).alias("is_pdf"))
 
 
@@ -244,9 +243,13 @@ def image_to_cell(spark, d):
     return S.image_to_cell(S.image_size(fx.images(spark, d)), fx.cells(spark, d))
 
 
-@query(f"""WITH {_MATCH}, a AS (SELECT m.doc_id, m.page_number, cell.t AS table_idx, cell.r AS row_idx, cell.c AS col_idx, string_agg(ocr_text, ' ' ORDER BY m.ord) AS added FROM m JOIN im USING (doc_id, page_number, ord) WHERE ocr_text <> '' GROUP BY ALL)
-SELECT doc_id, page_number, table_idx, row_idx, col_idx, CASE WHEN added IS NULL THEN text ELSE {_strip("concat_ws(' ', nullif(text, ''), added)")} END AS text, x0, y0, x1, y1
-FROM fx_cells LEFT JOIN a USING (doc_id, page_number, table_idx, row_idx, col_idx)""")
+# one key for the match and the cell: few rows on one side of each join
+_ADDED = f"""{_MATCH}, a AS (SELECT doc_id || ':' || page_number || ':' || cell.t || ':' || cell.r || ':' || cell.c AS k, string_agg(ocr_text, ' ' ORDER BY ord) AS added FROM (SELECT m.*, ocr_text FROM m JOIN im USING (doc_id, page_number, ord) WHERE ocr_text <> '') GROUP BY 1),
+fc AS (SELECT *, doc_id || ':' || page_number || ':' || table_idx || ':' || row_idx || ':' || col_idx AS k FROM fx_cells)"""
+_FILLED = f"CASE WHEN added IS NULL THEN text ELSE {_strip("concat_ws(' ', nullif(text, ''), added)")} END"
+
+
+@query(f"WITH {_ADDED} SELECT doc_id, page_number, table_idx, row_idx, col_idx, {_FILLED} AS text, x0, y0, x1, y1 FROM fc LEFT JOIN a USING (k)")
 def cells_with_ocr(spark, d):
     images, own = S.image_size(fx.images(spark, d)), fx.cells(spark, d)
     matched = S.image_to_cell(images, own).join(images.select(*PAGE, "ord", "ocr_text"), [*PAGE, "ord"])
@@ -281,8 +284,7 @@ def hybrid_lines(spark, d):
 @query(f"""WITH {_DEDUP}, u AS (SELECT doc_id, page_number, 0 AS kind, ord, text, x0, y0 FROM fx_order_lines UNION ALL SELECT doc_id, page_number, 1, ord, ocr_text, x0, y0 FROM d)
 SELECT doc_id, page_number, {_strip("string_agg(text, chr(10) ORDER BY y0, x0, kind, ord)")} AS content, count(*) AS n FROM u GROUP BY doc_id, page_number""")
 def hybrid_content(spark, d):
-    own = hybrid_lines(spark, d)
-    return L.content(own, ["n"]).join(own.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n")), PAGE)
+    return hybrid_lines(spark, d).groupBy(*PAGE).agg(X.strip(L.ordered_text(["n"], sep="\n")).alias("content"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH k AS (SELECT l.* FROM fx_order_lines l WHERE NOT EXISTS (SELECT 1 FROM fx_tables t WHERE t.doc_id = l.doc_id AND t.page_number = l.page_number AND {_overlap('l', 't')} >= 0.5 * {_area('l')})),
@@ -302,9 +304,9 @@ _BOXES = ("[1,2,3,4]", "[1,2,3]", '{"x0":1,"top":2,"x1":3,"bottom":4}', "{}", '{
 
 
 @query("""WITH v(i, box) AS (VALUES (0, {'x0': 1::DOUBLE, 'y0': 2::DOUBLE, 'x1': 3::DOUBLE, 'y1': 4::DOUBLE}), (1, NULL), (2, {'x0': 1, 'y0': 2, 'x1': 3, 'y1': 4}), (3, {'x0': 0, 'y0': 0, 'x1': 0, 'y1': 0}), (4, {'x0': 0, 'y0': 5, 'x1': 0, 'y1': 0}), (5, NULL), (6, NULL), (7, {'x0': 1, 'y0': 2, 'x1': 3, 'y1': 4}))
-SELECT o_orderkey AS doc_id, i::INT AS i, box.x0 AS x0, box.y0 AS y0, box.x1 AS x1, box.y1 AS y1 FROM (SELECT o_orderkey FROM orders WHERE o_orderkey < 50), v""")
+SELECT o_orderkey AS doc_id, i::INT AS i, box.x0 AS x0, box.y0 AS y0, box.x1 AS x1, box.y1 AS y1 FROM orders, v""")
 def bbox_coerce(spark, d):
-    rows = fx.table(spark, d, "orders").where("o_orderkey < 50").select(F.col("o_orderkey").alias("doc_id"), F.posexplode(F.array(*map(F.lit, _BOXES))).alias("i", "v"))
+    rows = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.posexplode(F.array(*map(F.lit, _BOXES))).alias("i", "v"))
     b = G.coerce_box(F.col("v"))
     return rows.select("doc_id", "i", *(b[n].alias(n) for n in ("x0", "y0", "x1", "y1")))
 
@@ -325,11 +327,12 @@ def unit_normalize(spark, d):
 
 
 @query(f"""WITH p AS (SELECT doc_id, page_number, {_strip("string_agg(text, chr(10) ORDER BY ord)")} AS content, count(*) AS n FROM fx_lines WHERE {_strip('text')} <> '' GROUP BY doc_id, page_number)
-SELECT doc_id, 'upload' AS filename, 'pdftext' AS method_used, count(*) AS n_pages, sum(n)::BIGINT AS n_blocks, string_agg(content, chr(12) ORDER BY page_number) AS contents FROM p GROUP BY doc_id""")
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'unknown' ELSE 'f' || doc_id || '.pdf' END AS filename, CASE WHEN doc_id % 2 = 0 THEN 'auto' ELSE 'pdftext' END AS method_used, count(*) AS n_pages, sum(n)::BIGINT AS n_blocks, string_agg(content, chr(12) ORDER BY page_number) AS contents FROM p GROUP BY doc_id""")
 def response_json(spark, d):
     """Responses encoded to JSON and decoded again."""
-    p = L.pages_of(L.not_blank(fx.lines(spark, d)), ["ord"]).withColumns({"tables": F.lit(None), "page_width": F.lit(612.0), "page_height": F.lit(792.0), "filename": F.lit(""), "method_used": F.lit("pdftext")})
-    r = normalize.responses(p)
+    p = L.pages_of(L.not_blank(fx.lines(spark, d)), ["ord"]).withColumns({"tables": F.lit(None), "page_width": F.lit(612.0), "page_height": F.lit(792.0),
+        "filename": F.when(F.col("doc_id") % 3 == 0, F.when(F.col("doc_id") % 2 == 0, "")).otherwise(F.concat(F.lit("f"), F.col("doc_id"), F.lit(".pdf"))), "method_used": F.when(F.col("doc_id") % 2 == 0, "").otherwise("pdftext")})
+    r = normalize.responses(p, mode="auto")
     back = r.select("doc_id", normalize.decode(normalize.encode(F.struct("filename", "method_used", "processing_time_sec", "pages"))).alias("r")).select("doc_id", "r.*")
     return back.select("doc_id", "filename", "method_used", F.size("pages").cast("long").alias("n_pages"), F.aggregate("pages", F.lit(0).cast("long"), lambda a, x: a + F.size(x["text_blocks"])).alias("n_blocks"), F.array_join(F.transform("pages", lambda x: x["content"]), "\f").alias("contents"))
 
@@ -474,15 +477,118 @@ def mode_pdftxtimage(spark, d):
     return modes.pdftxtimage(_decoded(spark, d)).select(*PAGE, "content", F.size("text_blocks").cast("long").alias("n_blocks"))
 
 
-@query(None)
+# a page's blocks outside its tables with free images, its tables with filled cells, and both in reading order
+_IMAGE_TABLE = f"""pg AS (SELECT DISTINCT doc_id, page_number FROM fx_lines), tb AS (SELECT t.* FROM fx_tables t JOIN pg USING (doc_id, page_number)),
+q AS (SELECT *, round_even(top / 3, 0) * 3 AS line_y FROM fx_words), gl AS (SELECT doc_id, page_number, line_y, {_strip("string_agg(text, '' ORDER BY x0, top, ord, word_ord)")} AS text, min(x0) AS x0, min(top) AS y0, max(x1) AS x1, max(bottom) AS y1 FROM q GROUP BY doc_id, page_number, line_y),
+tl AS (SELECT l.* FROM gl l WHERE text <> '' AND NOT EXISTS (SELECT 1 FROM tb t WHERE t.doc_id = l.doc_id AND t.page_number = l.page_number AND {_area('l')} > 0 AND {_overlap('l', 't')} >= 0.5 * {_area('l')})),
+{_ADDED}, fr AS (SELECT im.* FROM im JOIN pg USING (doc_id, page_number) WHERE ocr_text <> '' AND NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = im.doc_id AND m.page_number = im.page_number AND m.ord = im.ord)),
+u AS (SELECT doc_id, page_number, y0, x0, 0 AS k, line_y AS o, text FROM tl UNION ALL SELECT doc_id, page_number, y0, x0, 1, ord, {_strip('ocr_text')} FROM fr),
+cl AS (SELECT fc.doc_id, fc.page_number, table_idx, row_idx, string_agg(coalesce({_FILLED}, ''), ' | ' ORDER BY col_idx) AS line FROM fc JOIN pg USING (doc_id, page_number) LEFT JOIN a USING (k) GROUP BY ALL),
+tt AS (SELECT doc_id, page_number, table_idx, string_agg(line, chr(10) ORDER BY row_idx) AS text FROM cl GROUP BY ALL),
+o AS (SELECT doc_id, page_number, y0, x0, 0 AS kind, k, o, text FROM u UNION ALL SELECT doc_id, page_number, y0, x0, 1, 0, table_idx, text FROM tt JOIN tb USING (doc_id, page_number, table_idx)),
+ct AS (SELECT doc_id, page_number, {_strip("string_agg(text, chr(10) ORDER BY y0, x0, kind, k, o)")} AS content FROM o GROUP BY ALL),
+bl AS (SELECT doc_id, page_number, string_agg(text || '@' || x0::BIGINT || ',' || y0::BIGINT, chr(10) ORDER BY y0, x0, k, o) AS blocks FROM u GROUP BY ALL),
+tn AS (SELECT doc_id, page_number, string_agg(text, chr(12) ORDER BY table_idx) AS tables FROM tt GROUP BY ALL)"""
+
+
+@query(f"""WITH {_IMAGE_TABLE} SELECT doc_id, page_number, coalesce(content, '') AS content, coalesce(blocks, '') AS blocks, coalesce(tables, '') AS tables
+FROM pg LEFT JOIN ct USING (doc_id, page_number) LEFT JOIN bl USING (doc_id, page_number) LEFT JOIN tn USING (doc_id, page_number)""")
 def mode_pdfimagetable(spark, d):
-    """Rows only: its parts (tolerant lines, anti join, cell match, update join, reading order) each have SQL of their own."""
-    return modes.pdfimagetable(_decoded(spark, d)).select(*PAGE, "content", F.size("text_blocks").cast("long").alias("n_blocks"), F.size("tables").cast("long").alias("n_tables"))
+    """Content, the texts and origins of the blocks, and the rows of the tables."""
+    return modes.pdfimagetable(_decoded(spark, d)).select(*PAGE, "content", _block_texts().alias("blocks"), _table_texts().alias("tables"))
 
 
-@query(None)
+def _block_texts():
+    at = lambda b, n: b["bbox"][n].cast("long").cast("string")
+    return F.array_join(F.transform("text_blocks", lambda b: F.concat(b["text"], F.lit("@"), at(b, "x0"), F.lit(","), at(b, "y0"))), "\n")
+
+
+def _table_texts():
+    return F.array_join(F.transform("tables", lambda t: F.array_join(F.transform(t["rows"], lambda r: F.array_join(r, " | ", "")), "\n")), "\f")
+
+
+# the engine of a page by its text and the tables found on it, and each engine's content
+_AUTO = f"""{_PAGE_TEXT}, tb AS (SELECT doc_id, page_number, max(n_rows) AS n FROM fx_tables GROUP BY ALL),
+e AS (SELECT pt.doc_id, pt.page_number, text, CASE WHEN length({_strip('text')}) < 20 THEN 'pdfimagev5' WHEN coalesce(n, 0) >= 2 THEN 'pdftexttable' ELSE 'pdftext' END AS engine FROM pt LEFT JOIN tb USING (doc_id, page_number)),
+c AS (SELECT doc_id, page_number, coalesce(string_agg(text, chr(10) ORDER BY ord) FILTER ({_strip('text')} <> ''), '') AS spans, coalesce(string_agg(text, chr(10) ORDER BY ord) FILTER (text <> ''), '') AS ocr FROM fx_lines GROUP BY ALL),
+p AS (SELECT doc_id, page_number, engine, CASE engine WHEN 'pdfimagev5' THEN ocr WHEN 'pdftexttable' THEN {_strip('text')} ELSE {_strip('spans')} END AS content FROM e JOIN c USING (doc_id, page_number)),
+v AS (SELECT doc_id, engine, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, engine) AS place FROM e GROUP BY doc_id, engine)"""
+
+
+@query(f"""WITH {_AUTO} SELECT doc_id, 'unknown' AS filename, any_value(v.engine) AS method_used, count(*) AS n_pages, string_agg(content, chr(12) ORDER BY page_number) AS contents
+FROM p JOIN (SELECT doc_id, engine FROM v WHERE place = 1) v USING (doc_id) GROUP BY doc_id""")
 def mode_auto(spark, d):
-    return modes.process(_decoded(spark, d), "auto").select("doc_id", "filename", "method_used", F.size("pages").cast("long").alias("n_pages"))
+    r = modes.process(_decoded(spark, d), "auto")
+    return r.select("doc_id", "filename", "method_used", F.size("pages").cast("long").alias("n_pages"), F.array_join(F.transform("pages", lambda p: p["content"]), "\f").alias("contents"))
+
+
+@query("""SELECT doc_id, status, CASE WHEN status = 200 THEN CASE k WHEN 4 THEN 'unknown' WHEN 1 THEN 'scan.png' ELSE 'a.PDF' END END AS filename,
+ CASE WHEN status = 200 THEN CASE WHEN k IN (1, 3, 4) THEN 'pdfimagev5' ELSE 'pdftext' END END AS method_used, CASE WHEN status = 200 THEN n END AS n_pages
+FROM (SELECT page_id AS doc_id, k, n, CASE WHEN size > 8000 THEN 413 WHEN size = 0 THEN 400 WHEN n > 3 THEN 422 ELSE 200 END AS status
+ FROM (SELECT page_id, page_id % 5 AS k, CASE WHEN page_id % 5 IN (1, 4) THEN 1 ELSE page_id % 4 + 1 END AS n, coalesce(length(html), 0) AS size FROM pages))""")
+def process_uploads(spark, d):
+    """Uploads of several kinds through guards, routing and mode ``auto``: status, filename, method and pages."""
+    kind = F.col("page_id") % 5
+    n = (F.col("page_id") % 4 + 1).cast("int")
+    text = F.when(kind != 3, F.lit("a page with a text layer")).otherwise(F.lit(" short "))
+    one = F.struct(F.lit(612.0).alias("page_width"), F.lit(792.0).alias("page_height"), text.alias("page_text"))
+    html = fx.table(spark, d, "pages")
+    length = F.coalesce(F.length("html"), F.lit(0))
+    body = F.to_json(F.struct(F.transform(F.sequence(F.lit(1), n), lambda i: one).alias("pages"))).cast("binary")
+    files = html.select(
+        F.col("page_id").alias("doc_id"), length.alias("length"), body.alias("content"), F.when(kind == 4, None).when(kind == 1, "scan.png").otherwise("a.PDF").alias("filename"),
+        F.when(kind == 2, "application/pdf").when(kind == 1, "IMAGE/PNG").alias("content_type"),
+    )
+    r = modes.process_uploads(files, "auto", max_bytes=8000, max_pages=3)
+    return r.select("doc_id", "status", "filename", "method_used", F.size("pages").cast("long").alias("n_pages"))
+
+
+@query("""WITH t AS (SELECT page_id, page_id % 6 AS k FROM pages)
+SELECT page_id AS doc_id, CASE k WHEN 5 THEN 'invalid JSON' WHEN 4 THEN 'no pages' END AS error,
+ CASE WHEN k < 4 THEN 2 END::BIGINT AS n_blocks, CASE WHEN k < 4 THEN 'a' || page_id || '|' || CASE k WHEN 3 THEN 'None' ELSE 'b' END END AS block_texts,
+ CASE WHEN k < 4 THEN CASE k WHEN 1 THEN 0 ELSE 1 END END::DOUBLE AS x0,
+ CASE k WHEN 0 THEN 'x,;7,1.5' WHEN 1 THEN 'p,q' WHEN 2 THEN '' WHEN 3 THEN 'left,right' END AS rows_text
+FROM t""")
+def page_json_blocks(spark, d):
+    """Loose page JSON of several shapes through the source: blocks as objects and arrays, tables as objects, lists, maps and other values."""
+    k, i = F.col("page_id") % 6, F.col("page_id").cast("string")
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    page = lambda blocks, tables: text('{"filename": "f", "pages": [{"page_number": 1, "text_blocks": ', blocks, ', "tables": ', tables, "}]}")
+    two = lambda box: text('[{"text": "a', i, f'", "bbox": {box}}}, ["b", [1, 2, 3, 4]], 7, "x"]')
+    json = (
+        F.when(k == 0, page(two("[1, 2, 3, 4]"), F.lit('[{"rows": [["x", null], [7, 1.5]], "bbox": [1, 2, 3, 4]}]')))
+        .when(k == 1, page(two("[1, 2]"), F.lit('[[["p", "q"]]]')))
+        .when(k == 2, page(two('{"x0": 1, "top": 2, "x1": 3, "bottom": 4}'), F.lit("[5]")))
+        .when(k == 3, page(text('[{"text": "a', i, '", "bbox": [1, 2, 3, 4]}, [null, [1, 2, 3, 4]]]'), F.lit('[{"rows": [{"b": "right", "a": "left"}]}]')))
+        .when(k == 4, F.lit('{"pages": []}')).otherwise(F.lit("{pages"))
+    )
+    found = files.parsed(fx.table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), json.alias("json")))
+    first = F.get(F.col("pages"), F.lit(0))
+    blocks, rows = first["text_blocks"], F.get(first["tables"], F.lit(0))["rows"]
+    good = F.col("error").isNull()
+    return found.select(
+        "doc_id", "error", F.when(good, F.size(blocks).cast("long")).alias("n_blocks"), F.when(good, F.array_join(F.transform(blocks, lambda b: b["text"]), "|")).alias("block_texts"),
+        F.when(good, F.get(blocks, F.lit(0))["bbox"]["x0"]).alias("x0"), F.when(good, F.array_join(F.transform(rows, lambda r: F.array_join(r, ",", "")), ";")).alias("rows_text"),
+    )
+
+
+@query(f"""WITH p AS (SELECT doc_id, page_number, {_strip("string_agg(text, chr(10) ORDER BY ord)")} AS whole FROM fx_lines GROUP BY ALL)
+SELECT doc_id, page_number, CASE WHEN page_number % 2 = 0 THEN 'own' ELSE whole END AS content, CASE WHEN page_number % 2 = 0 OR whole = '' THEN 0 ELSE 1 END::BIGINT AS n_blocks, CASE WHEN page_number % 2 = 1 AND whole <> '' THEN 612 END::DOUBLE AS x1 FROM p""")
+def content_fallback(spark, d):
+    """Pages whose engine found nothing take the page's whole text, as one block over the page."""
+    none = F.array().cast("array<struct<text:string,bbox:struct<x0:double,y0:double,x1:double,y1:double>>>")
+    p = _page_text(spark, d).select(*PAGE, F.when(F.col("page_number") % 2 == 0, "own").otherwise("").alias("content"), F.col("text").alias("page_text"), F.lit(612.0).alias("page_width"), F.lit(792.0).alias("page_height"), none.alias("text_blocks"))
+    return L.with_fallback(p).select(*PAGE, "content", F.size("text_blocks").cast("long").alias("n_blocks"), F.get(F.col("text_blocks"), F.lit(0))["bbox"]["x1"].alias("x1"))
+
+
+@query("""SELECT doc_id, page_number, row_idx, col_idx,
+ CASE (row_idx + col_idx) % 3 WHEN 0 THEN x0 WHEN 1 THEN 72 + col_idx * (360.0::DOUBLE / 4) ELSE 0 END::DOUBLE AS x, CASE (row_idx + col_idx) % 3 WHEN 0 THEN y0 WHEN 1 THEN 200 + row_idx * (300.0::DOUBLE / 15) ELSE 0 END::DOUBLE AS y FROM fx_cells""")
+def cell_origins(spark, d):
+    """Origins of cells from their own box, from the table's box, and without either."""
+    k = (F.col("row_idx") + F.col("col_idx")) % 3
+    own, whole = F.when(k == 0, G.box("x0", "y0", "x1", "y1")), F.when(k != 2, G.box(72.0, 200.0, 432.0, 500.0))
+    at = G.cell_origin(own, whole, F.col("row_idx"), F.col("col_idx"), F.lit(15), F.lit(4))
+    return fx.cells(spark, d).select(*PAGE, "row_idx", "col_idx", at["x"].alias("x"), at["y"].alias("y"))
 
 
 # extensions

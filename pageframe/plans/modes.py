@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geometry as G, text as X
 from ..operators import lines as L, normalize, routing, spatial as S
-from ..schema import PAGE_RESULT
+from ..schema import PAGE_RESULT, RESPONSE
+from ..sources import backends, scratch
 
 PAGE = ["doc_id", "page_number"]
 _BLOCKS = PAGE_RESULT["text_blocks"].dataType
@@ -129,7 +130,8 @@ def pdfimagetable(pages: DataFrame) -> DataFrame:
 def decided(pages: DataFrame) -> DataFrame:
     """The engine of each page: text layer first, table probe only then."""
     heavy = routing.is_table_heavy(F.transform("tables", lambda t: F.size(t["rows"])))
-    return pages.withColumn("engine", routing.engine(routing.has_text_layer(F.col("page_text")), heavy))
+    found = routing.engine(routing.has_text_layer(F.col("page_text")), heavy)
+    return pages.withColumn("engine", F.when(F.col("image"), F.lit("pdfimagev5")).otherwise(found) if "image" in pages.columns else found)
 
 
 def auto(pages: DataFrame) -> DataFrame:
@@ -142,13 +144,59 @@ def auto(pages: DataFrame) -> DataFrame:
 BY_NAME = {"pdftext": pdftext, "pdftexttable": pdftexttable, "pdfimagev5": pdfimagev5, "pdfimagets": pdfimagets, "pdftxtimage": pdftxtimage, "pdfimagetable": pdfimagetable, "auto": auto}
 
 
+def routed(pages: DataFrame, mode: str = "auto") -> DataFrame:
+    """The pages a mode looks at, with ``image``: whether their file counts as an image, of which there is one page.
+
+    ``filename`` and ``content_type`` of the file decide, where ``pages`` has such columns; without both, files are PDFs.
+    """
+    if not {"filename", "content_type"} & set(pages.columns):
+        return pages.withColumn("image", F.lit(False))
+    name, kind = (F.col(c) if c in pages.columns else F.lit(None).cast("string") for c in ("filename", "content_type"))
+    if mode == "auto":
+        image = routing.auto_route(kind, name) == "ocr"
+    elif mode in ("pdfimagev5", "pdfimagets"):
+        image = ~routing.ocr_is_pdf(kind, name)
+    else:
+        image = F.lit(False)
+    return pages.withColumn("image", image).where(~F.col("image") | (F.col("page_number") == 1))
+
+
 def process(pages: DataFrame, mode: str = "auto") -> DataFrame:
-    """Response rows (doc_id, filename, method_used, pages) of a mode; unknown modes are ``auto``."""
+    """Response rows (doc_id, filename, method_used, processing_time_sec, pages) of a mode; unknown modes are ``auto``.
+
+    The primitives are stored once, so that no page is decoded or recognised again for a second use.
+    """
     mode = mode if mode in BY_NAME else "auto"
-    results = BY_NAME[mode](pages)
+    own = routed(scratch.stored(pages, "pages"), mode)
+    results = BY_NAME[mode](own)
     if mode == "auto":
         results = results.join(routing.majority(results), "doc_id")
     else:
         results = results.withColumn("method_used", F.lit(mode))
-    name = pages.groupBy("doc_id").agg(F.max("filename").alias("filename")) if "filename" in pages.columns else pages.select("doc_id").distinct().withColumn("filename", F.lit("upload"))
-    return normalize.responses(results.join(name, "doc_id"))
+    name = F.max("filename") if "filename" in pages.columns else F.lit(None).cast("string")
+    return normalize.responses(results.join(own.groupBy("doc_id").agg(name.alias("filename")), "doc_id"), mode=mode)
+
+
+def process_uploads(files: DataFrame, mode: str = "auto", backend: str | backends.Backend = "json", max_bytes: int = routing.MAX_BYTES, max_pages: int = routing.MAX_PAGES) -> DataFrame:
+    """One row per upload (doc_id, content, filename, content_type; ``length`` if known): status, detail and its response.
+
+    413 and 400 are told before decoding, 500 for a file that cannot be decoded, 422 for more pages
+    than allowed; none of these has a response. A file without pages has an empty response of the mode's name.
+    """
+    mode = mode if mode in BY_NAME else "auto"
+    length = F.col("length") if "length" in files.columns else F.length("content")
+    checked = routing.guards(files.withColumn("length", F.coalesce(length, F.lit(0)).cast("long")), max_bytes=max_bytes).select("doc_id", "filename", "content_type", "content", "status", "detail")
+    read = scratch.stored(backends.decode(checked.where("status = 200").select("doc_id", "filename", "content_type", "content"), backend, keys=("doc_id", "filename", "content_type"), all_or_nothing=True), "decoded")
+    failed = read.where("status = 'error'").select("doc_id", F.lit(500).alias("code"), F.concat(F.lit("processing failed: "), "error").alias("why"))
+    pages = read.where("status = 'ok'").drop("status", "error")
+    long = routed(pages, mode).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_pages)
+    refused = failed.unionByName(long.select("doc_id", F.lit(422).alias("code"), F.lit("too many pages").alias("why")))
+    done = process(pages.join(refused, "doc_id", "left_anti"), mode).drop("filename")
+    out = checked.drop("content", "content_type").join(refused, "doc_id", "left").join(done, "doc_id", "left")
+    status = F.coalesce("code", "status")
+    good = status == 200
+    return out.select(
+        "doc_id", status.alias("status"), F.coalesce("why", "detail").alias("detail"), F.when(good, X.or_else(F.col("filename"), normalize.NO_NAME)).alias("filename"),
+        F.when(good, F.coalesce("method_used", F.lit(mode))).alias("method_used"), F.when(good, F.coalesce("processing_time_sec", F.lit(0.0))).alias("processing_time_sec"),
+        F.when(good, F.coalesce("pages", F.array().cast(RESPONSE["pages"].dataType))).alias("pages"),
+    )

@@ -12,11 +12,14 @@ BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
 def uploads(spark: SparkSession, path: str, max_bytes: int = routing.MAX_BYTES, glob: str | None = None) -> DataFrame:
-    """Files with content, content type by suffix and safe name; the size limit is pushed into the scan."""
+    """Files with content, content type by suffix and safe name; of a file beyond the limit the content is null.
+
+    Guards on ``length`` reject such a file, as they do in a stream.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    found = reader.load(path).where(F.col("length") <= max_bytes)
+    found = reader.load(path).withColumn("content", F.when(F.col("length") <= max_bytes, F.col("content")))
     name = F.regexp_extract("path", "([^/]*)$", 1)
     return found.withColumns({"filename": X.safe_name(name), "suffix": X.staged_suffix(name), "content_type": X.guessed_type(name)})
 

@@ -25,7 +25,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of all lines of each document, standing in for glyphs; the SQL view ends after sixty lines."""
+    """Words of all lines of each document, standing in for glyphs."""
     raw = lines(spark, sf_dir).select("doc_id", "page_number", "ord", "x0", "y0", F.posexplode(F.split("text", " ", -1)).alias("w", "word"))
     return raw.select(
         "doc_id", "page_number", "ord", F.col("w").alias("word_ord"), F.col("word").alias("text"), _d("x0 + 30 * w").alias("x0"), _d("y0 + 0.5 * (w % 3)").alias("top"),
@@ -81,7 +81,7 @@ SQL = {
   (72 + 18 * (o % 3))::DOUBLE AS x0, (72 + 14 * (o % 40) + 3 * (o % 2))::DOUBLE AS y0, least(72 + 18 * (o % 3) + 5 * length(raw), 560)::DOUBLE AS x1, (84 + 14 * (o % 40) + 3 * (o % 2))::DOUBLE AS y1
 FROM (SELECT doc_id, unnest(l) AS raw, unnest(range(len(l))) AS o FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""",
     "fx_words": """SELECT doc_id, page_number, ord, w AS word_ord, word AS text, x0 + 30 * w AS x0, y0 + 0.5::DOUBLE * (w % 3) AS top, x0 + 30 * w + 5 * length(word) AS x1, y0 + 0.5::DOUBLE * (w % 3) + 10 AS bottom
-FROM (SELECT doc_id, page_number, ord, x0, y0, unnest(l) AS word, unnest(range(len(l))) AS w FROM (SELECT *, string_split(text, ' ') AS l FROM fx_lines WHERE ord < 60))""",
+FROM (SELECT doc_id, page_number, ord, x0, y0, unnest(l) AS word, unnest(range(len(l))) AS w FROM (SELECT *, string_split(text, ' ') AS l FROM fx_lines))""",
     "fx_cells": """SELECT l_orderkey AS doc_id, 1 AS page_number, 0 AS table_idx, row_idx, col_idx, t[col_idx + 1] AS text, (72 + 90 * col_idx)::DOUBLE AS x0, (200 + 20 * row_idx)::DOUBLE AS y0, (162 + 90 * col_idx)::DOUBLE AS x1, (220 + 20 * row_idx)::DOUBLE AS y1
 FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS row_idx, unnest(range(4)) AS col_idx,
   [l_partkey::VARCHAR, l_quantity::DECIMAL(18,2)::VARCHAR, l_extendedprice::DECIMAL(18,2)::VARCHAR, CASE WHEN l_linenumber % 5 <> 0 THEN l_returnflag END] AS t FROM lineitem)""",
