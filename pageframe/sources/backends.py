@@ -2,22 +2,21 @@
 
 A backend is a function ``pages(content, page_numbers) -> iterable of dicts`` in the shape of
 ``schema.PRIMITIVES``. Two come with the package: ``json`` (primitives as JSON, for tests and
-for decoders that ran elsewhere) and ``pdf`` (a reader of simple PDF text with the standard
-library: plain and Flate streams, WinAnsi strings, text positions; no OCR, no tables).
+for decoders that ran elsewhere) and ``pdf`` (``sources.pdf``: text, glyphs, ruled tables and
+embedded images of simple PDFs). Backends of recognised pages come from ``sources.ocr``.
 Others are registered by name, and are imported in the Python workers, once per worker.
 """
 
 from __future__ import annotations
 
 import json
-import re
-import zlib
 from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..schema import PRIMITIVES
+from . import pdf
 
 Backend = Callable[[bytes, list[int] | None], Iterable[dict]]
 REGISTRY: dict[str, Backend] = {}
@@ -34,79 +33,13 @@ def json_pages(content: bytes, page_numbers: list[int] | None = None) -> Iterabl
         yield {"page_number": i + 1, **pages[i]}
 
 
-_OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", re.S)
-_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
-_OPS = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s/<>\[\]()]+|[-+]?\d*\.?\d+|[A-Za-z'\"*]+")
-
-
-def _string(raw: bytes) -> str:
-    if raw[:1] == b"<":
-        digits = re.sub(rb"\s", b"", raw[1:-1])
-        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()).decode("cp1252", "replace")
-    body = re.sub(rb"\\([0-7]{1,3})", lambda m: bytes([int(m[1], 8) & 255]), raw[1:-1])
-    body = re.sub(rb"\\([nrtbf()\\])", lambda m: {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}.get(m[1], m[1]), body)
-    return body.decode("cp1252", "replace")
-
-
-def pdf_pages(content: bytes, page_numbers: list[int] | None = None) -> Iterable[dict]:
-    """Text spans of simple PDFs, one block per text object, coordinates from the top left."""
-    objects = {int(n): body for n, _, body in _OBJECT.findall(content)}
-    leaves = [body for _, body in sorted(objects.items()) if re.search(rb"/Type\s*/Page\b(?!s)", body)]
-    wanted = range(len(leaves)) if page_numbers is None else [i for i in page_numbers if 0 <= i < len(leaves)]
-    for i in wanted:
-        body = leaves[i]
-        box = re.search(rb"/MediaBox\s*\[([^\]]*)\]", body) or re.search(rb"/MediaBox\s*\[([^\]]*)\]", content)
-        x0, y0, x1, y1 = map(float, box[1].split()) if box else (0.0, 0.0, 612.0, 792.0)
-        refs = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)
-        streams = []
-        for n in re.findall(rb"(\d+)\s+\d+\s+R", refs[1]) if refs else ():
-            own = objects.get(int(n), b"")
-            if m := _STREAM.search(own):
-                streams.append(zlib.decompress(m[1]) if b"FlateDecode" in own[: m.start()] else m[1])
-        spans = list(_spans(b"\n".join(streams), y1))
-        yield {"page_number": i + 1, "page_width": x1 - x0, "page_height": y1 - y0, "page_text": "\n".join(s["text"] for s in spans), "spans": spans, "glyphs": [], "tables": [], "images": [], "ocr": []}
-
-
-def _spans(ops: bytes, top: float) -> Iterable[dict]:
-    stack: list[bytes] = []
-    size, leading, x, y, lx, ly, block, line = 12.0, 0.0, 0.0, 0.0, 0.0, 0.0, -1, 0
-    for op in _OPS.findall(ops):
-        if op[:1] in b"(<[]/+-.0123456789":
-            stack.append(op)
-            continue
-        num = [float(v) for v in stack if re.fullmatch(rb"[-+]?\d*\.?\d+", v)]
-        if op == b"BT":
-            block, x, y, lx, ly = block + 1, 0.0, 0.0, 0.0, 0.0
-        elif op == b"Tf" and num:
-            size = num[-1]
-        elif op == b"TL" and num:
-            leading = num[-1]
-        elif op in (b"Td", b"TD") and len(num) >= 2:
-            lx, ly = lx + num[-2], ly + num[-1]
-            x, y = lx, ly
-            leading = -num[-1] if op == b"TD" else leading
-        elif op == b"Tm" and len(num) >= 6:
-            x, y = lx, ly = num[-2], num[-1]
-        elif op == b"T*" or op in (b"'", b'"'):
-            ly -= leading
-            x, y = lx, ly
-        if op in (b"Tj", b"TJ", b"'", b'"'):
-            text = "".join(_string(v) for v in stack if v[:1] in b"(<")
-            width = 0.5 * size * len(text)
-            box = {"x0": x, "y0": top - y - size, "x1": x + width, "y1": top - y}
-            yield {"block": max(block, 0), "type": 0, "line": line, "span": 0, "text": text, "bbox": box, "line_bbox": box}
-            x += width
-            line += 1
-        stack = []
-
-
 def page_counts(files: DataFrame, backend: str | Backend = "json", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Pages of each file; 0 where it cannot be read."""
     return decode(files, backend, keys=keys, all_or_nothing=True).groupBy(*keys).agg(F.count_if(F.col("status") == "ok").alias("n_pages"))
 
 
 register("json", json_pages)
-register("pdf", pdf_pages)
+register("pdf", pdf.pdf_pages)
 
 
 def decode(files: DataFrame, backend: str | Backend = "json", page_numbers: list[int] | None = None, keys: tuple[str, ...] = ("doc_id",), all_or_nothing: bool = False) -> DataFrame:

@@ -14,7 +14,8 @@ BINARY = "path string, modificationTime timestamp, length long, content binary"
 def uploads(spark: SparkSession, path: str, max_bytes: int = routing.MAX_BYTES, glob: str | None = None) -> DataFrame:
     """Files with content, content type by suffix and safe name; of a file beyond the limit the content is null.
 
-    Guards on ``length`` reject such a file, as they do in a stream.
+    Guards on ``length`` reject such a file, as they do in a stream. Spark's reader passes over
+    empty files; the guard for these holds for uploads that come as rows.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
@@ -54,8 +55,17 @@ def write_responses(responses: DataFrame, path: str) -> None:
 
 
 def write_lines(lines: DataFrame, path: str, page_limit: int = 999) -> None:
-    """Provenance lines per page, pages up to the limit."""
-    routing.page_cap(lines, page_limit).write.json(path)
+    """One JSON array per document, ``{"page", "lines": [{"text", "confidence", "box", "source"}]}`` by page, up to the limit."""
+    own = F.struct("y0", "x0", "ord", F.struct("text", "confidence", "box", "source").alias("line"))
+    pages = routing.page_cap(lines, page_limit).groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(own)).alias("l"))
+    pages = pages.select("doc_id", F.struct(F.col("page_number").alias("page"), F.transform("l", lambda x: x["line"]).alias("lines")).alias("p"))
+    pages.groupBy("doc_id").agg(F.to_json(F.array_sort(F.collect_list("p"), lambda a, b: a["page"] - b["page"])).alias("value")).select("value").write.text(path)
+
+
+def write_pretty(responses: DataFrame, path: str) -> None:
+    """Responses as indented JSON, elapsed seconds 0, as a command line prints them; one blank line between documents."""
+    zero = F.struct("filename", "method_used", F.lit(0.0).alias("processing_time_sec"), "pages")
+    responses.select(F.to_json(zero, {"ignoreNullFields": "false", "pretty": "true"}).alias("value")).write.option("lineSep", "\n\n").text(path)
 
 
 def write_text(pages: DataFrame, path: str, text: str = "text") -> None:

@@ -12,11 +12,11 @@ from ..operators import routing
 from ..sources.files import BINARY
 
 
-def uploads(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
+def uploads(spark: SparkSession, path: str, max_files: int = 1000, max_bytes: int = routing.MAX_BYTES) -> DataFrame:
     """New files in a directory, with the batch source's columns and guards."""
     found = spark.readStream.format("binaryFile").schema(BINARY).option("maxFilesPerTrigger", max_files).load(path)
     name = F.regexp_extract("path", "([^/]*)$", 1)
-    return routing.guards(found.withColumns({"filename": X.safe_name(name), "content_type": X.guessed_type(name)}))
+    return routing.guards(found.withColumns({"filename": X.safe_name(name), "content_type": X.guessed_type(name)}), max_bytes=max_bytes)
 
 
 def distinct_uploads(files: DataFrame, within: str = "1 hour") -> DataFrame:
