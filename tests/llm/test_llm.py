@@ -209,8 +209,12 @@ def test_judge_spills(tmp_path, monkeypatch):
 def test_fm_index():
     rng = np.random.default_rng(1)
     t = np.concatenate([rng.integers(2, 9, 300), [1], rng.integers(2, 9, 200), [0]])
-    index = fmindex.FMIndex(t, 2)
+    inner = np.concatenate([np.arange(301), np.arange(201)])
+    index = fmindex.FMIndex(t, 2, inner % 4 == 0)
     word = np.maximum(t - 1, 0)
+    sa = np.array(sorted(range(len(t)), key=lambda i: t[i:].tolist()))
+    some = rng.integers(2, len(t), 60)  # the first two rows are separators
+    assert index.locate(some).tolist() == sa[some].tolist()
     for _ in range(30):
         k = rng.integers(0, 295)
         p = word[k : k + 3]
@@ -221,6 +225,32 @@ def test_fm_index():
         assert hi[0] - lo[0] == want
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_matching_statistics(seed):
+    """At each place the longest match that occurs twice, and the interval of all suffixes that begin with it."""
+    rng = np.random.default_rng(seed)
+    docs = [rng.integers(1, 4 + 3 * seed, n).tolist() for n in (1, 40, 25, 60, 3)]
+    docs.append(docs[1][5:30])
+    m = len(docs)
+    t = np.array([x for k, d in enumerate(docs) for x in (*(w + m - 1 for w in d), m - 1 - k)])
+    sizes = np.array([len(d) for d in docs])
+    begin = np.cumsum(sizes + 1) - sizes - 1
+    inner = np.arange(len(t)) - np.repeat(begin, sizes + 1)
+    index = fmindex.FMIndex(t, m, inner % 4 == 0)
+    suffixes = sorted(t[i:].tolist() for i in range(len(t)))
+    own = {tuple(x): k for k, x in enumerate(suffixes)}
+    want = {}
+    for k, d in enumerate(docs):
+        for i in range(len(d)):
+            s = t[begin[k] + i :].tolist()
+            r = own[tuple(s)]
+            length = max(next((j for j, (a, b) in enumerate(zip(s, suffixes[n], strict=False)) if a != b), 0) for n in (r - 1, r + 1) if 0 <= n < len(suffixes))
+            same = [n for n, x in enumerate(suffixes) if x[:length] == s[:length]]
+            want[k, i] = (length, same[0], same[-1] + 1)
+    got = {(k, i): x for k, i, *x in zip(*(a.tolist() for a in index.matching(np.maximum(t - m + 1, 0), begin, sizes, 2)), strict=True)}
+    assert got == {k: list(x) for k, x in want.items() if x[0] >= 2}
+
+
 # 2: archives
 
 
