@@ -761,6 +761,56 @@ def test_battery_finds_glued_values():
     assert secrets.candidates(padded.encode())[-1][1] == 42 and secrets.candidates(f"A=={'b' * 20}=".encode()) == [(3, 24)]
 
 
+def _plain_random(raw):
+    """The battery's spans by its definitions, one candidate at a time."""
+    base = [(m.start(), m.end()) for rx, least in ((r"[0-9a-f]+", 24), (r"AKIA[A-Z0-9]+", 20)) for m in re.finditer(rx, raw) if len(m[0]) >= least]
+    base += [m.span() for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", raw, re.A) if len(m[2]) >= 6]
+    found = set()
+    for run in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", raw):
+        for part in re.finditer(r"[^=]+", run[0]):
+            for _, letters, _ in secrets.ENCODINGS:
+                for t in re.finditer("[" + re.escape(letters.decode()) + "]{20,}", part[0]):
+                    x, y = run.start() + part.start() + t.start(), run.start() + part.start() + t.end()
+                    if not run[0][part.end() :].strip("=") and t.end() == len(part[0]):
+                        y = run.end()
+                    if not any(a <= x and y <= b for a, b in base):
+                        found.add((x, y))
+    scored = sorted((secrets.p_value(raw[x:y].encode()) * sum(v - u for u, v in found) / ((y - x) * len(found)), x, y) for x, y in found)
+    last = max((i for i, (q, _, _) in enumerate(scored, 1) if q <= secrets.FDR * i / len(scored)), default=0)
+    limit = scored[last - 1][0] if last else -1
+    joined = []
+    for x, y in sorted((x, y) for q, x, y in scored if q <= limit):
+        if joined and x < joined[-1][1]:
+            joined[-1][1] = max(y, joined[-1][1])
+        else:
+            joined.append([x, y])
+    return [tuple(s) for s in joined]
+
+
+def test_random_spans_of_planted_tokens():
+    """Planted tokens of several encodings are found in documents, prose and identifiers are not, as by the definitions."""
+    import base64
+
+    rng = random.Random(12)
+    own = [t for _, t in documents()[:60] if t]
+    texts, planted = [], []
+    for k, t in enumerate(own):
+        raw = rng.randbytes(36)
+        kinds = base64.b64encode(raw).decode(), base64.urlsafe_b64encode(raw).decode(), "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=44))
+        token = kinds[k % 3]
+        at = len(t) // 2
+        planted.append((at + 5, at + 5 + len(token)))
+        texts.append(f"{t[:at]} KEY={token}\n /usr/local/share/documentation/reference some_long_function_name_here {t[at:]}")
+    found = [[(x, y) for x, y, kind, _, _ in spans if kind == 3] for spans in secrets.scan_column(pa.array(texts))]
+    hit = sum(any(x <= a and b <= y for x, y in spans) for spans, (a, b) in zip(found, planted, strict=True))
+    assert hit >= 0.9 * len(planted)
+    assert sum(not any(x < b and a < y for a, b in [place]) for spans, place in zip(found, planted, strict=True) for x, y in spans) <= 2
+    plain = [t for t in texts if t.isascii()]
+    assert len(plain) > 10
+    assert [[(x, y) for x, y, kind, _, _ in spans if kind == 3] for spans in secrets.scan_column(pa.array(plain))] == [_plain_random(t) for t in plain]
+    assert not any(kind == 3 for spans in secrets.scan_column(pa.array(own)) for _, _, kind, _, _ in spans)
+
+
 def test_secrets_odd(spark, odd, empty):
     assert secrets.scan(odd).where("size(spans) > 0").count() == 0
     df = spark.createDataFrame([(1, "é token = abcdefgh ok", 21, "k")], "doc_id long, text string, n_chars long, kind string")
@@ -797,6 +847,19 @@ def test_pipeline(spark):
     check_packed(rows(corpus_pipeline.STAGES[-1][1](spark, docs, SF)), [*seen[4].items()])
 
 
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    """Every stage, and the pipeline as a whole, on tables without rows."""
+    import corpus_pipeline
+
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert rows(stage(spark, docs, str(tmp_path))) == []
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert rows(out) == [] and {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)
+
+
 def test_windows_of_anchors():
     h = np.random.default_rng(0).integers(0, 9, 200).astype(np.uint64)
     for w in (1, 2, 7, 31):
