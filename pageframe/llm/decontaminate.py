@@ -10,8 +10,8 @@ enough for a window are streamed at all; the others are skipped by a hash of eac
 (no false negatives; the words of a run are compared by their bytes).
 
 The items are a test set and far smaller than the corpus. Their size is checked
-(``max_item_words``); beyond it the items are taken in shards of that size, one automaton
-each, and the results are united.
+(``max_item_words``); beyond it the items are taken in shards of that size, one automaton and one pass over the
+documents each, and the results are united. One automaton at a time is made and broadcast.
 
 Defined results: null and empty texts have no words and no hits; an item without words is
 ignored; an item of fewer words than ``window`` is one window; repeated items all count;
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from . import _text
 
 WINDOW = 10
-MAX_ITEM_WORDS = 2_000_000
+MAX_ITEM_WORDS = 500_000
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _LOWER = np.frombuffer(_TABLE, np.uint8)
@@ -160,104 +160,167 @@ _FOUND = T.StructType([
 ])
 
 
-def scan(column: pa.Array, automata: list[Automaton]) -> Iterator[tuple[int, int, int, set, list]]:
-    """For each text: words, words hit, longest match, items, hit byte spans (start, end, words)."""
-    data, offs = _text.buffer(column)
-    rows = len(offs) - 1
-    data = _LOWER[data]
-    s, e, row = _text.spans(data, offs, _WORD_LOWERED)
-    first = _text.starts_of(row, rows)
+class Words:
+    """The normalised words of a column of texts: byte places, rows and hashes."""
+
+    def __init__(self, column: pa.Array):
+        data, self.offs = _text.buffer(column)
+        self.rows = len(self.offs) - 1
+        self.data = _LOWER[data]
+        self.s, self.e, self.row = _text.spans(self.data, self.offs, _WORD_LOWERED)
+        self.first = _text.starts_of(self.row, self.rows)
+        self.h = _text.hashes(self.data, self.s, self.e)
+
+
+#: Of a text: longest match, items, runs of hit words.
+State = tuple[int, list, list]
+
+
+def advance(w: Words, a: Automaton, state: list[State | None]) -> None:
+    """Add to each text's state what one automaton finds."""
+    if not len(a.hashes) or not len(w.s):
+        return
     hits: dict[int, list] = {}
-    h = _text.hashes(data, s, e) if automata else None
+    inside = a.known(w.h)
+    # runs of item words within one row
+    new_row = np.flatnonzero(np.diff(w.row)) + 1
+    lo, hi = _text.runs(inside)
+    for x, y in zip(lo[hi - lo >= a.least].tolist(), hi[hi - lo >= a.least].tolist(), strict=True):
+        cuts = new_row[np.searchsorted(new_row, x, "right") : np.searchsorted(new_row, y, "left")].tolist()
+        for p, q in zip([x, *cuts], [*cuts, y], strict=True):
+            if q - p >= a.least:
+                seq = [w.data[w.s[k] : w.e[k]].tobytes() for k in range(p, q)]
+                r = int(w.row[p])
+                for u, v, size, items in a.stream(seq):
+                    hits.setdefault(r, []).append((p + u - int(w.first[r]), p + v - int(w.first[r]), size, items))
+    for r, found in hits.items():
+        longest, items, runs = state[r] or (0, [], [])
+        mask = np.zeros(int(w.first[r + 1] - w.first[r]), bool)
+        for u, v in [*runs, *((u, v) for u, v, _, _ in found)]:
+            mask[u:v] = True
+        names = set(items).union(*(n for *_, n in found))
+        starts, ends = _text.runs(mask)
+        state[r] = max(longest, *(size for _, _, size, _ in found)), sorted(names, key=lambda x: (x is None, x or "")), list(zip(starts.tolist(), ends.tolist(), strict=True))
+
+
+def told(w: Words, state: list[State | None]) -> Iterator[tuple[int, int, int, list, list]]:
+    """For each text: words, words hit, longest match, items, hit byte spans (start, end, words)."""
+    for r in range(w.rows):
+        first, n = int(w.first[r]), int(w.first[r + 1] - w.first[r])
+        longest, items, runs = state[r] or (0, [], [])
+        spans = [(int(w.s[first + x] - w.offs[r]), int(w.e[first + y - 1] - w.offs[r]), y - x) for x, y in runs]
+        yield n, sum(y - x for x, y in runs), longest, items, spans
+
+
+def scan(column: pa.Array, automata: Iterable[Automaton]) -> Iterator[tuple[int, int, int, list, list]]:
+    """``told`` of a column after all automata."""
+    w = Words(column)
+    state: list[State | None] = [None] * w.rows
     for a in automata:
-        if not len(a.hashes) or not len(s):
-            continue
-        inside = a.known(h)
-        # runs of item words within one row
-        new_row = np.flatnonzero(np.diff(row)) + 1
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], inside.astype(np.int8), [0]))))
-        lo, hi = edge[0::2], edge[1::2]
-        for x, y in zip(lo[hi - lo >= a.least].tolist(), hi[hi - lo >= a.least].tolist(), strict=True):
-            cuts = new_row[np.searchsorted(new_row, x, "right") : np.searchsorted(new_row, y, "left")].tolist()
-            for p, q in zip([x, *cuts], [*cuts, y], strict=True):
-                if q - p >= a.least:
-                    seq = [data[s[k] : e[k]].tobytes() for k in range(p, q)]
-                    for u, v, size, items in a.stream(seq):
-                        hits.setdefault(int(row[p]), []).append((p + u, p + v, size, items))
-    for r in range(rows):
-        n = int(first[r + 1] - first[r])
-        found = hits.get(r)
-        if not found:
-            yield n, 0, 0, set(), []
-            continue
-        mask = np.zeros(n, bool)
-        items: set = set()
-        for u, v, _, names in found:
-            mask[u - first[r] : v - first[r]] = True
-            items.update(names)
-        a0, b0 = _text.runs(mask)
-        spans = [(int(s[first[r] + x] - offs[r]), int(e[first[r] + y - 1] - offs[r]), int(y - x)) for x, y in zip(a0, b0, strict=True)]
-        yield n, int(mask.sum()), max(x[2] for x in found), items, spans
+        advance(w, a, state)
+    yield from told(w, state)
 
 
 _WORD_LOWERED = np.arange(256) != 32
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, item: str = "item_id", text: str = "text", max_item_words: int = MAX_ITEM_WORDS) -> list[Automaton]:
-    """The items' automata, each of at most ``max_item_words`` words or of one item."""
-    out: list[Automaton] = []
+def automata(benchmark: DataFrame, window: int = WINDOW, item: str = "item_id", text: str = "text", max_item_words: int = MAX_ITEM_WORDS) -> Iterator[Automaton]:
+    """The items' automata, each of at most ``max_item_words`` words or of one item, made one at a time."""
     shard: list[tuple[str, list[bytes]]] = []
     size = 0
     for x in benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).orderBy("item").toLocalIterator():
         ws = words(x.text)
         if shard and size + len(ws) > max_item_words:
-            out.append(Automaton(shard, window))
+            yield Automaton(shard, window)
             shard, size = [], 0
         shard.append((x.item, ws))
         size += len(ws)
     if size:
-        out.append(Automaton(shard, window))
-    return out
+        yield Automaton(shard, window)
+
+
+_STATE = T.StructType([T.StructField("longest", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("runs", T.ArrayType(T.ArrayType(T.LongType())))])
+_ARROW_STATE = pa.struct([("longest", pa.int64()), ("items", pa.list_(pa.string())), ("runs", pa.list_(pa.list_(pa.int64())))])
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, at: int, window: int, text: str, max_item_words: int) -> tuple[DataFrame, str, object]:
+    """``docs`` after a pass for each automaton but the last, the column of the states, and the broadcast of the last.
+
+    One automaton is broadcast at a time, so what a worker holds is bounded by ``max_item_words``, however many items
+    there are; between two passes the states are stored. A test set of one automaton needs one pass.
+    """
+    name = "found"
+    while name in docs.columns:
+        name += "_"
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, _STATE)])
+    shards = automata(benchmark, window, text=text, max_item_words=max_item_words)
+    last, rows = next(shards, None), docs.withColumn(name, F.lit(None).cast(_STATE))
+    for following in shards:
+        shared = docs.sparkSession.sparkContext.broadcast(last)
+
+        def run(batches, shared=shared):
+            for b in _text.pieces(batches, at):
+                w = Words(b.column(at))
+                state = _states(b.column(b.num_columns - 1))
+                advance(w, shared.value, state)
+                cells = [None if x is None else {"longest": x[0], "items": x[1], "runs": [list(r) for r in x[2]]} for x in state]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(cells, _ARROW_STATE)], names=schema.names)
+
+        before, rows = rows, _text.stored(rows.mapInArrow(run, schema), "pass")
+        _text.discard(before)
+        shared.unpersist()
+        last = following
+    return rows, name, docs.sparkSession.sparkContext.broadcast(last)
+
+
+def _states(column: pa.Array) -> list[State | None]:
+    return [None if x is None else (x["longest"], x["items"], [tuple(r) for r in x["runs"]]) for x in column.to_pylist()]
+
+
+def _final(column: pa.Array, states: pa.Array, last: Automaton | None) -> Iterator[tuple[int, int, int, list, list]]:
+    w, state = Words(column), _states(states)
+    if last is not None:
+        advance(w, last, state)
+    return told(w, state)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", max_item_words: int = MAX_ITEM_WORDS) -> DataFrame:
     """Per document row: id, words, words hit, longest match, items and hit byte spans."""
-    shared = docs.sparkSession.sparkContext.broadcast(automata(benchmark, window, text=text, max_item_words=max_item_words))
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows, _, shared = _passes(source, benchmark, 1, window, text, max_item_words)
     schema = T.StructType([source.schema["doc_id"], *_FOUND.fields])
 
     def run(batches):
-        own = shared.value
         for b in _text.pieces(batches, 1):
-            found = list(scan(b.column(1), own))
+            found = list(_final(b.column(1), b.column(2), shared.value))
             yield pa.RecordBatch.from_arrays([
                 b.column(0),
                 pa.array([x[0] for x in found], pa.int64()),
                 pa.array([x[1] for x in found], pa.int64()),
                 pa.array([x[2] for x in found], pa.int64()),
-                pa.array([sorted(x[3], key=lambda name: (name is None, name or "")) for x in found], pa.list_(pa.string())),
+                pa.array([x[3] for x in found], pa.list_(pa.string())),
                 pa.array([[{"start": u, "end": v, "words": w} for u, v, w in x[4]] for x in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())]))),
             ], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_span: int = WINDOW, max_coverage: float = 0.8, max_item_words: int = MAX_ITEM_WORDS) -> DataFrame:
     """``docs`` with benchmark spans cut from ``text``; all columns and clean texts are kept.
 
-    A hit span of ``max_span`` words or more is removed; where the hit words are more than
+    A hit span of ``max_span`` words or more is removed; shorter ones, which come from items of fewer words than
+    the window, stay, as such an item is often a common phrase. Where the hit words are more than
     ``max_coverage`` of a document, nothing of value is left and the document is dropped.
     ``n_chars``, where there is such a column, follows a changed text.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(automata(benchmark, window, max_item_words=max_item_words))
     at = docs.columns.index("text")
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    rows, _, shared = _passes(docs, benchmark, at, window, "text", max_item_words)
 
     def run(batches):
-        own = shared.value
         for b in _text.pieces(batches, at):
             keep, texts, sizes = [], b.column(at).to_pylist(), b.column(chars).to_pylist() if chars is not None else None
-            for i, (n, hit, _, _, spans) in enumerate(scan(b.column(at), own)):
+            for i, (n, hit, _, _, spans) in enumerate(_final(b.column(at), b.column(b.num_columns - 1), shared.value)):
                 keep.append(not (hit and hit > max_coverage * n))
                 if cut := [x for x in spans if x[2] >= max_span]:
                     raw, out, p = texts[i].encode(), [], 0
@@ -267,14 +330,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
                     texts[i] = b"".join([*out, raw[p:]]).decode()
                     if sizes is not None:
                         sizes[i] = len(texts[i])
-            arrays = list(b.columns)
+            arrays = list(b.columns[:-1])
             arrays[at] = pa.array(texts, arrays[at].type)
             if sizes is not None:
                 arrays[chars] = pa.array(sizes, arrays[chars].type)
-            yield pa.RecordBatch.from_arrays(arrays, names=b.schema.names).filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            yield pa.RecordBatch.from_arrays(arrays, names=b.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
 
+    return rows.mapInArrow(run, docs.schema)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

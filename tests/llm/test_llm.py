@@ -694,6 +694,7 @@ def test_decontamination_odd(spark, odd, empty):
     assert rows(decontaminate.matches(empty, bench)) == [] and decontaminate.matches(odd, bench.limit(0)).where("n_hit > 0").count() == 0
     sharded = {r.doc_id: (r.n_hit, r.items) for r in decontaminate.matches(odd, bench, max_item_words=1).collect()}
     assert sharded == {i: (r.n_hit, r.items) for i, r in got.items()}
+    assert sorted(map(str, rows(decontaminate.decontaminate(odd, bench, max_item_words=1)))) == sorted(map(str, rows(clean)))
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -841,7 +842,7 @@ def test_pipeline(spark):
     assert set(seen[1]) == {i for i, s in zip(seen[0], score) if s < toxicity.THRESHOLD}
     classes = dict(rows(minhash.classes(spark.createDataFrame([*seen[1].items()], "doc_id long, text string"))))
     assert set(seen[2]) == set(classes.values())
-    bench = decontaminate.automata(spark.read.parquet(f"{SF}/benchmark.parquet"))
+    bench = list(decontaminate.automata(spark.read.parquet(f"{SF}/benchmark.parquet")))
     assert all(not hit for _, hit, _, _, _ in decontaminate.scan(pa.array([*seen[3].values()]), bench))
     assert set(seen[4]) == set(seen[3]) and not any(brute_secrets(t) for t in seen[4].values())
     check_packed(rows(corpus_pipeline.STAGES[-1][1](spark, docs, SF)), [*seen[4].items()])
