@@ -6,6 +6,8 @@ that splitting and hashing words costs a few numpy passes instead of a Python lo
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import tempfile
 import uuid
 import weakref
@@ -16,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 PIECE_BYTES = 2 << 20
+_LIBC = ctypes.CDLL(None) if ctypes.util.find_library("c") and hasattr(ctypes.CDLL(None), "malloc_trim") else None
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -64,6 +67,13 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on for tasks of other kinds."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def pieces(batches: Iterable[pa.RecordBatch], text: int, limit: int = PIECE_BYTES, most: int | None = None) -> Iterator[pa.RecordBatch]:
     """Slices of the batches of at most ``limit`` text bytes (or one row) and ``most`` rows each."""
     for batch in batches:
@@ -76,6 +86,7 @@ def pieces(batches: Iterable[pa.RecordBatch], text: int, limit: int = PIECE_BYTE
             j = min(max(j, i + 1), batch.num_rows, i + most if most else batch.num_rows)
             yield batch.slice(i, j - i)
             i = j
+    release()
 
 
 def buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -38,6 +38,8 @@ CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 CACHE_WORDS = 1_000_000
+#: Text bytes that are tokenised together; some hundred bytes of arrays are held for each.
+BATCH_BYTES = 512 << 10
 # The program: size classes of the weights, configurations per pricing round, rounds, fewest lengths priced
 CLASSES, LANES, ROUNDS, LEAST = 64, 16, 24, 96
 STEP, NOISE, LAG = 0.1, 0.0005, 0.02
@@ -238,7 +240,7 @@ def pieces_of(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
     def run(batches):
         enc = encoder(path or tokenizer_path())
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for b in _text.pieces(batches, 1):
+        for b in _text.pieces(batches, 1, limit=BATCH_BYTES):
             ids, offs = enc.encode(b.column(1))
             total = np.diff(offs) + 1  # with the end id
             count = -(-total // capacity)
