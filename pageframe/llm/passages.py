@@ -62,38 +62,44 @@ def _open(batch: pa.RecordBatch, i: int) -> tuple[int, np.ndarray, np.ndarray, n
 
 
 def argmin_windows(h: np.ndarray, w: int) -> np.ndarray:
-    """Index of the leftmost least value of each w consecutive ones."""
-    idx, size = np.arange(len(h)), 1
+    """Index of the leftmost least value of each w consecutive ones, which are below 2^32."""
+    key = (h << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
+    size = 1
     while size * 2 <= w:
-        a, b = idx[:-size], idx[size:]
-        idx = np.where(h[a] <= h[b], a, b)
+        key = np.minimum(key[:-size], key[size:])
         size *= 2
     if size < w:
-        a, b = idx[: len(idx) - (w - size)], idx[w - size :]
-        idx = np.where(h[a] <= h[b], a, b)
-    return idx
+        key = np.minimum(key[: len(key) - (w - size)], key[w - size :])
+    return (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def anchors(unit: np.ndarray, row: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each anchor and the first and last start of the windows it stands for."""
-    n = len(unit)
-    empty = np.zeros(0, np.int64)
-    if n < window:
-        return empty.astype(np.uint64), empty, empty
-    h, size, have = unit, 1, {1: unit}
+def gram_hashes(unit: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of each gram consecutive units: a polynomial of the units, by doubling, then mixed."""
+    factor, h, size, have = 0x9E3779B97F4A7C15, unit, 1, {1: unit}
+    power = lambda k: np.uint64(pow(factor, k, 1 << 64))
     with np.errstate(over="ignore"):
-        join = lambda a, b: _text.mix(a * np.uint64(0x9E3779B97F4A7C15) + b, 21)
         while size * 2 <= gram:
-            h = join(h[:-size], h[size:])
+            h = h[:-size] * power(size) + h[size:]
             size *= 2
             have[size] = h
         rest, at = gram - size, size
         while rest:
             part = 1 << (rest.bit_length() - 1)
-            m = n - at - part + 1
-            h = join(h[:m], have[part][at : at + m])
+            m = len(unit) - at - part + 1
+            h = h[:m] * power(part) + have[part][at : at + m]
             at, rest = at + part, rest - part
-    a = argmin_windows(h, window - gram + 1)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(32))
+
+
+def anchors(unit: np.ndarray, row: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each anchor and the first and last start of the windows it stands for."""
+    n = len(unit)
+    empty = np.zeros(0, np.int64)
+    if n < window:
+        return empty.astype(np.uint64), empty, empty
+    h = gram_hashes(unit, gram)
+    a = argmin_windows(h >> np.uint64(32), window - gram + 1)
     s = np.flatnonzero(row[: n - window + 1] == row[window - 1 :])
     if not len(s):
         return empty.astype(np.uint64), empty, empty
@@ -247,6 +253,7 @@ def repeats(docs: DataFrame, units: Callable, judge: Callable, finish: Callable,
         for p, blob in judge(table.column("piece").to_pylist(), [tuple(x) for x in zip(*(table.column(c).to_pylist() for c in ("texts", "sizes", "refs")), strict=True)], window):
             piece.append(p)
             out.append(blob)
+        _text.release()
         return pa.table({"piece": pa.array(piece, pa.int64()), "windows": pa.array(out, pa.binary())})
 
     judged = sent.groupBy("shard").applyInArrow(decide, "piece long, windows binary")
