@@ -58,8 +58,9 @@ def rows(items: DataFrame, keys: list[str], threshold: Column | float = Y_THRESH
 def line(segments: Column, char_width: Column | float = CHAR_WIDTH) -> Column:
     """A row's (x, ord, text) painted in columns; a segment starts at least one column after the last one."""
     width = char_width if isinstance(char_width, Column) else F.lit(float(char_width))
-    col = lambda done, x: F.greatest(X.js_round(x / width).cast("int"), F.length(done) + 1)
-    painted = F.aggregate(segments, F.lit(""), lambda done, s: F.concat(F.rpad(done, col(done, s["x"]), " "), s["text"]))
+    # columns are UTF-16 units, as the original counts them
+    gap = lambda done, x: F.greatest(X.js_round(x / width).cast("int") - X.utf16_length(done), F.lit(1))
+    painted = F.aggregate(segments, F.lit(""), lambda done, s: F.concat(done, F.repeat(F.lit(" "), gap(done, s["x"])), s["text"]))
     return X.right_trim(painted)
 
 
@@ -98,7 +99,8 @@ def exact_text(items: DataFrame, keys: list[str], char_width: float = CHAR_WIDTH
         for row in placed:
             done = ""
             for x, text in sorted(row, key=lambda s: s[0]):
-                done = done.ljust(max(int((x / char_width + 0.5) // 1), len(done) + 1)) + text
+                units = len(done.encode("utf-16-le", "surrogatepass")) // 2
+                done += " " * max(int((x / char_width + 0.5) // 1) - units, 1) + text
             out.append(done.rstrip())
         return pd.DataFrame([[*page.iloc[0][keys], "\n".join(out)]], columns=[*keys, "grid"])
 

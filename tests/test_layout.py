@@ -35,6 +35,13 @@ def test_grid_golden(spark):
     assert grid.document_text(pages.withColumn("grid", F.lit(""))).first().text == grid.NOTHING
 
 
+def test_grid_counts_utf16_units(spark):
+    df = spark.createDataFrame([(1, 1, i, 0.0, x, t) for i, (x, t) in enumerate([(0.0, "\U0001f600b"), (80.0, "c"), (81.0, "d")])], "doc_id long, page_number int, ord long, y double, x double, text string")
+    want = " \U0001f600b      c d"  # one column, then two units and one, then up to column ten
+    assert grid.page_text(df, ["doc_id", "page_number"]).first().grid == want
+    assert grid.exact_text(df, ["doc_id", "page_number"]).first().grid == want
+
+
 def test_row_anchor_does_not_move(spark):
     df = spark.createDataFrame([(1, i, float(y), 0.0, str(y)) for i, y in enumerate((10, 12, 14, 15, 21))], "doc_id long, ord long, y double, x double, text string")
     assert sorted((int(r.text), r.row) for r in grid.rows(df, ["doc_id"], 4.0).collect()) == [(10, 0), (12, 0), (14, 0), (15, 1), (21, 2)]
