@@ -349,11 +349,16 @@ def _judged(docs: DataFrame, threshold: float, n_bands: int, rows: int, doc_id:
     sigs = _text.stored(nodes.select("node", "weight", "sig").join(degree.select("node"), "node", "left_semi"), "sigs")
     # texts of all that take part in a bucket with a possible partner, read once
     found = docs.select(F.col(doc_id).alias("node"), F.col(text).cast("string").alias("text")).join(degree.select("node").hint("merge"), "node", "left_semi")
+    named = sign.where("key is not null and doc_id is not null")
+    again = named.groupBy("doc_id").agg(F.min("key").alias("key"), F.max("key").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = _text.stored(again, "again")
+    if again.limit(1).count():  # rows that repeat an id and a text are one text, however many they are
+        ids = again.select(F.col("doc_id").alias("node"))
+        found = found.join(ids, "node", "left_anti").unionAll(found.join(ids, "node", "left_semi").dropDuplicates(["node", "text"]))
     texts = _text.stored(found, "texts")
-    used = [company, placed, sigs, texts]
+    used = [company, placed, sigs, texts, again]
     # rows that share an id are one document: the groups of its texts are linked
-    named = sign.where("key is not null and doc_id is not null")
-    several = named.groupBy("doc_id").agg(F.min("key").alias("key"), F.max("key").alias("last")).where("key <> last").select("doc_id")
+    several = again.where("key <> last").select("doc_id")
     same = named.join(several, "doc_id", "left_semi").join(groups, "key").select("doc_id", "node").distinct()
     links = _text.stored(same.select(F.col("doc_id").alias("a"), F.col("node").alias("b")), "same")
     used.append(links)

@@ -513,6 +513,8 @@ def test_near_duplicates_of_any_id(spark):
     assert {i: c for i, c in got if i} == {"a": "a", "b": "a", "c": "a", "d": "a", "e": "e"}  # c has two texts and links both
     assert [c for i, c in got if i is None] == ["a"]
     assert sorted(i for i, _ in rows(minhash.deduplicate(df)) if i) == ["a", "e"]
+    many = spark.createDataFrame([("a", base + " x")] * 3000 + [("b", base)] * 3000 + [("e", "alone")], "doc_id string, text string")
+    assert collections.Counter(rows(minhash.classes(many))) == {("a", "a"): 3000, ("b", "a"): 3000, ("e", "e"): 1}
 
 
 def test_deduplicate_repeated_rows(spark, odd, empty):
