@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geometry as G, text as X
 from ..operators import grid, image, lines as L, normalize, routing, spatial as S
-from ..sources import backends, files, fixtures as fx
+from ..sources import backends, files, fixtures as fx, scratch
 from ..streaming import drop
 from . import modes
 
@@ -430,7 +430,7 @@ def deskew_image(spark, d):
 
 
 def _decoded(spark, d) -> DataFrame:
-    """Primitives of all documents through the JSON backend: lines as spans, order lines' boxes, images and tables."""
+    """Primitives of all documents through the JSON backend, stored once: lines as spans, order lines' boxes, images and tables."""
     own = fx.lines(spark, d)
     spans = own.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(F.col("ord").alias("block"), F.lit(0).alias("type"), F.lit(0).alias("line"), F.lit(0).alias("span"), "text", G.box("x0", "y0", "x1", "y1").alias("bbox"), G.box("x0", "y0", "x1", "y1").alias("line_bbox")))).alias("spans"), L.ordered_text(["ord"], sep="\n").alias("page_text"))
     tabs = _nested(spark, d).groupBy(*PAGE).agg(F.collect_list(F.struct("rows", "bbox", "cells_bbox")).alias("tables"))
@@ -440,7 +440,7 @@ def _decoded(spark, d) -> DataFrame:
     p = spans.join(tabs, PAGE, "left").join(pics, PAGE, "left").join(ocr, PAGE, "left").join(glyphs, PAGE, "left").withColumns({"page_width": F.lit(612.0), "page_height": F.lit(792.0)})
     pages = F.transform(F.array_sort(F.collect_list(F.struct("page_number", "page_width", "page_height", "page_text", "spans", "glyphs", "tables", "images", "ocr"))), lambda x: x.dropFields("page_number"))
     files = p.groupBy("doc_id").agg(F.to_json(F.struct(pages.alias("pages"))).cast("binary").alias("content"))
-    return backends.decode(files).where("status = 'ok'").drop("status", "error")
+    return scratch.stored(backends.decode(files).where("status = 'ok'").drop("status", "error"), "decoded")
 
 
 @query(f"""WITH {_PAGE_TEXT} SELECT doc_id, page_number, {_strip("string_agg(text, chr(10) ORDER BY ord)")} AS content, count(*) AS n_blocks FROM fx_lines WHERE {_strip('text')} <> '' GROUP BY doc_id, page_number

@@ -167,7 +167,8 @@ def process(pages: DataFrame, mode: str = "auto") -> DataFrame:
     The primitives are stored once, so that no page is decoded or recognised again for a second use.
     """
     mode = mode if mode in BY_NAME else "auto"
-    own = routed(scratch.stored(pages, "pages"), mode)
+    pages = scratch.stored(pages, "pages")
+    own = routed(pages, mode)
     results = BY_NAME[mode](own)
     if mode == "auto":
         results = results.join(routing.majority(results), "doc_id")
@@ -191,7 +192,7 @@ def process_uploads(files: DataFrame, mode: str = "auto", backend: str | backend
     pages = read.where("status = 'ok'").drop("status", "error")
     long = routed(pages, mode).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_pages)
     refused = failed.unionByName(long.select("doc_id", F.lit(422).alias("code"), F.lit("too many pages").alias("why")))
-    done = process(pages.join(refused, "doc_id", "left_anti"), mode).drop("filename")
+    done = process(scratch.stored(pages.join(refused, "doc_id", "left_anti"), "accepted"), mode).drop("filename")
     out = checked.drop("content", "content_type").join(refused, "doc_id", "left").join(done, "doc_id", "left")
     status = F.coalesce("code", "status")
     good = status == 200

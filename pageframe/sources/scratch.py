@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,8 +23,18 @@ def root(spark: SparkSession) -> str:
     return found
 
 
+_STORED: weakref.WeakSet[DataFrame] = weakref.WeakSet()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet and read it back: what made it runs once, and its lineage ends there."""
+    """Write ``df`` as Parquet and read it back: what made it runs once, and its lineage ends there.
+
+    A table that was stored already is returned as it is.
+    """
+    if df in _STORED:
+        return df
     path = f"{root(df.sparkSession).rstrip('/')}/pageframe-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _STORED.add(out)
+    return out
