@@ -154,9 +154,10 @@ class Frame:
     """Counts of buckets and shards for a corpus of that many bytes."""
 
     def __init__(self, total: int, window: int, width: int):
-        self.most = max(1, SHARD_BYTES // (window * width))  # contexts of an anchor, or windows, in one shard
+        room = SHARD_BYTES if width > 1 else SHARD_BYTES // 3  # an index of bytes has arrays of a place for each byte
+        self.most = max(1, room // (window * width))  # contexts of an anchor, or windows, in one shard
         self.bits = max(4, int(total // BUCKET_BYTES).bit_length())
-        self.shards = max(8, int(total // SHARD_BYTES))
+        self.shards = max(8, int(total // room))
         # an anchor stands for some 16 bytes; 12 bits more than their number keep chance hits rare
         narrow = total.bit_length() - 4 + 12 - self.bits <= 32
         self.dtype = "<u4" if narrow else "<u8"
