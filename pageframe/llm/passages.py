@@ -32,6 +32,7 @@ from . import _text
 
 BUCKET_BYTES = 8 << 20
 SHARD_BYTES = 3 << 20
+BLOCK = 1 << 16  # windows whose hashes are made at once, in the processor's cache
 NO_ID = np.iinfo(np.int64).max
 
 PACKED = "piece long, ids binary, offs binary, blob binary, bytes long"
@@ -96,19 +97,25 @@ def anchors(unit: np.ndarray, row: np.ndarray, window: int, gram: int) -> tuple[
     """Hash of each anchor and the first and last start of the windows it stands for."""
     n = len(unit)
     empty = np.zeros(0, np.int64)
-    if n < window:
-        return empty.astype(np.uint64), empty, empty
-    h = gram_hashes(unit, gram)
-    a = argmin_windows(h >> np.uint64(32), window - gram + 1)
-    s = np.flatnonzero(row[: n - window + 1] == row[window - 1 :])
-    if not len(s):
-        return empty.astype(np.uint64), empty, empty
-    p = a[s]
-    new = np.ones(len(s), bool)
-    new[1:] = (p[1:] != p[:-1]) | (s[1:] != s[:-1] + 1)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(s)) - 1
-    return h[p[first]], s[first], s[last]
+    found, starts, before = [empty.astype(np.uint64)], [empty], [empty]
+    lately = -1, -1  # the last window's anchor and start
+    for lo in range(0, n - window + 1, BLOCK):
+        some = unit[lo : lo + BLOCK + window - 1]
+        s = np.flatnonzero(row[lo : lo + len(some) - window + 1] == row[lo + window - 1 : lo + len(some)])
+        if not len(s):
+            continue
+        h = gram_hashes(some, gram)
+        p = argmin_windows(h >> np.uint64(32), window - gram + 1)[s]
+        new = np.ones(len(s), bool)
+        new[1:] = (p[1:] != p[:-1]) | (s[1:] != s[:-1] + 1)
+        new[0] = lately != (p[0] + lo, s[0] + lo - 1)
+        first = np.flatnonzero(new)
+        found.append(h[p[first]])
+        starts.append(s[first] + lo)
+        before.append(np.where(first > 0, s[first - 1] + lo, lately[1]))
+        lately = p[-1] + lo, s[-1] + lo
+    first = np.concatenate(starts)
+    return np.concatenate(found), first, np.append(np.concatenate(before)[1:], lately[1])[: len(first)]
 
 
 def window_hashes(unit: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:

@@ -28,7 +28,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import _text, passages
-from .fmindex import suffix_array
 
 WINDOW, GRAM = 50, 20
 MEMORY = 64 << 20
@@ -69,16 +68,16 @@ class Spill:
 
 def _push(queues: list, spill: Spill, source: np.ndarray, wanted: np.ndarray, cls: np.ndarray) -> None:
     """Append the predecessors of the wanted type to the queues of their buckets, in order."""
-    p = source[source > 0] - 1
-    p = p[wanted[p]]
+    p = source - 1
+    p = p[wanted[p] & (p >= 0)]
     if not len(p):
         return
     c = cls[p]
     order = np.argsort(c, kind="stable")
     p, c = p[order], c[order]
-    cuts = np.flatnonzero(np.diff(c)) + 1
-    for block, k in zip(np.split(p, cuts), c[np.concatenate(([0], cuts))].tolist(), strict=True):
-        queues[k].append(spill.keep(block))
+    cuts = (np.flatnonzero(c[1:] != c[:-1]) + 1).tolist()
+    for lo, hi in zip([0, *cuts], [*cuts, len(p)], strict=True):
+        queues[int(c[lo])].append(spill.keep(p[lo:hi]))
 
 
 def _induce(is_s: np.ndarray, cls: np.ndarray, buckets: int, lms: np.ndarray, ends: np.ndarray, spill: Spill) -> np.ndarray:
@@ -119,6 +118,28 @@ def _induce(is_s: np.ndarray, cls: np.ndarray, buckets: int, lms: np.ndarray, en
     return np.concatenate(out[::-1])
 
 
+def _ordered(names: np.ndarray) -> np.ndarray:
+    """Suffix array of dense names, whose suffixes differ, by prefix doubling of those still equal."""
+    n, k = len(names), 1
+    size = np.bincount(names)
+    rank = (np.cumsum(size) - size)[names]
+    live = np.flatnonzero(size[names] > 1)
+    while len(live):
+        then = live + k
+        key = rank[live] * (n + 1) + np.where(then < n, rank[np.minimum(then, n - 1)] + 1, 0)
+        order = np.argsort(key)
+        live, key = live[order], key[order]
+        old = key // (n + 1)
+        group, begin = (np.concatenate(([0], np.flatnonzero(x[1:] != x[:-1]) + 1)) for x in (old, key))
+        many = np.diff(np.append(begin, len(key)))
+        rank[live] = old + np.repeat(begin, many) - np.repeat(group, np.diff(np.append(group, len(key))))
+        live = live[np.repeat(many > 1, many)]
+        k *= 2
+    out = np.empty(n, np.int64)
+    out[rank] = np.arange(n)
+    return out
+
+
 def induced_sort(data: np.ndarray, at: np.ndarray, spill: Spill | None = None) -> np.ndarray:
     """Suffix array of bytes in which the places ``at`` are separators, the last place one of them.
 
@@ -126,46 +147,52 @@ def induced_sort(data: np.ndarray, at: np.ndarray, spill: Spill | None = None) -
     """
     spill = spill or Spill()
     n = len(data)
-    cls = data.astype(np.int16) + 1
+    place = np.int32 if n < 1 << 31 else np.int64
+    at = at.astype(place)
+    cls = data.astype(np.int16) + np.int16(1)
     cls[at] = 0
-    value = cls.astype(np.int64) + len(at)
-    value[at] = np.arange(len(at))[::-1]
-    differs = np.ones(n, bool)
-    differs[:-1] = value[:-1] != value[1:]
+    value = cls.astype(place) + place(len(at))
+    value[at] = np.arange(len(at), dtype=place)[::-1]
+    nxt = np.arange(n, dtype=place)
+    nxt[:-1][value[:-1] == value[1:]] = n - 1
+    nxt = np.minimum.accumulate(nxt[::-1])[::-1]
     smaller = np.ones(n, bool)
     smaller[:-1] = value[:-1] < value[1:]
-    nxt = np.where(differs, np.arange(n), n - 1)
-    nxt = np.minimum.accumulate(nxt[::-1])[::-1]
     is_s = smaller[nxt]
     start = np.zeros(n, bool)
     start[1:] = is_s[1:] & ~is_s[:-1]
-    lms = np.flatnonzero(start)
+    lms = np.flatnonzero(start).astype(place)
     if not len(lms):
-        lms = np.array([n - 1])
+        lms = np.array([n - 1], place)
         start[n - 1] = True
     ends = at[::-1]
     first = _induce(is_s, cls, 257, lms, ends, spill)
     sub = first[start[first]]
-    following = np.append(lms[1:], n - 1)
-    size = np.zeros(n, np.int64)
-    size[lms] = following - lms
+    nth = np.cumsum(start, dtype=place) - 1  # of a leftmost S suffix
+    order = nth[sub]
+    size = np.diff(lms, append=place(n - 1))[order]
     a, b = sub[:-1], sub[1:]
-    same = size[a] == size[b]
-    for j in range(int(size[sub].max()) + 1):
-        live = np.flatnonzero(same & (size[a] >= j)) if len(a) else a
+    same = size[:-1] == size[1:]
+    live = np.flatnonzero(same)
+    for j in range(int(size.max()) + 1):
+        live = live[size[live] >= j]
         if not len(live):
             break
-        same[live] = value[a[live] + j] == value[b[live] + j]
-    name = np.zeros(n, np.int64)
-    name[sub] = np.concatenate(([0], np.cumsum(~same)))
-    names = name[lms]
-    if names.max() == len(names) - 1:
-        ordered = sub
-    else:
-        ordered = lms[suffix_array(names)]
+        equal = value[a[live] + j] == value[b[live] + j]
+        same[live[~equal]] = False
+        live = live[equal]
+    names = np.empty(len(lms), np.int64)
+    names[order] = np.concatenate(([0], np.cumsum(~same)))
+    ordered = sub if names.max() == len(names) - 1 else lms[_ordered(names)]
     return _induce(is_s, cls, 257, ordered, ends, spill)
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray(len(data), "<u8", padded, strides=(1,)).copy()
+
+
 def judge(pieces: list[int], rows: list, window: int):
     found = passages.Contexts(rows, self_repeats=False)
     sizes = np.array(found.sizes, np.int64)
@@ -176,13 +203,14 @@ def judge(pieces: list[int], rows: list, window: int):
         sa = induced_sort(data, at, spill)
     finally:
         spill.close()
-    begin = at - sizes
     count = sizes - window + 1
     base = np.cumsum(count) - count
-    which = np.searchsorted(at, sa)
-    inner = sa - begin[which]
-    is_window = inner < count[which]
-    sa, which, inner = sa[is_window], which[is_window], inner[is_window]
+    # a place is a window's start, or one of the last window - 1 bytes or the separator
+    is_window = np.repeat(np.tile([True, False], len(sizes)), np.column_stack((count, sizes + 1 - count)).ravel())
+    sa = sa[is_window[sa]]
+    wide = window >= 8
+    steps = [*range(window - 8, 0, -8), 0] if wide else range(window)
+    part = _eights(data) if wide else data
     new = np.zeros(len(sa), bool)
     new[:1] = True
     for lo in range(1, len(sa), 1 << 16):
@@ -190,8 +218,8 @@ def judge(pieces: list[int], rows: list, window: int):
         a = a[: len(b)]
         differs = np.zeros(len(b), bool)
         live = np.arange(len(b))
-        for j in range(window - 1, -1, -1):
-            bad = data[a[live] + j] != data[b[live] + j]
+        for j in steps:
+            bad = part[a[live] + j] != part[b[live] + j]
             differs[live[bad]] = True
             live = live[~bad]
             if not len(live):
@@ -200,8 +228,10 @@ def judge(pieces: list[int], rows: list, window: int):
     starts = np.flatnonzero(new)
     least = np.empty(int(count.sum()), np.int64)
     if len(sa):
-        low = np.minimum.reduceat(found.doc[which], starts)
-        least[base[which] + inner] = np.repeat(low, np.diff(np.append(starts, len(sa))))
+        nth = np.cumsum(is_window, dtype=sa.dtype) - 1  # the windows in order of their places
+        nth = nth[sa]
+        low = np.minimum.reduceat(np.repeat(found.doc, count)[nth], starts)
+        least[nth] = np.repeat(low, np.diff(np.append(starts, len(sa))))
     yield from passages.answers(found, pieces, least, None, base, window)
 
 

@@ -867,3 +867,20 @@ def test_windows_of_anchors():
     h = np.random.default_rng(0).integers(0, 9, 200).astype(np.uint64)
     for w in (1, 2, 7, 31):
         assert passages.argmin_windows(h, w).tolist() == [min(range(i, i + w), key=lambda j: (h[j], j)) for i in range(200 - w + 1)]
+
+
+@pytest.mark.parametrize("block", (1, 7, 64))
+def test_anchors_in_blocks(block, monkeypatch):
+    """Anchors and their windows do not depend on the block in which hashes are made."""
+    rng = np.random.default_rng(block)
+    unit, row = rng.integers(0, 4, 300).astype(np.uint64), np.sort(rng.integers(0, 6, 300))
+    monkeypatch.setattr(passages, "BLOCK", 1 << 20)
+    want = [x.tolist() for x in passages.anchors(unit, row, 20, 8)]
+    monkeypatch.setattr(passages, "BLOCK", block)
+    assert [x.tolist() for x in passages.anchors(unit, row, 20, 8)] == want and len(want[0]) > 5
+
+
+def test_order_of_equal_names():
+    """Names that are equal are ordered by the names after them, over any length of repeats."""
+    for names in ([2, 1, 2, 1, 2, 1, 0], [1] * 70 + [0], [3, 3, 1, 3, 3, 2, 3, 3, 1, 0], [0]):
+        assert suffix._ordered(np.array(names)).tolist() == sorted(range(len(names)), key=lambda i: names[i:])
