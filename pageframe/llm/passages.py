@@ -21,6 +21,7 @@ shared by many documents costs at most one entry per piece and distinct context.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
 import numpy as np
@@ -284,16 +285,23 @@ def repeats(docs: DataFrame, units: Callable, judge: Callable, finish: Callable,
 
 
 _REF = {"context": "<u4", "nth": "<u4", "start": "<u4", "doc": "<i8"}
+_ROW = np.dtype(list(_REF.items()))
+#: A blob of refs begins with a zstd frame's first byte, or with this one where it holds plain rows; few refs do not compress.
+_PLAIN, FEW = b"\0", 32
+_PACK, _UNPACK = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
 
 def _squeezed(refs: dict[str, np.ndarray]) -> bytes:
     """Columns of differences, which compress well."""
-    return zstandard.compress(b"".join(np.diff(refs[k].astype(t), prepend=np.zeros(1, t)).tobytes() for k, t in _REF.items()), 3)
+    return _PACK.compress(b"".join(np.diff(refs[k].astype(t), prepend=np.zeros(1, t)).tobytes() for k, t in _REF.items()))
 
 
-def _spread(blob: bytes) -> dict[str, np.ndarray]:
-    raw = zstandard.decompress(blob)
-    n, at, out = len(raw) // 20, 0, {}
+def _spread(blob: bytes) -> np.ndarray:
+    if blob[:1] == _PLAIN:
+        return np.frombuffer(blob, _ROW, offset=1)
+    raw = _UNPACK.decompress(blob)
+    n, at = len(raw) // _ROW.itemsize, 0
+    out = np.empty(n, _ROW)
     for k, t in _REF.items():
         size = n * np.dtype(t).itemsize
         out[k] = np.cumsum(np.frombuffer(raw[at : at + size], t), dtype=t)
@@ -306,62 +314,83 @@ def _contexts(piece, ids, data, row, s, e, shard, first, last, window, first_uni
     at = np.argsort(shard, kind="stable")
     shard = shard[at]
     x, y = s[first[at]].tolist(), e[last[at] + window - 1].tolist()
-    doc = row[first[at]]
-    start = first[at] - first_unit[doc]
     size = (last[at] - first[at] + window).tolist()
+    refs = np.empty(len(at), _ROW)
+    refs["nth"] = row[first[at]]
+    refs["start"] = first[at] - first_unit[refs["nth"]]
+    refs["doc"] = ids[refs["nth"]]
     whole = data.tobytes()
     names, cut = np.unique(shard, return_index=True)
     cut = np.append(cut, len(shard)).tolist()
-    out = []
+    of, texts, sizes = [], [], []
     for lo, hi in zip(cut[:-1], cut[1:], strict=True):
         seen: dict[bytes, int] = {}
-        of = [seen.setdefault(whole[x[k] : y[k]], len(seen)) for k in range(lo, hi)]
-        sizes = np.zeros(len(seen), "<u4")
-        sizes[of] = size[lo:hi]
-        refs = {"context": np.array(of), "nth": doc[lo:hi], "start": start[lo:hi], "doc": ids[doc[lo:hi]]}
-        lengths = np.array([len(t) for t in seen], "<u4")
-        out.append((zstandard.compress(b"".join(seen), 3), np.stack([lengths, sizes]).astype("<u4").tobytes(), _squeezed(refs)))
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.full(len(names), piece), pa.int64()), *(pa.array(c, pa.binary()) for c in zip(*out, strict=True))], names=["shard", "piece", "texts", "sizes", "refs"])
+        units = []
+        for k in range(lo, hi):
+            t = whole[x[k] : y[k]]
+            c = seen.setdefault(t, len(seen))
+            if c == len(units):
+                units.append(size[k])
+            of.append(c)
+        texts.append(_PACK.compress(b"".join(seen)))
+        sizes.append(struct.pack(f"<{2 * len(seen)}I", *map(len, seen), *units))
+    refs["context"] = of
+    plain = refs.tobytes()
+    blobs = [_PLAIN + plain[lo * _ROW.itemsize : hi * _ROW.itemsize] if hi - lo < FEW else _squeezed(refs[lo:hi]) for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
+    if len(names):
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.full(len(names), piece), pa.int64()), *(pa.array(c, pa.binary()) for c in (texts, sizes, blobs))], names=["shard", "piece", "texts", "sizes", "refs"])
 
 
 class Contexts:
-    """A shard's distinct contexts with, for each, the least (document, start) that has it."""
+    """A shard's distinct contexts with, for each, the least (document, start) that has it.
+
+    ``refs`` are the places of all rows, ``of`` their contexts, ``rows`` where each row's places begin.
+    """
 
     def __init__(self, rows: list[tuple[bytes, bytes, bytes]], self_repeats: bool):
         seen: dict[bytes, int] = {}
         self.sizes: list[int] = []
-        self.refs, self.of = [], []
-        for texts, sizes, refs in rows:
-            lengths, units = np.frombuffer(sizes, "<u4").reshape(2, -1)
-            texts = zstandard.decompress(texts)
-            at, own = 0, np.empty(len(lengths), np.int64)
-            for k, (n, m) in enumerate(zip(lengths.tolist(), units.tolist(), strict=True)):
-                t = texts[at : at + n]
-                at += n
-                if t not in seen:
-                    seen[t] = len(seen)
-                    self.sizes.append(m)
-                own[k] = seen[t]
-            ref = _spread(refs)
-            self.refs.append(ref)
-            self.of.append(own[ref["context"]])
+        own: list[int] = []
+        begin, refs = [], []
+        for texts, sizes, ref in rows:
+            n = len(sizes) // 8
+            both = struct.unpack(f"<{2 * n}I", sizes)
+            texts = _UNPACK.decompress(texts)
+            begin.append(len(own))
+            at = 0
+            for k in range(n):
+                t = texts[at : at + both[k]]
+                at += both[k]
+                c = seen.setdefault(t, len(seen))
+                if c == len(self.sizes):
+                    self.sizes.append(both[n + k])
+                own.append(c)
+            refs.append(_spread(ref))
         self.texts = list(seen)
-        every = {k: np.concatenate([r[k] for r in self.refs]) for k in ("doc", "start")}
-        of = np.concatenate(self.of)
-        order = np.lexsort((every["start"] if self_repeats else np.zeros(len(of)), every["doc"], of))
+        self.refs = np.concatenate(refs)
+        sizes = [len(r) for r in refs]
+        self.rows = np.cumsum([0, *sizes])
+        self.of = of = np.array(own, np.int64)[np.repeat(begin, sizes) + self.refs["context"]]
+        doc, start = (np.ascontiguousarray(self.refs[k]) for k in ("doc", "start"))
+        order = np.lexsort((start if self_repeats else np.zeros(len(of)), doc, of))
         firsts = np.searchsorted(of[order], np.arange(len(seen)))
-        self.doc, self.start = every["doc"][order][firsts], every["start"][order][firsts].astype(np.int64)
+        self.doc, self.start = doc[order][firsts], start[order][firsts].astype(np.int64)
 
 
-def answers(found: Contexts, pieces: list[int], least_doc: np.ndarray, least_start: np.ndarray | None, base: np.ndarray, window: int):
+def answers(found: Contexts, pieces: list[int], least_doc: np.ndarray, least_start: np.ndarray | None, base: np.ndarray, window: int, most: int = 1 << 20):
     """Per piece the runs of windows that occur earlier: document, first start, windows.
 
     ``least_doc`` and ``least_start`` are, per window of the distinct contexts (those of
-    context c from ``base[c]`` on), the least place that has the window.
+    context c from ``base[c]`` on), the least place that has the window. Rows are taken
+    together up to ``most`` windows.
     """
     count = np.array(found.sizes) - window + 1
-    for piece, refs, of in zip(pieces, found.refs, found.of, strict=True):
+    done = np.concatenate(([0], np.cumsum(count[found.of])))[found.rows]
+    i = 0
+    while i < len(pieces):
+        j = max(i + 1, int(np.searchsorted(done, done[i] + most, side="right")) - 1)
+        lo, hi = found.rows[i], found.rows[j]
+        refs, of = found.refs[lo:hi], found.of[lo:hi]
         n = count[of]
         ref = np.repeat(np.arange(len(of)), n)
         inner = np.arange(len(ref)) - np.repeat(np.cumsum(n) - n, n)
@@ -375,4 +404,9 @@ def answers(found: Contexts, pieces: list[int], least_doc: np.ndarray, least_sta
             first[1:] &= ~gone[:-1] | (ref[1:] != ref[:-1])
             last[:-1] &= ~gone[1:] | (ref[1:] != ref[:-1])
             a, b = np.flatnonzero(first), np.flatnonzero(last)
-            yield piece, np.column_stack([refs["nth"][ref[a]], start[a], b - a + 1]).astype("<u4").tobytes()
+            runs = np.column_stack([refs["nth"][ref[a]], start[a], b - a + 1]).astype("<u4")
+            cut = np.searchsorted(ref[a], found.rows[i : j + 1] - lo).tolist()
+            for piece, x, y in zip(pieces[i:j], cut[:-1], cut[1:], strict=True):
+                if y > x:
+                    yield piece, runs[x:y].tobytes()
+        i = j

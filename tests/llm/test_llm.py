@@ -884,3 +884,18 @@ def test_order_of_equal_names():
     """Names that are equal are ordered by the names after them, over any length of repeats."""
     for names in ([2, 1, 2, 1, 2, 1, 0], [1] * 70 + [0], [3, 3, 1, 3, 3, 2, 3, 3, 1, 0], [0]):
         assert suffix._ordered(np.array(names)).tolist() == sorted(range(len(names)), key=lambda i: names[i:])
+
+
+@pytest.mark.parametrize("few", (0, 32, 1000))
+def test_refs_plain_or_squeezed(few, monkeypatch):
+    """The places of contexts are the same whether they travel as plain rows or compressed, and few ones travel plain."""
+    monkeypatch.setattr(passages, "FEW", few)
+    rng = np.random.default_rng(3)
+    n, text = 200, rng.integers(97, 100, 5000).astype(np.uint8)
+    first = np.sort(rng.integers(0, 4000, n))
+    row, ids = np.repeat(np.arange(10), 500), np.arange(10) * 7 - 3
+    (batch,) = passages._contexts(5, ids, text, row, np.arange(5000), np.arange(1, 5001), first % 4, first, first + 3, 50, np.arange(11) * 500)
+    assert {x.as_py()[:1] == passages._PLAIN for x in batch["refs"]} == {few == 1000}
+    found = passages.Contexts([tuple(batch[c][i].as_py() for c in ("texts", "sizes", "refs")) for i in range(4)], True)
+    got = sorted(zip((found.refs["nth"] * 500 + found.refs["start"]).tolist(), found.refs["doc"].tolist(), [found.texts[k] for k in found.of], strict=True))
+    assert got == sorted((int(k), int(k) // 500 * 7 - 3, text[k : k + 53].tobytes()) for k in first)
