@@ -207,9 +207,9 @@ def table_rows_text(spark, d):
     return S.table_text(fx.cells(spark, d))
 
 
-def _nested(spark, d) -> DataFrame:
+def _nested(spark, d, docs=None) -> DataFrame:
     """Tables as nested rows and cell boxes."""
-    rows = fx.cells(spark, d).groupBy(*PAGE, "table_idx", "row_idx").agg(F.array_sort(F.collect_list(F.struct("col_idx", "text", G.box("x0", "y0", "x1", "y1").alias("b")))).alias("c"))
+    rows = fx.cells(spark, d, docs).groupBy(*PAGE, "table_idx", "row_idx").agg(F.array_sort(F.collect_list(F.struct("col_idx", "text", G.box("x0", "y0", "x1", "y1").alias("b")))).alias("c"))
     r = rows.groupBy(*PAGE, "table_idx").agg(F.array_sort(F.collect_list(F.struct("row_idx", "c"))).alias("r"))
     return r.select(*PAGE, "table_idx", F.transform("r", lambda x: F.transform(x["c"], lambda c: c["text"])).alias("rows"), F.transform("r", lambda x: F.transform(x["c"], lambda c: c["b"])).alias("cells_bbox"), G.union_box(F.flatten(F.transform("r", lambda x: F.transform(x["c"], lambda c: c["b"])))).alias("bbox"))
 
@@ -429,41 +429,58 @@ def deskew_image(spark, d):
 # the modes over decoded pages
 
 
-def _decoded(spark, d) -> DataFrame:
-    """Primitives of all documents through the JSON backend, stored once: lines as spans, order lines' boxes, images and tables."""
-    own = fx.lines(spark, d)
-    spans = own.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(F.col("ord").alias("block"), F.lit(0).alias("type"), F.lit(0).alias("line"), F.lit(0).alias("span"), "text", G.box("x0", "y0", "x1", "y1").alias("bbox"), G.box("x0", "y0", "x1", "y1").alias("line_bbox")))).alias("spans"), L.ordered_text(["ord"], sep="\n").alias("page_text"))
-    tabs = _nested(spark, d).groupBy(*PAGE).agg(F.collect_list(F.struct("rows", "bbox", "cells_bbox")).alias("tables"))
-    pics = fx.images(spark, d).groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", G.box("x0", "y0", "x1", "y1").alias("bbox"), F.array(F.struct(F.col("ocr_text").alias("text"), "score")).alias("items")))), lambda i: F.struct(i["bbox"], i["items"])).alias("images"))
-    ocr = own.groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text", G.box_polygon(G.box("x0", "y0", "x1", "y1")).alias("polygon")))), lambda o: F.struct(o["text"].alias("text"), F.lit(0.5).alias("score"), o["polygon"].alias("polygon"))).alias("ocr"))
-    glyphs = fx.words(spark, d).groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "word_ord", "text", "x0", "top", "x1", "bottom"))), lambda g: F.struct(g["text"].alias("text"), g["x0"].alias("x0"), g["top"].alias("top"), g["x1"].alias("x1"), g["bottom"].alias("bottom"))).alias("glyphs"))
-    p = spans.join(tabs, PAGE, "left").join(pics, PAGE, "left").join(ocr, PAGE, "left").join(glyphs, PAGE, "left").withColumns({"page_width": F.lit(612.0), "page_height": F.lit(792.0)})
-    pages = F.transform(F.array_sort(F.collect_list(F.struct("page_number", "page_width", "page_height", "page_text", "spans", "glyphs", "tables", "images", "ocr"))), lambda x: x.dropFields("page_number"))
-    files = p.groupBy("doc_id").agg(F.to_json(F.struct(pages.alias("pages"))).cast("binary").alias("content"))
+def _decoded(spark, d, *parts: str) -> DataFrame:
+    """Pages of all documents through the JSON backend, stored once: lines as spans, recognised lines, glyphs, images and tables.
+
+    ``parts`` are the primitives that the mode reads; others are in no file. Documents are dealt
+    by id once, and only tables and images of documents are made.
+    """
+    docs = fx.table(spark, d, "documents").select("doc_id")
+    own = fx.lines(spark, d, dealt=True).groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("ord", "text", "x0", "y0", "x1", "y1"))).alias("l"))
+    files = own.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "l"))).alias("p"))
+    if "tables" in parts:
+        found = _nested(spark, d, docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "table_idx", F.struct("rows", "bbox", "cells_bbox").alias("own")))).alias("tables"))
+        files = files.join(found, "doc_id", "left")
+    if "images" in parts:
+        found = F.struct("page_number", "ord", F.struct(G.box("x0", "y0", "x1", "y1").alias("bbox"), F.array(F.struct(F.col("ocr_text").alias("text"), "score")).alias("items")).alias("own"))
+        files = files.join(fx.images(spark, d, docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(found)).alias("images")), "doc_id", "left")
+    box = lambda r: F.struct(*(r[n].alias(n) for n in ("x0", "y0", "x1", "y1")))
+    zero = lambda *names: [F.lit(0).alias(n) for n in names]
+    word = lambda r: lambda t, w: F.struct(r["ord"].alias("ord"), w.alias("word_ord"), t.alias("text"), *fx.word_box(r["x0"], r["y0"], w, t))
+    of_page = lambda name: lambda p: F.transform(F.filter(name, lambda t: t["page_number"] == p["page_number"]), lambda t: t["own"])
+    made = {
+        "page_text": lambda p: F.array_join(F.transform(p["l"], lambda r: F.coalesce(r["text"], F.lit(""))), "\n"),
+        "spans": lambda p: F.transform(p["l"], lambda r: F.struct(r["ord"].alias("block"), *zero("type", "line", "span"), r["text"].alias("text"), box(r).alias("bbox"), box(r).alias("line_bbox"))),
+        "ocr": lambda p: F.transform(p["l"], lambda r: F.struct(r["text"].alias("text"), F.lit(0.5).alias("score"), G.box_polygon(box(r)).alias("polygon"))),
+        "glyphs": lambda p: F.transform(F.array_sort(F.flatten(F.transform(p["l"], lambda r: F.transform(F.split(r["text"], " ", -1), word(r))))), lambda g: g.dropFields("ord", "word_ord")),
+        "tables": of_page("tables"), "images": of_page("images"),
+    }
+    pages = F.transform("p", lambda p: F.struct(F.lit(612.0).alias("page_width"), F.lit(792.0).alias("page_height"), *(made[n](p).alias(n) for n in parts)))
+    files = files.select("doc_id", F.to_json(F.struct(pages.alias("pages"))).cast("binary").alias("content"))
     return scratch.stored(backends.decode(files).where("status = 'ok'").drop("status", "error"), "decoded")
 
 
 @query(f"""WITH {_PAGE_TEXT} SELECT doc_id, page_number, {_strip("string_agg(text, chr(10) ORDER BY ord)")} AS content, count(*) AS n_blocks FROM fx_lines WHERE {_strip('text')} <> '' GROUP BY doc_id, page_number
 UNION ALL SELECT doc_id, page_number, '', 0 FROM pt WHERE {_strip('text')} = ''""")
 def mode_pdftext(spark, d):
-    return modes.pdftext(_decoded(spark, d)).select(*PAGE, "content", F.size("text_blocks").cast("long").alias("n_blocks"))
+    return modes.pdftext(_decoded(spark, d, "page_text", "spans")).select(*PAGE, "content", F.size("text_blocks").cast("long").alias("n_blocks"))
 
 
 @query(f"""WITH {_PAGE_TEXT}, b AS (SELECT doc_id, page_number, count(*) AS n FROM (SELECT doc_id, page_number, top, string_agg(text, '') AS t FROM fx_words GROUP BY ALL) WHERE {_strip('t')} <> '' GROUP BY ALL),
 t AS (SELECT doc_id, page_number, count(DISTINCT table_idx) AS n_tables FROM fx_cells GROUP BY ALL)
 SELECT doc_id, page_number, {_strip('text')} AS content, coalesce(n, 0)::BIGINT AS n_blocks, coalesce(n_tables, 0)::BIGINT AS n_tables FROM pt LEFT JOIN b USING (doc_id, page_number) LEFT JOIN t USING (doc_id, page_number)""")
 def mode_pdftexttable(spark, d):
-    return modes.pdftexttable(_decoded(spark, d)).select(*PAGE, "content", F.size("text_blocks").cast("long").alias("n_blocks"), F.size("tables").cast("long").alias("n_tables"))
+    return modes.pdftexttable(_decoded(spark, d, "page_text", "glyphs", "tables")).select(*PAGE, "content", F.size("text_blocks").cast("long").alias("n_blocks"), F.size("tables").cast("long").alias("n_tables"))
 
 
 @query("SELECT doc_id, page_number, coalesce(string_agg(text, chr(10) ORDER BY ord) FILTER (text <> ''), '') AS content FROM fx_lines GROUP BY doc_id, page_number")
 def mode_pdfimagev5(spark, d):
-    return modes.pdfimagev5(_decoded(spark, d)).select(*PAGE, "content")
+    return modes.pdfimagev5(_decoded(spark, d, "ocr")).select(*PAGE, "content")
 
 
 @query(f"SELECT doc_id, page_number, coalesce(string_agg(text, ' ' ORDER BY ord) FILTER ({_strip('text')} <> ''), '') AS content FROM fx_lines GROUP BY doc_id, page_number")
 def mode_pdfimagets(spark, d):
-    return modes.pdfimagets(_decoded(spark, d)).select(*PAGE, "content")
+    return modes.pdfimagets(_decoded(spark, d, "ocr")).select(*PAGE, "content")
 
 
 _DOCIM = f"im AS (SELECT i.* FROM ({_BIG}) i JOIN (SELECT DISTINCT doc_id, page_number FROM fx_lines) USING (doc_id, page_number))"
@@ -474,7 +491,7 @@ _DOCIM = f"im AS (SELECT i.* FROM ({_BIG}) i JOIN (SELECT DISTINCT doc_id, page_
 u AS (SELECT doc_id, page_number, 0 AS k, ord, text, x0, y0 FROM fx_lines UNION ALL SELECT doc_id, page_number, 1, ord, ocr_text, x0, y0 FROM d)
 SELECT doc_id, page_number, {_strip("string_agg(text, chr(10) ORDER BY y0, x0, k, ord)")} AS content, count(*) AS n_blocks FROM u GROUP BY doc_id, page_number""")
 def mode_pdftxtimage(spark, d):
-    return modes.pdftxtimage(_decoded(spark, d)).select(*PAGE, "content", F.size("text_blocks").cast("long").alias("n_blocks"))
+    return modes.pdftxtimage(_decoded(spark, d, "spans", "images")).select(*PAGE, "content", F.size("text_blocks").cast("long").alias("n_blocks"))
 
 
 # a page's blocks outside its tables with free images, its tables with filled cells, and both in reading order
@@ -495,7 +512,7 @@ tn AS (SELECT doc_id, page_number, string_agg(text, chr(12) ORDER BY table_idx)
 FROM pg LEFT JOIN ct USING (doc_id, page_number) LEFT JOIN bl USING (doc_id, page_number) LEFT JOIN tn USING (doc_id, page_number)""")
 def mode_pdfimagetable(spark, d):
     """Content, the texts and origins of the blocks, and the rows of the tables."""
-    return modes.pdfimagetable(_decoded(spark, d)).select(*PAGE, "content", _block_texts().alias("blocks"), _table_texts().alias("tables"))
+    return modes.pdfimagetable(_decoded(spark, d, "glyphs", "tables", "images")).select(*PAGE, "content", _block_texts().alias("blocks"), _table_texts().alias("tables"))
 
 
 def _block_texts():
@@ -518,7 +535,7 @@ v AS (SELECT doc_id, engine, row_number() OVER (PARTITION BY doc_id ORDER BY cou
 @query(f"""WITH {_AUTO} SELECT doc_id, 'unknown' AS filename, any_value(v.engine) AS method_used, count(*) AS n_pages, string_agg(content, chr(12) ORDER BY page_number) AS contents
 FROM p JOIN (SELECT doc_id, engine FROM v WHERE place = 1) v USING (doc_id) GROUP BY doc_id""")
 def mode_auto(spark, d):
-    r = modes.process(_decoded(spark, d), "auto")
+    r = modes.process(_decoded(spark, d, "page_text", "spans", "glyphs", "tables", "ocr"), "auto")
     return r.select("doc_id", "filename", "method_used", F.size("pages").cast("long").alias("n_pages"), F.array_join(F.transform("pages", lambda p: p["content"]), "\f").alias("contents"))
 
 

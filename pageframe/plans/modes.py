@@ -19,8 +19,13 @@ _BLOCKS = PAGE_RESULT["text_blocks"].dataType
 _TABLES = PAGE_RESULT["tables"].dataType
 
 
+def _dealt(pages: DataFrame) -> DataFrame:
+    """In partitions by page: a page's rows are then grouped and joined where they are."""
+    return pages.repartition(*PAGE)
+
+
 def _flat(pages: DataFrame, part: str, order: str = "ord") -> DataFrame:
-    return pages.select(*PAGE, F.posexplode(part).alias(order, "e_")).select(*PAGE, order, "e_.*")
+    return _dealt(pages.select(*PAGE, part)).select(*PAGE, F.posexplode(part).alias(order, "e_")).select(*PAGE, order, "e_.*")
 
 
 def _boxed(df: DataFrame, box: str = "bbox") -> DataFrame:
@@ -28,7 +33,7 @@ def _boxed(df: DataFrame, box: str = "bbox") -> DataFrame:
 
 
 def _result(pages: DataFrame, found: DataFrame, tables: Column | None = None) -> DataFrame:
-    out = pages.select(*PAGE, "page_width", "page_height", "page_text", "tables").join(found, PAGE, "left")
+    out = _dealt(pages.select(*PAGE, "page_width", "page_height", "page_text", "tables")).join(found, PAGE, "left")
     return out.select(
         *PAGE, F.coalesce("content", F.lit("")).alias("content"), F.coalesce("text_blocks", F.array().cast(_BLOCKS)).alias("text_blocks"),
         (F.array().cast(_TABLES) if tables is None else F.coalesce(tables, F.array().cast(_TABLES))).alias("tables"), "page_width", "page_height", "page_text",
@@ -122,7 +127,7 @@ def pdfimagetable(pages: DataFrame) -> DataFrame:
     numbered = routing.numbered(blocks.select(*PAGE, "y0", "x0", F.col("ord").alias("o_"), "text"), PAGE, ["y0", "x0", "o_"], "ord")
     content = S.reading_order(numbered, with_lines)
     tables = tabs.groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("table_idx", "rows", "bbox", "cells_bbox"))), lambda t: F.struct(t["rows"].alias("rows"), t["bbox"].alias("bbox"), t["cells_bbox"].alias("cells_bbox"))).alias("tables_"))
-    base = pages.select(*PAGE, "page_width", "page_height")
+    base = _dealt(pages.select(*PAGE, "page_width", "page_height"))
     out = base.join(found, PAGE, "left").join(content, PAGE, "left").join(tables, PAGE, "left")
     return out.select(*PAGE, F.coalesce("content", F.lit("")).alias("content"), F.coalesce("text_blocks", F.array().cast(_BLOCKS)).alias("text_blocks"), F.coalesce("tables_", F.array().cast(_TABLES)).alias("tables"), "page_width", "page_height")
 
@@ -171,7 +176,7 @@ def process(pages: DataFrame, mode: str = "auto") -> DataFrame:
     own = routed(pages, mode)
     results = BY_NAME[mode](own)
     if mode == "auto":
-        results = results.join(routing.majority(results), "doc_id")
+        results = results.join(routing.majority(decided(own)), "doc_id")  # a result for each page
     else:
         results = results.withColumn("method_used", F.lit(mode))
     name = F.max("filename") if "filename" in pages.columns else F.lit(None).cast("string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 PAGE_LINES = 40
 
@@ -15,30 +15,41 @@ def _d(e: str):
     return F.expr(f"cast({e} as double)")
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document lines on pages of forty."""
-    raw = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("o", "raw"))
+def _of(raw: DataFrame, key: Column, docs: DataFrame | None) -> DataFrame:
+    """The rows of the documents ``docs``, of all if None."""
+    return raw if docs is None else raw.join(docs.select(F.col("doc_id").alias("wanted_")), key == F.col("wanted_"), "left_semi")
+
+
+def lines(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """Document lines on pages of forty; ``dealt``: in partitions by document, before they are cut."""
+    raw = table(spark, sf_dir, "documents").select("doc_id", "text")
+    raw = (raw.repartition("doc_id") if dealt else raw).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("o", "raw"))
     return raw.select(
         "doc_id", F.expr(f"cast(o div {PAGE_LINES} + 1 as int)").alias("page_number"), F.col("o").alias("ord"), F.when(F.col("o") % 17 == 16, "  ").otherwise(F.col("raw")).alias("text"),
         _d("72 + 18 * (o % 3)").alias("x0"), _d("72 + 14 * (o % 40) + 3 * (o % 2)").alias("y0"), _d("least(72 + 18 * (o % 3) + 5 * length(raw), 560)").alias("x1"), _d("84 + 14 * (o % 40) + 3 * (o % 2)").alias("y1"),
     )
 
 
+def word_box(x0: Column, y0: Column, w: Column, word: Column) -> list[Column]:
+    """x0, top, x1 and bottom of the w-th word of a line at (x0, y0)."""
+    left, top = x0 + 30 * w, y0 + F.lit(0.5) * (w % 3)
+    return [c.cast("double").alias(n) for c, n in ((left, "x0"), (top, "top"), (left + 5 * F.length(word), "x1"), (top + 10, "bottom"))]
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all lines of each document, standing in for glyphs."""
     raw = lines(spark, sf_dir).select("doc_id", "page_number", "ord", "x0", "y0", F.posexplode(F.split("text", " ", -1)).alias("w", "word"))
     return raw.select(
-        "doc_id", "page_number", "ord", F.col("w").alias("word_ord"), F.col("word").alias("text"), _d("x0 + 30 * w").alias("x0"), _d("y0 + 0.5 * (w % 3)").alias("top"),
-        _d("x0 + 30 * w + 5 * length(word)").alias("x1"), _d("y0 + 0.5 * (w % 3) + 10").alias("bottom"),
+        "doc_id", "page_number", "ord", F.col("w").alias("word_ord"), F.col("word").alias("text"), *word_box(*map(F.col, ("x0", "y0", "w", "word"))),
     )
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One table per order: a row per line item, four columns."""
+def cells(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    """One table per order: a row per line item, four columns; with ``docs`` the tables of those documents."""
     by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     money = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
     flag = F.when(F.col("l_linenumber") % 5 != 0, F.col("l_returnflag"))
-    raw = table(spark, sf_dir, "lineitem").withColumn("row_idx", F.row_number().over(by) - 1)
+    raw = _of(table(spark, sf_dir, "lineitem"), F.col("l_orderkey"), docs).withColumn("row_idx", F.row_number().over(by) - 1)
     raw = raw.select(F.col("l_orderkey").alias("doc_id"), "row_idx", F.posexplode(F.array(F.col("l_partkey").cast("string"), money("l_quantity"), money("l_extendedprice"), flag)).alias("col_idx", "text"))
     return raw.select(
         "doc_id", F.lit(1).alias("page_number"), F.lit(0).alias("table_idx"), "row_idx", "col_idx", "text",
@@ -60,8 +71,8 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+def images(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    return _of(table(spark, sf_dir, "events"), F.expr("event_id % 500"), docs).select(
         F.expr("event_id % 500").alias("doc_id"), F.lit(1).alias("page_number"), F.expr("event_id div 500").alias("ord"),
         _d("60 + 5 * (user_id % 90)").alias("x0"), _d("150 + 5 * (event_id % 43)").alias("y0"), _d("60 + 5 * (user_id % 90) + 2 + event_id % 97").alias("x1"), _d("150 + 5 * (event_id % 43) + 2 + user_id % 23").alias("y1"),
         F.col("event_type").alias("ocr_text"), F.expr("cast(user_id % 64 as double) / 64").alias("score"),

@@ -34,7 +34,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     if df in _STORED:
         return df
     path = f"{root(df.sparkSession).rstrip('/')}/pageframe-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _STORED.add(out)
     return out

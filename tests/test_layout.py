@@ -201,3 +201,15 @@ def test_rasters_of_whole_texts(spark, tmp_path):
             turned += name == "deskew_image" and bytes(got[i].data) != m.tobytes()
     assert turned >= 4
     assert [abs(round(np.degrees(np.arctan(k / 16)) - abs(image.skew_angle(made[i])))) for i, k in ((3, 3), (6, 2), (7, 3))] == [0, 0, 0]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_modes_deal_their_pages_once(spark):
+    """A mode's files hold the primitives it reads, and its pages are dealt by page, not once more for each grouping."""
+    pages = catalog._decoded(spark, "/root/testdata/sf0.001", "page_text", "spans")
+    assert pages.where("glyphs is not null or ocr is not null or tables is not null or images is not null").count() == 0
+    assert pages.where("spans is null or page_text is null").count() == 0 < pages.count()
+    assert _plan(modes.pdftext(pages)).count("Exchange hashpartitioning") <= 2  # the spans, and the rest of the page
