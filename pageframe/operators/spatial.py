@@ -20,10 +20,18 @@ def _on(page: tuple[str, ...], a: str, b: str) -> Column:
     return test
 
 
+def _sorted(df: DataFrame) -> DataFrame:
+    """A side of a join by pages that is sorted with the other, not collected on the driver and sent to all.
+
+    Rows that come out of arrays are many more than the planner's guess from the files' sizes.
+    """
+    return df.hint("merge")
+
+
 def outside_tables(lines: DataFrame, tables: DataFrame, ratio: float = 0.5, page: tuple[str, ...] = PAGE) -> DataFrame:
     """Lines that are mostly inside no table (anti join); tables without a box do not count."""
     on = _on(page, "l", "t") & F.coalesce(G.mostly_inside(_box("l"), _box("t"), ratio), F.lit(False))
-    return lines.alias("l").join(tables.where("x0 is not null").alias("t"), on, "left_anti")
+    return lines.alias("l").join(_sorted(tables.where("x0 is not null").alias("t")), on, "left_anti")
 
 
 def image_size(images: DataFrame, least: float = 5.0) -> DataFrame:
@@ -36,7 +44,7 @@ def image_to_cell(images: DataFrame, cells: DataFrame, page: tuple[str, ...] = P
     The first is a minimum, so it is aggregated before the shuffle, whatever the candidates.
     """
     at = F.struct("c.table_idx", "c.row_idx", "c.col_idx")
-    found = images.alias("i").join(cells.where("x0 is not null").alias("c"), _on(page, "i", "c") & G.matches_cell(_box("i"), _box("c")))
+    found = images.alias("i").join(_sorted(cells.where("x0 is not null").alias("c")), _on(page, "i", "c") & G.matches_cell(_box("i"), _box("c")))
     return found.groupBy(*(F.col(f"i.{k}").alias(k) for k in (*page, order))).agg(F.min(at).alias("cell")).select(*page, order, "cell.*")
 
 
@@ -48,13 +56,13 @@ def cells_with_ocr(cells: DataFrame, matched: DataFrame, page: tuple[str, ...] =
     keys = [*page, "table_idx", "row_idx", "col_idx"]
     added = matched.where(F.col("ocr_text") != "").groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "ocr_text"))), lambda s: s["ocr_text"]), " ").alias("added_"))
     text = F.when(F.col("added_").isNull(), F.col("text")).otherwise(X.strip(F.concat_ws(" ", F.nullif("text", F.lit("")), "added_")))
-    return cells.join(added, keys, "left").withColumn("text", text).drop("added_")
+    return cells.join(_sorted(added), keys, "left").withColumn("text", text).drop("added_")
 
 
 def image_dedup(images: DataFrame, lines: DataFrame, ratio: float = 0.5, page: tuple[str, ...] = PAGE) -> DataFrame:
     """Images whose text no overlapping native line already has (anti join); ``images`` has ocr_text."""
     on = _on(page, "i", "l") & (G.overlap_ratio(_box("i"), _box("l")) > ratio) & X.either_contains(F.col("l.text"), F.col("i.ocr_text"))
-    return images.alias("i").join(lines.alias("l"), on, "left_anti")
+    return images.alias("i").join(_sorted(lines.alias("l")), on, "left_anti")
 
 
 def table_cells(tables: DataFrame, page: tuple[str, ...] = PAGE, table: str = "table_idx") -> DataFrame:

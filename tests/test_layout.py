@@ -207,6 +207,13 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_page_joins_are_not_broadcast(spark):
+    """Lines come out of arrays, so the planner's guess is far too low; collecting them filled the driver."""
+    d = "/root/testdata/sf0.001"
+    for name in ("image_dedup", "hybrid_lines", "hybrid_content", "lines_outside_tables", "image_to_cell"):
+        assert "Broadcast" not in _plan(catalog.QUERIES[name](spark, d)), name
+
+
 def test_modes_deal_their_pages_once(spark):
     """A mode's files hold the primitives it reads, and its pages are dealt by page, not once more for each grouping."""
     pages = catalog._decoded(spark, "/root/testdata/sf0.001", "page_text", "spans")
