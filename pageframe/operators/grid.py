@@ -8,9 +8,10 @@ is not transitive, so it needs a sort by comparison per page (``exact_text``).
 from __future__ import annotations
 
 import functools
+import operator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import geometry as G, text as X
 
@@ -80,28 +81,38 @@ def document_text(pages: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 
 def exact_text(items: DataFrame, keys: list[str], char_width: float = CHAR_WIDTH, threshold: float = Y_THRESHOLD) -> DataFrame:
-    """Grid text in the original's item order; a page's items are one group, as a page is bounded."""
-    kinds = dict(items.select(*keys).dtypes)
+    """Grid text in the original's item order; a page's items are one row's array, as a page is bounded."""
 
     def before(a, b) -> float:
         return a[1] - b[1] if abs(a[0] - b[0]) <= threshold else a[0] - b[0]
 
-    def render(page: pd.DataFrame) -> pd.DataFrame:
-        found = sorted(page.sort_values("ord")[["y", "x", "text"]].itertuples(index=False, name=None), key=functools.cmp_to_key(before))
+    def render(page: list[tuple]) -> str:
         placed: list[list] = []
         anchor = None
-        for y, x, text in found:
-            if anchor is None or y - anchor > threshold:
+        for item in sorted(page, key=functools.cmp_to_key(before)):
+            if anchor is None or item[0] - anchor > threshold:
                 placed.append([])
-                anchor = y
-            placed[-1].append((x, text))
+                anchor = item[0]
+            placed[-1].append(item)
         out = []
         for row in placed:
-            done = ""
-            for x, text in sorted(row, key=lambda s: s[0]):
-                units = len(done.encode("utf-16-le", "surrogatepass")) // 2
-                done += " " * max(int((x / char_width + 0.5) // 1) - units, 1) + text
+            done, units = "", 0
+            for _, x, text in sorted(row, key=operator.itemgetter(1)):
+                gap = max(int((x / char_width + 0.5) // 1) - units, 1)
+                done += " " * gap + text
+                units += gap + (len(text) if text.isascii() else len(text.encode("utf-16-le", "surrogatepass")) // 2)
             out.append(done.rstrip())
-        return pd.DataFrame([[*page.iloc[0][keys], "\n".join(out)]], columns=[*keys, "grid"])
-
-    return items.groupBy(*keys).applyInPandas(render, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "grid string"]))
+        return "\n".join(out)
+
+    def run(batches):
+        for b in batches:
+            page = b.column("i")
+            cut = page.offsets.to_pylist()
+            y, x = (page.values.field(n).to_numpy(zero_copy_only=False).tolist() for n in ("y", "x"))
+            flat = list(zip(y, x, page.values.field("text").to_pylist(), strict=True))
+            grid = [render(flat[lo:hi]) for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(grid, pa.string())], names=[*keys, "grid"])
+
+    kinds = items.select(*keys).schema
+    pages = items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", "y", "x", "text"))).alias("i"))
+    return pages.mapInArrow(run, T.StructType([*kinds.fields, T.StructField("grid", T.StringType())]))

@@ -220,3 +220,10 @@ def test_modes_deal_their_pages_once(spark):
     assert pages.where("glyphs is not null or ocr is not null or tables is not null or images is not null").count() == 0
     assert pages.where("spans is null or page_text is null").count() == 0 < pages.count()
     assert _plan(modes.pdftext(pages)).count("Exchange hashpartitioning") <= 2  # the spans, and the rest of the page
+
+
+def test_exact_grid_without_a_frame_for_each_page(spark):
+    items = spark.createDataFrame([(1, 1, 100.0, 72.0, 0, "a\U0001f600"), (1, 1, 103.0, 40.0, 1, "b"), (1, 1, 140.0, 72.0, 2, "c"), (2, 1, 5.0, 16.0, 0, "d"), (None, 1, 5.0, 16.0, 0, "e")], "doc_id long, page_number int, y double, x double, ord long, text string")
+    out = grid.exact_text(items, ["doc_id", "page_number"])
+    assert "InPandas" not in _plan(out)
+    assert {r.doc_id: r.grid for r in out.collect()} == {1: "     b   a\U0001f600\n         c", 2: "  d", None: "  e"}
