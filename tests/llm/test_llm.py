@@ -391,6 +391,45 @@ def test_bradley_terry_fit_and_cut():
     assert abs(((z @ model.weights) < model.cut).mean() - low) < 0.02
 
 
+def test_quality_is_fitted_on_every_row_and_pair(spark, monkeypatch):
+    """Knots, weights and cut are those of all training rows, and of all pairs, counted one by one."""
+    rng = random.Random(6)
+    docs = []
+    for i in range(18_600):
+        good = i % 60 > 0
+        words = [rng.choice(["Alpha", "beta", "gamma,", "delta.", "42", "!!"][: 4 if good and rng.random() < 0.7 else 6]) for _ in range(rng.randint(1, 30))]
+        docs.append((i, (" " if rng.random() < 0.8 else "\n").join(words) * (1 + (i > 18_000)), int(good)))
+    table = spark.createDataFrame(docs, "doc_id long, text string, quality int").repartition(6)
+    monkeypatch.setattr(quality, "WIDE", 1, raising=False)  # sums are added up in two levels
+    model = quality.train(table.select("doc_id", "text"), table.select("doc_id", "quality"))
+    own = [(t, y) for i, t, y in docs if zlib.crc32(str(i).encode()) % 3 != 1]
+    x, y = quality.features(pa.array([t for t, _ in own])), np.array([y for _, y in own])
+    assert (y == 1).sum() > 12_000
+    even = np.linspace(x.min(0), x.max(0), quality.BENDS + 1)
+    assert np.allclose(model.knots, (np.quantile(x, np.linspace(0, 1, quality.BENDS + 1), axis=0) + even) / 2, rtol=1e-12, atol=1e-12)
+    z = quality.bend(x, model.knots)
+    good, bad = z[y == 1], z[y == 0]
+    wrong = 1 / (1 + np.exp((good @ model.weights)[:, None] - (bad @ model.weights)[None]))
+    gradient = (wrong.sum(0) @ bad - wrong.sum(1) @ good) / wrong.size + quality.L2 * model.weights
+    assert np.abs(gradient).max() < 2e-6
+    score = z @ model.weights
+    low, high = np.sort(score)[[len(bad) - 1, len(bad)]]
+    assert abs(model.cut - (low + high) / 2) < 1e-9 and low < high
+    near = quality.fit(x, y, len(bad) / len(y))
+    assert np.abs(near.weights - model.weights).max() < 1e-4
+
+
+def test_ranked_values_are_exact():
+    rng = np.random.default_rng(8)
+    x = np.round(rng.standard_normal((3000, 2)) * [1, 1e9], 1)
+    x[:900, 0], x[900:950] = 0.0, -0.0
+    x[0], x[1] = np.inf, -np.inf
+    want = np.sort(x, axis=0)
+    ranks = [0, 1, 7, 1400, 1401, 2998, 2999]
+    for bits in (8, 16):
+        assert np.array_equal(quality.ranked(quality.Rows(x, x[:, 0]), lambda v: v, 2, ranks, bits), want[ranks])
+
+
 def test_classifiers_odd(spark, odd, empty):
     labels = spark.createDataFrame([(i, i % 2, (i + 1) % 2, "x") for i in range(1, 11)] + [(4, None, None, "x"), (None, 1, 1, "x")], "doc_id long, toxic int, quality int, text string")
     for m, f in ((toxicity.train(odd, labels), toxicity.score), (quality.train(odd, labels), quality.score), (toxicity.train(odd, labels.limit(0)), toxicity.score), (quality.train(odd, labels.limit(0)), quality.score)):
